@@ -6,11 +6,15 @@ a whole. Suffixes are grouped by a short prefix first and by a longer one only w
 1. Every window of `span` words elects one of its `seed`-word grams (the smallest hash), so equal windows elect equal
    grams at equal offsets. The elected gram is the short prefix: it groups the suffixes that start in the windows it
    stands for. Groups with one member have no inner node and end here; that is nearly all of a corpus.
-2. In the others the prefix grows to `span` words. A group that still has more than one member is a deep inner node: all
-   its suffixes but the first (by document, then position) are repeats, and adjacent repeats make maximal spans.
+2. In the others the prefix grows to all words of the windows that the gram stands for. Suffixes that still agree are
+   below a deep inner node: all but the first (by document, then position) are repeats.
+3. Where a group has several such branches, their first suffixes are compared at `span` words: the groups that this
+   prefix makes are the inner nodes at that depth, and all their members but the first are repeats. Adjacent repeats make
+   maximal spans.
 
-Groups shrink before they are dealt: a task forwards one suffix for each prefix it holds and settles its other copies
-itself, so that a passage in a third of all documents is no more than one row a task.
+Groups shrink before they are dealt: a task forwards one suffix for each branch it holds, BRANCHES at most for a short
+prefix (what is beyond goes to step 3 at once), and settles its other copies itself, so that a passage in a third of all
+documents is a few rows a task.
 
 Defined results: null or blank text - no words, nothing removed; null doc_id - before every other id; rows that repeat
 both id and text are one document (they lose the same words); equal ids with other texts are ordered by a text hash;
@@ -30,6 +34,9 @@ from .common import NO_ID, gram_hashes, id_key, mix, raw, word_hashes
 
 SEED = 6
 BUFFER = 4_000_000  # suffixes or windows a task holds before it forwards them
+BRANCHES = 8  # longer prefixes of one short prefix that a task forwards
+#: what is known of a suffix: a repeat; to be compared by windows; still open; open, and its prefix has other branches
+REPEAT, CHECK, OPEN, CROWDED = 0, 1, 2, 3
 
 
 def elect(h: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,6 +60,23 @@ def window_hashes(h: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndar
     return mix(one), mix(two) >> np.uint64(33)
 
 
+def stretch_hashes(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of words, by differences of a running polynomial."""
+    one, base = np.ones(1, np.uint64), 0x9E3779B97F4A7C15
+    power = np.cumprod(np.concatenate((one, np.full(len(h), base, np.uint64))))
+    inverse = np.cumprod(np.concatenate((one, np.full(len(h), pow(base, -1, 2**64), np.uint64))))
+    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h) * power[:-1])))
+    return mix((run[starts + lengths] - run[starts]) * inverse[starts] + lengths.astype(np.uint64))
+
+
+def places(runs: pa.ListScalar) -> np.ndarray:
+    """Sorted distinct starts of a list of (start, n) runs; a repeated row may list a run twice."""
+    if not runs.is_valid or not len(runs.values):
+        return np.zeros(0, np.int64)
+    begin, count = (np.asarray(runs.values.field(i), np.int64) for i in (0, 1))
+    return np.unique(np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+
+
 def covered(n: int, starts: np.ndarray, span: int) -> np.ndarray:
     """Flags of the words under windows at starts."""
     step = np.zeros(n + 1, np.int32)
@@ -61,22 +85,27 @@ def covered(n: int, starts: np.ndarray, span: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def repeated_starts(docs: DataFrame, span: int, seed: int, rest: Column) -> tuple[DataFrame, DataFrame]:
-    """docs as (k, th, text, rest), and (k, th, starts): where windows begin that also begin earlier."""
+def repeated_starts(docs: DataFrame, span: int, seed: int, rest: Column) -> DataFrame:
+    """docs as (k, text, starts, repeats, -, rest): windows that also begin earlier begin at starts and in the runs of repeats."""
     texts = docs.select(id_key("`doc_id`").alias("k"), F.coalesce(F.shiftright(F.xxhash64("`text`"), 33).cast("int"), F.lit(0)).alias("th"), F.col("`text`").alias("text"), rest.alias("rest"))
 
     def suffixes(batches):
         def forward(held):
             if not held:
                 return
-            key, k, th, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.argsort(key, kind="stable")
-            new = np.concatenate(([True], key[by][1:] != key[by][:-1]))
-            size = np.diff(np.append(np.flatnonzero(new), len(by)))
-            first, members = np.zeros(len(key), bool), np.zeros(len(key), np.int32)
-            first[by[new]], members[by] = True, np.repeat(size, size)
-            spread = np.where(first, key, mix(key + np.arange(len(key), dtype=np.uint64)))  # settled rows go anywhere
-            yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(np.where(first, np.minimum(members, 2), 3).astype(np.int8)), pa.array(k), pa.array(th), pa.array(start), pa.array(count)], names=["key", "members", "k", "th", "start", "n"])
+            key, reach, k, th, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((start, th, k, reach, key))
+            key, reach, k, th, start, count = (x[by] for x in (key, reach, k, th, start, count))
+            group = np.concatenate(([True], key[1:] != key[:-1]))
+            branch = group | np.concatenate(([True], reach[1:] != reach[:-1]))
+            own = branch | np.concatenate(([True], (k[1:] != k[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1])))  # else the same place in a repeated row
+            nth = np.cumsum(branch) - np.repeat(np.cumsum(branch)[group], np.diff(np.append(np.flatnonzero(group), len(key))))
+            crowd = np.repeat(np.maximum.reduceat(nth, np.flatnonzero(group)) >= BRANCHES, np.diff(np.append(np.flatnonzero(group), len(key))))
+            kind = np.where(~branch, REPEAT, np.where(nth >= BRANCHES, CHECK, np.where(crowd, CROWDED, OPEN))).astype(np.int8)
+            spread = np.where((kind == REPEAT) | (kind == CHECK), mix(key + np.arange(len(key), dtype=np.uint64)), key)  # settled rows go anywhere
+            back = np.argsort(by)  # rows of a document stay together, which packs well
+            back = back[own[back]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[back]) for x in (spread.view(np.int64), reach.view(np.int64), kind, k, th, start, count)], names=["key", "reach", "kind", "k", "th", "start", "n"])
 
         held, size = [], 0
         for batch in batches:
@@ -84,17 +113,25 @@ def repeated_starts(docs: DataFrame, span: int, seed: int, rest: Column) -> tupl
                 words = text.split() if text else []
                 if len(words) < span:
                     continue
-                key, start, count = elect(word_hashes(words), span, seed)
-                held.append((key, np.full(len(key), k, np.int64), np.full(len(key), th, np.int32), start, count))
+                h = word_hashes(words)
+                key, start, count = elect(h, span, seed)
+                held.append((key, stretch_hashes(h, start, count + span - 1), np.full(len(key), k, np.int64), np.full(len(key), th, np.int32), start, count))
                 size += len(key)
                 if size > BUFFER:
                     yield from forward(held)
                     held, size = [], 0
         yield from forward(held)
 
-    found = texts.select("k", "th", "text").mapInArrow(suffixes, "key long, members tinyint, k long, th int, start int, n int")
-    alive = found.withColumn("all", F.sum("members").over(Window.partitionBy("key"))).where(F.col("all") > 1)
-    alive = alive.groupBy("k", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    found = texts.select("k", "th", "text").mapInArrow(suffixes, "key long, reach long, kind tinyint, k long, th int, start int, n int")
+    group, place = Window.partitionBy("key"), F.struct("k", "th", "start")
+    settled = F.col("kind").isin(REPEAT, CHECK)
+    branches = (F.min("reach").over(group) != F.max("reach").over(group)) | (F.max(F.col("kind") == CROWDED).over(group))
+    # by key first: the second window is then dealt already
+    found = found.withColumn("branches", branches).withColumn("first", F.min(place).over(Window.partitionBy("key", "reach")))
+    state = F.when(settled, F.col("kind")).when(place != F.col("first"), REPEAT).when(F.col("branches"), CHECK)
+    state = found.select("k", "th", "start", "n", state.alias("kind")).where("kind is not null")
+    runs = [F.collect_list(F.when(F.col("kind") == kind, F.struct("start", "n"))).alias(name) for kind, name in ((CHECK, "runs"), (REPEAT, "repeats"))]
+    alive = state.groupBy("k", "th").agg(*runs)
 
     def windows(batches):
         def forward(held):
@@ -115,8 +152,9 @@ def repeated_starts(docs: DataFrame, span: int, seed: int, rest: Column) -> tupl
         held, size = [], 0
         for batch in batches:
             for k, th, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), batch.column(3), strict=True):
-                begin, count = (np.asarray(runs.values.field(i)) for i in (0, 1))
-                at = np.unique(np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))  # a repeated row lists its runs twice
+                at = places(runs)
+                if not len(at):
+                    continue
                 one, two = window_hashes(word_hashes(text.split()), at, span)
                 held.append((one, two, np.full(len(at), k, np.int64), np.full(len(at), th, np.int32), at.astype(np.int32)))
                 size += len(at)
@@ -125,22 +163,25 @@ def repeated_starts(docs: DataFrame, span: int, seed: int, rest: Column) -> tupl
                     held, size = [], 0
         yield from forward(held)
 
-    inner = texts.join(alive, ["k", "th"]).select("k", "th", "text", "runs", "rest").mapInArrow(windows, "one long, two int, k long, th int, start int")
+    inner = texts.join(alive, ["k", "th"]).select("k", "th", "text", "runs", "repeats", "rest").mapInArrow(windows, "one long, two int, k long, th int, start int")
     first = F.min(F.struct("k", "th", "start")).over(Window.partitionBy("one", "two"))
     again = inner.withColumn("first", first).where((F.col("two") < 0) | (F.struct("k", "th", "start") != F.col("first")))
-    return texts, again.groupBy("k", "th").agg(F.collect_list("start").alias("starts"))
+    # all columns go on, so that the dealt texts and runs are read twice and not made twice
+    marks = again.groupBy("k", "th").agg(F.collect_list("start").alias("starts"))
+    return texts.join(alive, ["k", "th"], "left").join(marks, ["k", "th"], "left").select("k", "text", "starts", "repeats", "runs", "rest")
 
 
 def remove_repeats(docs: DataFrame, span: int = 20, seed: int = SEED, rest: Column | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the text, or its kept words joined by one space), rest."""
-    texts, marks = repeated_starts(docs, span, seed, F.lit(None).cast("boolean") if rest is None else rest)
+    both = repeated_starts(docs, span, seed, F.lit(None).cast("boolean") if rest is None else rest)
 
     def strip(batches):
         for batch in batches:
             out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-            for text, starts in zip(raw(batch.column(1)), batch.column(2), strict=True):
+            for text, starts, runs in zip(raw(batch.column(1)), batch.column(2), batch.column(3), strict=True):
                 words, kept = text.split() if text else [], text
-                gone = covered(len(words), np.asarray(starts.values), span) if starts.is_valid else np.zeros(len(words), bool)
+                at = np.concatenate((np.asarray(starts.values if starts.is_valid else [], np.int64), places(runs)))
+                gone = covered(len(words), at, span) if len(at) else np.zeros(len(words), bool)
                 if gone.any():
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     kept = b" ".join(words)
@@ -150,10 +191,9 @@ def remove_repeats(docs: DataFrame, span: int = 20, seed: int = SEED, rest: Colu
                 out["kept"].append(kept)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
             done = [pa.array(x, t) for x, t in zip(out.values(), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *done[:3], done[3].cast(pa.string()), batch.column(3)], names=["k", *out, "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *done[:3], done[3].cast(pa.string()), batch.column(5)], names=["k", *out, "rest"])
 
-    both = texts.join(marks, ["k", "th"], "left").select("k", "text", "starts", "rest")
-    done = both.mapInArrow(strip, f"k long, n_words long, n_removed long, kept_sha256 string, kept string, rest {texts.schema['rest'].dataType.simpleString()}")
+    done = both.mapInArrow(strip, f"k long, n_words long, n_removed long, kept_sha256 string, kept string, rest {both.schema['rest'].dataType.simpleString()}")
     return done.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", "rest")
 
 
