@@ -1,6 +1,909 @@
-"""Registered queries and their SQL."""
+"""Registered queries, by operator id, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import vectors as V
+from .operators import cdc, enrich, graph, markdown, quality_rules, search
+from .plans.views import duck, view
+from .sources import files
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, *views: str, sql: str | None = None):
+    """Register a function of views under an operator id."""
+
+    def put(f):
+        QUERIES[name] = lambda spark, sf_dir: f(*[view(spark, sf_dir, v) for v in views])
+        if sql:
+            ORACLES[name] = duck(sql)
+        return f
+
+    return put
+
+
+c = F.col
+
+# --- change data capture ---------------------------------------------------------------------------------------------
+
+_REPLAY = """WITH gone AS (SELECT item_id, max((ts, pos)) AS gone FROM log WHERE operation = 'delete' GROUP BY item_id),
+alive AS (SELECT l.* FROM log l LEFT JOIN gone g ON l.item_id = g.item_id WHERE operation <> 'delete' AND (gone IS NULL OR (l.ts, l.pos) > gone))
+"""
+
+
+@query("CDC-05", "log", sql=_REPLAY + "SELECT item_id, arg_max(value, (ts, pos)) AS value FROM alive GROUP BY item_id")
+def _(log):
+    return cdc.replay(log, "item_id", ["ts", "pos"], "operation", ["value"]).select("item_id", "value")
+
+
+@query("CDC-06", "log", sql=_REPLAY + "SELECT item_id, arg_max(value, (ts, pos)) AS value, arg_min(pos, (ts, pos)) AS place FROM alive GROUP BY item_id")
+def _(log):
+    return cdc.replay(log, "item_id", ["ts", "pos"], "operation", ["value"]).select("item_id", "value", c("place.pos").alias("place"))
+
+
+_SIDES = """WITH p AS (SELECT user_id AS item_id, max(value) AS v FROM events WHERE event_id % 5 < 3 GROUP BY user_id),
+n AS (SELECT user_id AS item_id, max(value) AS v FROM events WHERE event_id % 5 > 1 GROUP BY user_id),
+d AS (SELECT coalesce(n.item_id, p.item_id) AS item_id, coalesce(n.v, p.v) AS v, CASE WHEN p.item_id IS NULL THEN 'add' WHEN n.item_id IS NULL THEN 'delete' WHEN p.v <> n.v THEN 'update' END AS operation
+FROM p FULL JOIN n ON p.item_id = n.item_id)
+"""
+
+
+def _sides(events):
+    side = lambda f: events.where(f).groupBy(c("user_id").alias("item_id")).agg(F.max("value").alias("v"))
+    return side("event_id % 5 < 3"), side("event_id % 5 > 1")
+
+
+@query("CDC-03", "events", sql=_SIDES + "SELECT * FROM d WHERE operation IS NOT NULL")
+def _(events):
+    return cdc.diff(*_sides(events), "item_id", ["v"])
+
+
+@query("CDC-04", "events", sql="SELECT user_id AS item_id, max(value) AS v, 'add' AS operation FROM events GROUP BY user_id")
+def _(events):
+    now = events.groupBy(c("user_id").alias("item_id")).agg(F.max("value").alias("v"))
+    return cdc.diff(now.limit(0), now, "item_id", ["v"])
+
+
+@query("JOI-11", "events", sql=_SIDES + "SELECT operation, count(*) AS n FROM d WHERE operation IS NOT NULL GROUP BY operation")
+def _(events):
+    return cdc.diff(*_sides(events), "item_id", ["v"]).groupBy("operation").agg(F.count("*").alias("n"))
+
+
+@query("SET-06", "events", sql=_SIDES + "SELECT item_id, v FROM p WHERE item_id NOT IN (SELECT item_id FROM n)")
+def _(events):
+    p, n = _sides(events)
+    return p.join(n, "item_id", "left_anti")
+
+
+@query("CDC-08", "texts", sql="SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM texts GROUP BY source, lang")
+def _(texts):
+    return texts.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SRC-03", "log", sql="SELECT item_id, pos FROM log WHERE day = (SELECT max(day) FROM log )")
+def _(log):
+    return files.latest(log.withColumn("name", c("day").cast("string"))).select("item_id", "pos")
+
+
+@query("SRC-04", "log", sql="SELECT item_id, pos FROM log WHERE day > (SELECT min(day) FROM log WHERE pos = 0)")
+def _(log):
+    start = log.where("pos = 0").agg(F.min("day").cast("string").alias("start"))
+    rows = log.withColumn("name", c("day").cast("string"))
+    return rows.join(F.broadcast(start), c("name") > c("start")).select("item_id", "pos")  # one row
+
+
+@query("DML-01", "log", sql="SELECT 'last' AS key, max(day)::VARCHAR AS value FROM log")
+def _(log):
+    return log.agg(F.lit("last").alias("key"), F.max("day").cast("string").alias("value"))
+
+
+@query("DML-02", "authors", sql="SELECT name, max(author_id) AS author_id FROM authors GROUP BY name")
+def _(authors):
+    return authors.groupBy("name").agg(F.max_by("author_id", "author_id").alias("author_id"))
+
+
+@query(
+    "DML-03",
+    "books",
+    "reading",
+    sql="SELECT book_id, title, coalesce(n, o) AS date_read FROM (SELECT b.book_id, title, (SELECT max(date_read) FROM reading r WHERE r.book_id = b.book_id AND status = 'F') AS n, (SELECT max(date_read) FROM reading r WHERE r.book_id = b.book_id) AS o FROM books b)",
+)
+def _(books, reading):
+    old = books.join(reading.groupBy("book_id").agg(F.max("date_read").alias("date_read")), "book_id", "left")
+    new = books.join(reading.where("status = 'F'").groupBy("book_id").agg(F.max("date_read").alias("date_read")), "book_id", "left").withColumn("operation", F.lit("update"))
+    return cdc.merge(old, new, "book_id", ["title", "date_read"], keep_old=True)
+
+
+@query("DML-04", "book_authors", sql="SELECT book_id, author_id FROM book_authors WHERE book_id % 2 = 0 UNION SELECT book_id, author_id FROM book_authors WHERE book_id % 3 = 0")
+def _(links):
+    have = links.where("book_id % 2 = 0")
+    return have.unionByName(links.where("book_id % 3 = 0").join(have, ["book_id", "author_id"], "left_anti"))
+
+
+ORACLES["JOI-15"] = ORACLES["DML-04"]
+QUERIES["JOI-15"] = QUERIES["DML-04"]
+
+
+@query(
+    "DML-06",
+    "events",
+    sql=_SIDES + "SELECT item_id, CASE WHEN operation IS NULL THEN v ELSE v END AS v FROM d WHERE operation IS NULL OR operation <> 'delete'",
+)
+def _(events):
+    p, n = _sides(events)
+    return cdc.merge(p, cdc.diff(p, n, "item_id", ["v"]), "item_id", ["v"])
+
+
+@query("DML-07", "authors", "book_authors", sql="SELECT author_id, name FROM authors WHERE author_id IN (SELECT author_id FROM book_authors WHERE book_id % 50 = 0)")
+def _(authors, links):
+    return cdc.orphans_removed(authors, links.where("book_id % 50 = 0"), "author_id", "author_id").select("author_id", "name")
+
+
+@query("JOI-09", "books", "book_authors", sql="SELECT count(*) AS orphans FROM books WHERE book_id NOT IN (SELECT book_id FROM book_authors WHERE author_id % 2 = 0)")
+def _(books, links):
+    return books.join(links.where("author_id % 2 = 0"), "book_id", "left_anti").agg(F.count("*").alias("orphans"))
+
+
+@query("DML-08", "books", sql="SELECT book_id, coalesce(CASE WHEN book_id % 2 = 0 THEN book_id END, page_count) AS page_count, title FROM books")
+def _(books):
+    new = books.select("book_id", F.when(c("book_id") % 2 == 0, c("book_id")).alias("page_count"))
+    return enrich.merged(books.select("book_id", "page_count", "title"), new, "book_id", ["page_count"])
+
+
+@query("DML-09", "lineitem", sql="SELECT l_partkey AS book_id, l_linestatus AS subject_id, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber)) AS source FROM lineitem GROUP BY 1, 2")
+def _(lineitem):
+    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    return lineitem.groupBy(c("l_partkey").alias("book_id"), c("l_linestatus").alias("subject_id")).agg(F.max_by("l_returnflag", at).alias("source"))
+
+
+@query("DML-10", "books", sql="SELECT 'subject:' || substr(sha256(lower(kind)), 1, 16) AS id, arg_min(kind, book_id) AS name FROM books GROUP BY 1")
+def _(books):
+    return books.groupBy(T.hashed_id("subject", "kind").alias("id")).agg(F.min_by("kind", "book_id").alias("name"))
+
+
+@query("DML-11", "authors", sql="SELECT author_id, CASE WHEN author_id % 3 = 0 THEN 'Q' || author_id ELSE lower(replace(replace(name, '#', ''), ' ', '-')) END AS id FROM authors")
+def _(authors):
+    known = authors.where("author_id % 3 = 0").select("author_id", F.concat(F.lit("Q"), "author_id").alias("external"))
+    return authors.join(known, "author_id", "left").select("author_id", F.coalesce("external", T.slug("name")).alias("id"))
+
+
+@query("DML-12", "influences", sql="SELECT DISTINCT src, dst FROM influences WHERE src = 5 OR dst = 5")
+def _(influences):
+    return influences.where("src is not null and dst is not null and (src = 5 or dst = 5)").distinct()
+
+
+@query("DML-13", "books", sql="SELECT 'book' AS entity_type, book_id::VARCHAR AS entity_id, 'publisher' AS field_name, publisher AS new_value, 'library' AS source, 'api' AS method FROM books UNION ALL SELECT 'book', book_id::VARCHAR, 'page_count', page_count::VARCHAR, 'library', 'api' FROM books WHERE page_count IS NOT NULL")
+def _(books):
+    return enrich.provenance(books, "book_id", "book", ["publisher", "page_count"], "library", "api")
+
+
+# --- projection, filter ----------------------------------------------------------------------------------------------
+
+
+@query("FLT-01", "authors", sql="SELECT author_id, name FROM authors WHERE author_id = 7")
+def _(authors):
+    return authors.where("author_id = 7").select("author_id", "name")
+
+
+@query("FLT-02", "books", sql="SELECT book_id, title FROM books WHERE title ILIKE '%A%t%'")
+def _(books):
+    return books.where(c("title").ilike("%A%t%")).select("book_id", "title")
+
+
+@query("FLT-03", "books", sql="SELECT book_id FROM books WHERE page_count IS NULL")
+def _(books):
+    return books.where("page_count is null").select("book_id")
+
+
+@query("FLT-04", "books", sql="SELECT count(*) AS total, count(page_count) AS n_page_count FROM books")
+def _(books):
+    return books.agg(F.count("*").alias("total"), F.count("page_count").alias("n_page_count"))
+
+
+@query("FLT-05", "provenance", sql="SELECT id, value FROM provenance WHERE source = 'click' AND entity_id = 3 AND value > 10")
+def _(p):
+    return p.where((c("source") == "click") & (c("entity_id") == 3) & (c("value") > 10)).select("id", "value")
+
+
+@query("FLT-06", "provenance", sql="SELECT id FROM provenance WHERE source = 'view'")
+def _(p):
+    wanted = {"source": "view", "entity_id": ""}
+    for name, value in wanted.items():
+        p = p.where(c(name) == value) if value else p
+    return p.select("id")
+
+
+@query("FLT-07", "texts", sql="SELECT count(*) AS n FROM texts WHERE length(trim(text)) > 0")
+def _(texts):
+    return texts.where(F.length(T.pystrip("text")) > 0).agg(F.count("*").alias("n"))
+
+
+@query("FLT-09", "books", sql="SELECT book_id FROM books WHERE publication_year > 1900 AND publisher = 'Brand#13'")
+def _(books):
+    return books.sparkSession.sql("SELECT book_id FROM {b} WHERE publication_year > :y AND publisher = :p", args={"y": 1900, "p": "Brand#13"}, b=books)
+
+
+@query("PRJ-01", "books", sql="SELECT book_id AS id, title, publication_year FROM books")
+def _(books):
+    return books.select(c("book_id").alias("id"), "title", "publication_year")
+
+
+@query("PRJ-02", "authors", sql="SELECT author_id, CASE WHEN name IS NULL OR name = '' THEN 'Unknown' ELSE name END AS full_name FROM authors")
+def _(authors):
+    return authors.select("author_id", T.display_name(F.lit(""), "name").alias("full_name"))
+
+
+@query("PRJ-04", "notes", sql="SELECT count(*) AS total, count(*) FILTER (WHERE label = 1) AS n_label, count(*) FILTER (WHERE item_id % 2 = 0) AS n_even, count(*) FILTER (WHERE label = 1 AND item_id % 2 = 0) AS filtered, round(100.0::DOUBLE * (count(*) - count(*) FILTER (WHERE label = 1 AND item_id % 2 = 0)) / count(*), 6) AS reduction FROM notes")
+def _(notes):
+    return search.selectivity(notes, {"label": c("label") == 1, "even": c("item_id") % 2 == 0})
+
+
+# --- joins, windows, order, sets -------------------------------------------------------------------------------------
+
+
+@query("JOI-01", "books", "book_authors", sql="SELECT b.book_id, title FROM books b JOIN book_authors ba ON b.book_id = ba.book_id WHERE author_id = 3")
+def _(books, links):
+    return books.join(links.where("author_id = 3"), "book_id").select("book_id", "title")
+
+
+@query("JOI-02", "authors", "influences", sql="SELECT a.author_id, name, 'influencer' AS role FROM authors a JOIN influences ON author_id = src WHERE dst = 5 UNION ALL SELECT a.author_id, name, 'influenced' FROM authors a JOIN influences ON author_id = dst WHERE src = 5")
+def _(authors, e):
+    one = lambda a, b, role: authors.join(e.where(c(b) == 5), c("author_id") == c(a)).select("author_id", "name", F.lit(role).alias("role"))
+    return one("src", "dst", "influencer").unionByName(one("dst", "src", "influenced"))
+
+
+@query("JOI-03", "book_subjects", sql="SELECT book_id, subject_id, source FROM book_subjects WHERE book_id = 11")
+def _(s):
+    return s.where("book_id = 11")
+
+
+_BY_SUBJECT = "SELECT DISTINCT b.book_id, title FROM books b JOIN book_subjects s ON b.book_id = s.book_id WHERE subject_id = 'RF'"
+
+
+@query("JOI-04", "books", "book_subjects", sql=_BY_SUBJECT)
+def _(books, s):
+    return books.join(s.where("subject_id = 'RF'"), "book_id", "left_semi").select("book_id", "title")
+
+
+@query("GRA-04", "books", "book_subjects", sql=_BY_SUBJECT + " ORDER BY title, b.book_id LIMIT 20")
+def _(books, s):
+    return books.join(s.where("subject_id = 'RF'"), "book_id", "left_semi").orderBy("title", "book_id").limit(20).select("book_id", "title")
+
+
+@query("JOI-05", "books", "book_subjects", sql="SELECT b.book_id, string_agg(subject_id || '/' || source, ',' ORDER BY subject_id, source) AS subjects FROM books b LEFT JOIN book_subjects s ON b.book_id = s.book_id GROUP BY b.book_id")
+def _(books, s):
+    both = books.join(s, "book_id", "left").groupBy("book_id").agg(F.sort_array(F.collect_list(F.when(c("subject_id").isNotNull(), F.struct("subject_id", "source")))).alias("l"))
+    joined = F.array_join(F.transform("l", lambda x: F.concat(x["subject_id"], F.lit("/"), x["source"])), ",")
+    return both.select("book_id", F.when(F.size("l") > 0, joined).alias("subjects"))
+
+
+@query(
+    "JOI-06",
+    "books",
+    "book_authors",
+    "authors",
+    "book_subjects",
+    sql="SELECT b.book_id, title, min(name) AS author, count(DISTINCT subject_id) AS n_subjects FROM books b LEFT JOIN book_authors ba ON b.book_id = ba.book_id LEFT JOIN authors a ON a.author_id = ba.author_id LEFT JOIN book_subjects s ON s.book_id = b.book_id GROUP BY b.book_id, title",
+)
+def _(books, links, authors, s):
+    # each side is reduced to a row a book before it is joined, so that links and subjects do not multiply
+    names = links.join(authors, "author_id").groupBy("book_id").agg(F.min("name").alias("author"))
+    n = s.groupBy("book_id").agg(F.count_distinct("subject_id").alias("n_subjects"))
+    return books.join(names, "book_id", "left").join(n, "book_id", "left").select("book_id", "title", "author", F.coalesce("n_subjects", F.lit(0)).alias("n_subjects"))
+
+
+QUERIES["AGG-05"], ORACLES["AGG-05"] = QUERIES["JOI-06"], ORACLES["JOI-06"]
+QUERIES["ENR-12"], ORACLES["ENR-12"] = QUERIES["JOI-06"], ORACLES["JOI-06"]
+
+
+@query("JOI-07", "authors", "influences", sql="SELECT a.name AS influencer, b.name AS influenced FROM influences JOIN authors a ON a.author_id = src JOIN authors b ON b.author_id = dst")
+def _(authors, e):
+    a = authors.select(c("author_id").alias("src"), c("name").alias("influencer"))
+    return e.join(a, "src").join(authors.select(c("author_id").alias("dst"), c("name").alias("influenced")), "dst").select("influencer", "influenced")
+
+
+@query("JOI-08", "lineitem", "books", "authors", sql="SELECT title, name, count(*) AS notes FROM lineitem JOIN books ON book_id = l_partkey JOIN authors ON author_id = l_suppkey WHERE l_quantity > 45 GROUP BY title, name")
+def _(lineitem, books, authors):
+    rows = lineitem.where("l_quantity > 45").groupBy(c("l_partkey").alias("book_id"), c("l_suppkey").alias("author_id")).agg(F.count("*").alias("n"))
+    return rows.join(books, "book_id").join(authors, "author_id").groupBy("title", "name").agg(F.sum("n").alias("notes"))
+
+
+@query("JOI-10", "nation", "supplier", sql="SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def _(nation, supplier):
+    return nation.join(supplier.where("s_acctbal < 0"), c("n_nationkey") == c("s_nationkey"), "left_semi").select("n_name")
+
+
+@query("JOI-12", "books", "book_authors", "authors", sql="SELECT b.book_id, (SELECT arg_min(name, a.author_id) FROM book_authors ba JOIN authors a ON a.author_id = ba.author_id WHERE ba.book_id = b.book_id) AS author FROM books b")
+def _(books, links, authors):
+    first = links.join(authors, "author_id").groupBy("book_id").agg(F.min_by("name", "author_id").alias("author"))
+    return books.join(first, "book_id", "left").select("book_id", "author")
+
+
+@query("JOI-13", "supplier", "nation", sql="SELECT s_suppkey AS author_id, coalesce(n_name, 'Q' || s_nationkey) AS country FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 20")
+def _(supplier, nation):
+    labels = nation.where("n_nationkey < 20").select(F.concat(F.lit("Q"), "n_nationkey").alias("qid"), c("n_name").alias("label"))
+    rows = supplier.select(c("s_suppkey").alias("author_id"), F.concat(F.lit("Q"), "s_nationkey").alias("country"))
+    return enrich.resolve(rows, "country", labels)
+
+
+for _n in ("ENR-07", "SRC-13"):
+    QUERIES[_n], ORACLES[_n] = QUERIES["JOI-13"], ORACLES["JOI-13"]
+
+
+_PAIRS = "SELECT a.subject_id AS s1, b.subject_id AS s2, count(*) AS n FROM book_subjects a JOIN book_subjects b ON a.book_id = b.book_id AND a.subject_id < b.subject_id GROUP BY 1, 2"
+
+
+@query("JOI-14", "book_subjects", sql=_PAIRS)
+def _(s):
+    # pairs are made inside each book's short list, not by a self-join
+    lists = s.groupBy("book_id").agg(F.sort_array(F.collect_set("subject_id")).alias("l"))
+    first = lists.select(F.posexplode("l").alias("i", "s1"), "l")
+    return first.select("s1", F.explode(F.slice("l", c("i") + 2, F.size("l"))).alias("s2")).groupBy("s1", "s2").agg(F.count("*").alias("n"))
+
+
+QUERIES["ANA-08"], ORACLES["ANA-08"] = QUERIES["JOI-14"], ORACLES["JOI-14"]
+
+
+@query("WIN-01", "log", sql=_REPLAY + "SELECT item_id, row_number() OVER (ORDER BY min((ts, pos))) - 1 AS position FROM alive GROUP BY item_id")
+def _(log):
+    state = cdc.replay(log, "item_id", ["ts", "pos"], "operation", ["value"])
+    # numbers by ranges of the order: counts of coarse buckets give each bucket its start, no single task sorts all
+    b = state.withColumn("bucket", F.to_date("place.ts"))
+    starts = b.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("place")) - 1
+    return b.withColumn("nth", nth).join(starts, "bucket").select("item_id", (c("start") + c("nth")).alias("position"))
+
+
+@query("WIN-02", "books", sql="SELECT book_id, (SELECT max(book_id) FROM books WHERE book_id % 2 = 0) + row_number() OVER (ORDER BY book_id) AS next FROM books WHERE book_id % 2 = 1 AND book_id < 500")
+def _(books):
+    top = books.where("book_id % 2 = 0").agg(F.max("book_id").alias("top"))
+    new = books.where("book_id % 2 = 1 and book_id < 500").join(F.broadcast(top), how="cross")  # one row
+    return new.select("book_id", (c("top") + F.row_number().over(Window.orderBy("book_id"))).alias("next"))
+
+
+@query("WIN-03", "log", sql="WITH w AS (SELECT item_id, pos, operation, lag(operation) OVER (PARTITION BY item_id ORDER BY ts, pos) AS prev, max(CASE WHEN operation = 'add' THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY ts, pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM log ) SELECT item_id, pos FROM w WHERE operation <> 'add' AND prev = 'add' AND later = 1")
+def _(log):
+    own = Window.partitionBy("item_id").orderBy("ts", "pos")
+    hit = c("operation") == "add"
+    rows = log.withColumns({"prev": F.lag("operation").over(own), "later": F.max(hit).over(own.rowsBetween(1, Window.unboundedFollowing))})
+    return rows.where(~hit & (c("prev") == "add") & c("later")).select("item_id", "pos")
+
+
+@query("WIN-05", "log", sql="SELECT item_id, pos, sum(CASE WHEN operation = 'add' THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY ts, pos)::BIGINT AS island FROM log")
+def _(log):
+    own = Window.partitionBy("item_id").orderBy("ts", "pos")
+    return log.select("item_id", "pos", F.sum((c("operation") == "add").cast("long")).over(own).alias("island"))
+
+
+@query("SRT-01", "authors", sql="SELECT author_id, name FROM authors ORDER BY name, author_id LIMIT 10")
+def _(authors):
+    return authors.orderBy("name", "author_id").limit(10).select("author_id", "name")
+
+
+@query("GRA-02", "authors", sql="SELECT author_id, name FROM authors WHERE name ILIKE '%00001%' ORDER BY name, author_id LIMIT 10")
+def _(authors):
+    return authors.where(c("name").ilike("%00001%")).orderBy("name", "author_id").limit(10).select("author_id", "name")
+
+
+@query("SRT-02", "provenance", sql="SELECT id, source FROM provenance ORDER BY enriched_at DESC, id DESC LIMIT 100")
+def _(p):
+    return p.orderBy(F.desc("enriched_at"), F.desc("id")).limit(100).select("id", "source")
+
+
+@query("SRT-03", "books", sql="SELECT book_id FROM books WHERE page_count IS NULL ORDER BY book_id LIMIT 25")
+def _(books):
+    return books.where("page_count is null").orderBy("book_id").limit(25).select("book_id")
+
+
+@query("SRT-04", "books", "reading", sql="SELECT book_id, date_read FROM (SELECT b.book_id, max(date_read) AS date_read FROM books b LEFT JOIN reading r ON r.book_id = b.book_id AND status = 'F' GROUP BY b.book_id) ORDER BY date_read NULLS LAST, book_id LIMIT 50")
+def _(books, reading):
+    read = reading.where("status = 'F'").groupBy("book_id").agg(F.max("date_read").alias("date_read"))
+    return books.join(read, "book_id", "left").orderBy(c("date_read").asc_nulls_last(), "book_id").limit(50).select("book_id", "date_read")
+
+
+@query("SRT-07", "books", sql="SELECT kind, count(*) AS n FROM books GROUP BY kind ORDER BY count(*) DESC, min(book_id) LIMIT 10")
+def _(books):
+    return books.groupBy("kind").agg(F.count("*").alias("n"), F.min("book_id").alias("seen")).orderBy(F.desc("n"), "seen").limit(10).select("kind", "n")
+
+
+@query("SET-01", "notes", sql="SELECT item_id FROM notes WHERE label = 1 INTERSECT SELECT item_id FROM notes WHERE item_id % 3 = 0")
+def _(notes):
+    return notes.where((c("label") == 1) & (c("item_id") % 3 == 0)).select("item_id")
+
+
+@query("SET-02", "books", sql="SELECT book_id, array_to_string(list_sort(list_distinct(list_filter([publisher, kind, publisher, ''], lambda x: x <> ''))), '|') AS tags FROM books")
+def _(books):
+    tags = F.array_sort(F.array_distinct(F.filter(F.array("publisher", "kind", "publisher", F.lit("")), lambda x: x != "")))
+    return books.select("book_id", F.array_join(tags, "|").alias("tags"))
+
+
+@query("SET-03", "influences", sql="SELECT src AS a, dst AS b FROM influences UNION ALL SELECT dst, src FROM influences")
+def _(e):
+    return e.select(c("src").alias("a"), c("dst").alias("b")).unionByName(e.select(c("dst").alias("a"), c("src").alias("b")))
+
+
+@query("SET-04", "books", sql="SELECT book_id FROM books WHERE publisher = 'Brand#11' OR kind = 'x'")
+def _(books):
+    return books.where((c("publisher") == "Brand#11") | (c("kind") == "x")).select("book_id")
+
+
+@query("SET-05", "book_subjects", sql="SELECT DISTINCT subject_id, source FROM book_subjects")
+def _(s):
+    return s.select("subject_id", "source").distinct()
+
+
+# --- aggregates and analytics ----------------------------------------------------------------------------------------
+
+
+@query("AGG-01", "log", sql="SELECT count(*) AS n FROM log")
+def _(log):
+    return log.agg(F.count("*").alias("n"))
+
+
+@query("AGG-02", "log", sql="SELECT coalesce(max(pos), 0) AS top FROM log WHERE pos < 0")
+def _(log):
+    return log.where("pos < 0").agg(F.coalesce(F.max("pos"), F.lit(0)).alias("top"))
+
+
+@query("AGG-03", "book_subjects", sql="SELECT count(DISTINCT book_id) AS books, count(DISTINCT subject_id) AS subjects FROM book_subjects")
+def _(s):
+    return s.agg(F.count_distinct("book_id").alias("books"), F.count_distinct("subject_id").alias("subjects"))
+
+
+@query("AGG-04", "provenance", sql="SELECT 'source' AS kind, source AS key, count(*) AS n FROM provenance GROUP BY source UNION ALL SELECT 'entity', (entity_id % 7)::VARCHAR, count(*) FROM provenance GROUP BY entity_id % 7")
+def _(p):
+    # one pass: rows are counted by both keys at once, and the few counts are summed for each
+    n = p.groupBy("source", (c("entity_id") % 7).cast("string").alias("entity")).agg(F.count("*").alias("n"))
+    keys = F.array(F.struct(F.lit("source").alias("kind"), c("source").alias("key")), F.struct(F.lit("entity").alias("kind"), c("entity").alias("key")))
+    return n.select(F.explode(keys).alias("p"), "n").groupBy("p.kind", "p.key").agg(F.sum("n").alias("n"))
+
+
+@query("AGG-06", "books", sql="SELECT count(*) AS total, count(page_count) AS n_page_count, CASE WHEN count(*) > 0 THEN round_even(count(page_count) * 100.0::DOUBLE / count(*), 1) ELSE 0 END AS pct_page_count FROM books")
+def _(books):
+    return enrich.coverage(books, ["page_count"])
+
+
+QUERIES["SCL-28"], ORACLES["SCL-28"] = QUERIES["AGG-06"], ORACLES["AGG-06"]
+
+
+@query("ENR-11", "documents", "labels", sql="SELECT count(*) AS total, count(quality) AS n_quality, CASE WHEN count(*) > 0 THEN round_even(count(quality) * 100.0::DOUBLE / count(*), 1) ELSE 0 END AS pct_quality FROM documents LEFT JOIN labels USING (doc_id)")
+def _(documents, labels):
+    return enrich.coverage(documents.select("doc_id").join(labels, "doc_id", "left"), ["quality"])
+
+
+@query("ENR-01", "documents", "labels", sql="SELECT count(*) AS attempted, count(quality) AS successful, count(*) - count(quality) AS failed FROM documents LEFT JOIN labels USING (doc_id)")
+def _(documents, labels):
+    return documents.select("doc_id").join(labels, "doc_id", "left").agg(F.count("*").alias("attempted"), F.count("quality").alias("successful"), (F.count("*") - F.count("quality")).alias("failed"))
+
+
+@query("ENR-03", "documents", "labels", sql="SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(documents, labels):
+    return documents.select("doc_id").join(labels, "doc_id", "left_anti")
+
+
+@query("AGG-07", "book_subjects", sql="SELECT source, string_agg(DISTINCT subject_id, ';' ORDER BY subject_id) AS subjects FROM book_subjects GROUP BY source")
+def _(s):
+    return s.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("subject_id")), ";").alias("subjects"))
+
+
+@query("AGG-08", "books", sql="WITH k AS (SELECT lower(publisher) AS key, publisher AS v, count(*) AS n, min(book_id) AS seen FROM books GROUP BY 1, 2) SELECT key, arg_max(v, (n, -seen)) AS value, sum(n)::BIGINT AS frequency, sum(n)::DOUBLE / sum(sum(n)) OVER () AS share FROM k GROUP BY key")
+def _(books):
+    k = books.groupBy(F.lower("publisher").alias("key"), c("publisher").alias("v")).agg(F.count("*").alias("n"), F.min("book_id").alias("seen"))
+    out = k.groupBy("key").agg(F.max_by("v", F.struct("n", -c("seen"))).alias("value"), F.sum("n").alias("frequency"))
+    return out.withColumn("share", c("frequency") / F.sum("frequency").over(Window.partitionBy()))
+
+
+@query("AGG-09", "log", sql="SELECT count(*) FILTER (WHERE operation = 'add') AS adds, count(*) FILTER (WHERE operation = 'update') AS updates, count(*) FILTER (WHERE operation = 'delete') AS deletes FROM log")
+def _(log):
+    return log.agg(*[F.count_if(c("operation") == o).alias(f"{o}s") for o in ("add", "update", "delete")])
+
+
+@query("AGG-11", "notes", sql="SELECT count(*) AS total, count(DISTINCT label) AS labels FROM notes")
+def _(notes):
+    return notes.agg(F.count("*").alias("total"), F.count_distinct("label").alias("labels"))
+
+
+@query("AGG-12", "texts", sql="SELECT lang, count(*) AS n FROM texts GROUP BY lang")
+def _(texts):
+    return texts.groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("AGG-13", "lineitem", "books", sql="SELECT book_id, title, count(*) AS excerpts FROM lineitem JOIN books ON book_id = l_partkey GROUP BY book_id, title ORDER BY count(*) DESC, book_id LIMIT 10")
+def _(lineitem, books):
+    n = lineitem.groupBy(c("l_partkey").alias("book_id")).agg(F.count("*").alias("excerpts"))
+    return n.join(books, "book_id").orderBy(F.desc("excerpts"), "book_id").limit(10).select("book_id", "title", "excerpts")
+
+
+@query("AGG-14", "provenance", sql="SELECT string_agg(source || '=' || n, ',' ORDER BY source) AS stats FROM (SELECT source, count(*) AS n FROM provenance GROUP BY source)")
+def _(p):
+    n = p.groupBy("source").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("m"))
+    return n.select(F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("stats"))
+
+
+@query("ANA-01", "influences", sql="SELECT count(*) AS edges, count(DISTINCT src) AS influencers, count(DISTINCT dst) AS influenced FROM influences")
+def _(e):
+    return e.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("influencers"), F.count_distinct("dst").alias("influenced"))
+
+
+@query("ANA-02", "influences", sql="SELECT dst AS author_id, count(*) AS n FROM influences GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 10")
+def _(e):
+    return e.groupBy(c("dst").alias("author_id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "author_id").limit(10)
+
+
+@query("ANA-03", "influences", sql="SELECT src, dst FROM influences WHERE src IN (3, 4) OR dst IN (3, 4)")
+def _(e):
+    return e.where(c("src").isin(3, 4) | c("dst").isin(3, 4))
+
+
+@query("ANA-04", "authors", sql="SELECT author_id, name, birth_year FROM authors WHERE death_year IS NOT NULL ORDER BY name, author_id LIMIT 50")
+def _(authors):
+    return authors.where("death_year is not null").orderBy("name", "author_id").limit(50).select("author_id", "name", "birth_year")
+
+
+@query("ANA-05", "book_subjects", sql="SELECT count(*) AS links, count(DISTINCT subject_id) AS subjects, count(DISTINCT book_id) AS books FROM book_subjects")
+def _(s):
+    return s.agg(F.count("*").alias("links"), F.count_distinct("subject_id").alias("subjects"), F.count_distinct("book_id").alias("books"))
+
+
+@query("ANA-06", "book_subjects", sql="SELECT source, subject_id, count(*) AS n FROM book_subjects GROUP BY source, subject_id ORDER BY count(*) DESC, subject_id LIMIT 20")
+def _(s):
+    return s.groupBy("source", "subject_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "subject_id").limit(20)
+
+
+@query("ANA-07", "movements", "author_movements", "book_authors", sql="SELECT m.name, count(DISTINCT book_id) AS books FROM movements m LEFT JOIN author_movements am ON am.movement_id = m.movement_id LEFT JOIN book_authors ba ON ba.author_id = am.author_id GROUP BY m.name")
+def _(m, am, ba):
+    pairs = am.join(ba, "author_id").select("movement_id", "book_id").distinct().groupBy("movement_id").agg(F.count("*").alias("books"))
+    return m.join(pairs, "movement_id", "left").select("name", F.coalesce("books", F.lit(0)).alias("books"))
+
+
+@query("ANA-09", "authors", "author_movements", "movements", sql="SELECT a.name, m.name AS movement FROM authors a JOIN author_movements am ON am.author_id = a.author_id JOIN movements m ON m.movement_id = am.movement_id WHERE m.name = 'ASIA'")
+def _(authors, am, m):
+    one = m.where("name = 'ASIA'").select("movement_id", c("name").alias("movement"))
+    return authors.join(am.join(one, "movement_id"), "author_id").select("name", "movement")
+
+
+@query("ANA-10", "books", "authors", "reading", sql="SELECT (SELECT count(*) FROM books ) AS books, (SELECT count(*) FROM authors ) AS authors, (SELECT count(DISTINCT book_id) FROM reading WHERE date_read IS NOT NULL) AS dated")
+def _(books, authors, reading):
+    n = lambda df, k, e: df.agg(e.alias(k))
+    return n(books, "books", F.count("*")).join(n(authors, "authors", F.count("*")), how="cross").join(n(reading.where("date_read is not null"), "dated", F.count_distinct("book_id")), how="cross")  # one row each
+
+
+@query("ANA-11", "reading", sql="SELECT year(date_read) AS y, quarter(date_read) AS q, month(date_read) AS m, count(*) AS n FROM reading GROUP BY 1, 2, 3")
+def _(reading):
+    return reading.groupBy(F.year("date_read").alias("y"), F.quarter("date_read").alias("q"), F.month("date_read").alias("m")).agg(F.count("*").alias("n"))
+
+
+@query("ANA-12", "authors", sql="SELECT nation, count(*) AS n, avg(death_year - birth_year) AS mean_age, min(death_year - birth_year) AS low, max(death_year - birth_year) AS high FROM authors GROUP BY nation")
+def _(authors):
+    age = c("death_year") - c("birth_year")
+    return authors.groupBy("nation").agg(F.count("*").alias("n"), F.avg(age).alias("mean_age"), F.min(age).alias("low"), F.max(age).alias("high"))
+
+
+@query("ANA-13", "books", sql="SELECT CASE WHEN publication_year < 1800 THEN 'Pre-1800' WHEN publication_year < 1900 THEN '19th' WHEN publication_year < 2000 THEN '20th' ELSE '21st' END AS century, publication_year // 10 * 10 AS decade, count(*) AS n FROM books GROUP BY 1, 2")
+def _(books):
+    y = c("publication_year")
+    century = F.when(y < 1800, "Pre-1800").when(y < 1900, "19th").when(y < 2000, "20th").otherwise("21st")
+    return books.groupBy(century.alias("century"), (F.floor(y / 10) * 10).alias("decade")).agg(F.count("*").alias("n"))
+
+
+@query("ANA-14", "books", "reading", sql="WITH a AS (SELECT year(date_read) - publication_year AS age FROM reading r JOIN books b ON b.book_id = r.book_id) SELECT CASE WHEN age <= 5 THEN '0-5' WHEN age <= 10 THEN '6-10' WHEN age <= 25 THEN '11-25' WHEN age <= 50 THEN '26-50' WHEN age <= 100 THEN '51-100' ELSE '101+' END AS span, count(*) AS n, avg(age) AS mean_age FROM a GROUP BY 1")
+def _(books, reading):
+    a = reading.join(books, "book_id").withColumn("age", F.year("date_read") - c("publication_year"))
+    span = None
+    for top, name in ((5, "0-5"), (10, "6-10"), (25, "11-25"), (50, "26-50"), (100, "51-100")):
+        span = F.when(c("age") <= top, name) if span is None else span.when(c("age") <= top, name)
+    return a.groupBy(span.otherwise("101+").alias("span")).agg(F.count("*").alias("n"), F.avg("age").alias("mean_age"))
+
+
+@query("ANA-15", "book_authors", sql="SELECT author_id, count(*) AS books, avg(count(*)) OVER () AS mean_books FROM book_authors GROUP BY author_id")
+def _(links):
+    n = links.groupBy("author_id").agg(F.count("*").alias("books"))
+    return n.join(F.broadcast(n.agg(F.avg("books").alias("mean_books"))), how="cross")  # one row
+
+
+@query("ANA-16", "reading", sql="SELECT award, count(*) AS n, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM reading GROUP BY award")
+def _(reading):
+    return reading.groupBy("award").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("status")), ",").alias("statuses"))
+
+
+@query("ANA-17", "reading", sql="WITH d AS (SELECT DISTINCT status, date_read FROM reading ), g AS (SELECT status, date_read - lag(date_read) OVER (PARTITION BY status ORDER BY date_read) AS gap FROM d) SELECT status, max(gap) AS longest FROM g GROUP BY status")
+def _(reading):
+    d = reading.select("status", "date_read").distinct()
+    gap = F.datediff("date_read", F.lag("date_read").over(Window.partitionBy("status").orderBy("date_read")))
+    return d.withColumn("gap", gap).groupBy("status").agg(F.max("gap").cast("long").alias("longest"))
+
+
+@query("ANA-18", "books", sql="SELECT book_id, title FROM books ORDER BY book_id LIMIT 20 OFFSET 40")
+def _(books):
+    return books.orderBy("book_id").offset(40).limit(20).select("book_id", "title")
+
+
+# --- scalar functions ------------------------------------------------------------------------------------------------
+
+
+@query("SCL-01", "books", sql="SELECT book_id, 'sha256:' || sha256(title || '|' || coalesce(publisher, '') || '|' || kind) AS item_id FROM books")
+def _(books):
+    return books.select("book_id", T.item_id("title", "publisher", "kind").alias("item_id"))
+
+
+@query("SCL-02", "books", sql="SELECT book_id, book_id % 2 = 0 AS ok FROM books")
+def _(books):
+    made = F.when(c("book_id") % 2 == 0, T.item_id("title")).otherwise(F.concat(T.item_id("title"), F.lit("x")))
+    return books.select("book_id", T.is_item_id(made).alias("ok"))
+
+
+@query("SCL-03", "books", sql="SELECT book_id, substr(regexp_replace(trim(regexp_replace(lower(title || '_' || publisher), '[^\\p{L}\\p{N} \\-_]', '', 'g')), ' +', '-', 'g'), 1, 100) AS id FROM books")
+def _(books):
+    return books.select("book_id", T.book_id("title", "publisher").alias("id"))
+
+
+@query("SCL-04", "authors", sql="SELECT author_id, CASE WHEN author_id % 3 = 0 THEN name WHEN author_id % 3 = 1 THEN 'A ' || name ELSE 'A' END AS name FROM authors")
+def _(authors):
+    first = F.when(c("author_id") % 3 > 0, "A")
+    last = F.when(c("author_id") % 3 < 2, c("name"))
+    return authors.select("author_id", T.display_name(first, last).alias("name"))
+
+
+@query("SCL-05", "books", sql="SELECT book_id, split_part(title, ' ', -1) AS last, CASE WHEN strpos(title, ' ') > 0 THEN regexp_replace(title, ' [^ ]*$', '') END AS first FROM books")
+def _(books):
+    return books.select("book_id", T.last_token("title").alias("last"), T.first_tokens("title").alias("first"))
+
+
+@query("SCL-06", "books", sql="SELECT book_id, publication_year::INT AS year FROM books")
+def _(books):
+    return books.select("book_id", T.year_in(F.concat(F.lit("printed in "), c("publication_year").cast("string"), F.lit("."))).alias("year"))
+
+
+@query("SCL-07", "books", sql="SELECT book_id, CASE WHEN book_id % 5 > 0 THEN publication_year::INT END AS year FROM books")
+def _(books):
+    sign = F.when(c("book_id") % 5 == 0, "-0").otherwise("+")
+    return books.select("book_id", T.claim_year(F.concat(sign, c("publication_year").cast("string"), F.lit("-01-01T00:00:00Z"))).alias("year"))
+
+
+@query("SCL-08", "books", sql="SELECT book_id, CASE WHEN book_id % 2 = 0 THEN '9780000000001' WHEN book_id % 3 = 0 THEN '9780000000002' END AS isbn FROM books")
+def _(books):
+    edition = F.when(c("book_id") % 2 == 0, F.array(F.lit("9780000000001")))
+    found = F.when(c("book_id") % 3 == 0, F.array(F.lit("0000000001"), F.lit("9780000000002")))
+    return books.select("book_id", T.pick_isbn(edition, found, 13).alias("isbn"))
+
+
+@query("SCL-09", "books", sql="SELECT book_id, coalesce(nullif(CASE WHEN book_id % 2 = 0 THEN '' ELSE kind END, ''), publisher) AS isbn FROM books")
+def _(books):
+    return books.select("book_id", F.coalesce(F.nullif(F.when(c("book_id") % 2 == 0, "").otherwise(c("kind")), F.lit("")), c("publisher")).alias("isbn"))
+
+
+@query("SCL-16", "books", sql="SELECT book_id, 'OL' || book_id || 'W' AS work FROM books")
+def _(books):
+    return books.select("book_id", T.work_id(F.concat(F.lit("/works/OL"), "book_id", F.lit("W"))).alias("work"))
+
+
+@query("SCL-17", "books", sql="SELECT book_id, CASE book_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'cs' END AS code FROM books")
+def _(books):
+    q = F.when(c("book_id") % 3 == 0, "Q1860").when(c("book_id") % 3 == 1, "Q9056").otherwise("Q1")
+    return books.select("book_id", T.language_code(q).alias("code"))
+
+
+@query("SCL-18", "books", sql="SELECT book_id, 'https://en.wikipedia.org/wiki/' || replace(title, ' ', '_') AS url FROM books")
+def _(books):
+    return books.select("book_id", T.wiki_url("title").alias("url"))
+
+
+@query("SCL-20", "books", sql="SELECT book_id, title || ': a' || '|' || title AS variants FROM books")
+def _(books):
+    return books.select("book_id", F.array_join(T.title_variants(F.concat("title", F.lit(": a"))), "|").alias("variants"))
+
+
+@query("SCL-21", "pages", sql="SELECT page_id, split_part(url, '/', -1) AS last FROM pages")
+def _(pages):
+    return pages.select("page_id", T.after_slash("url").alias("last"))
+
+
+@query("SCL-22", "provenance", sql="SELECT id, entity_id::VARCHAR AS v FROM provenance")
+def _(p):
+    return p.select("id", T.serialised(c("entity_id"), "bigint").alias("v"))
+
+
+@query("SCL-23", "provenance", sql="SELECT id, (props::JSON ->> 'k')::INT AS k FROM provenance")
+def _(p):
+    return p.select("id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+
+
+@query("SCL-27", "books", sql="SELECT book_id FROM books WHERE contains(lower(title), 'red')")
+def _(books):
+    return books.where(F.lower("title").contains("red")).select("book_id")
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------
+
+_COS = "WITH q AS (SELECT embedding AS q FROM notes WHERE item_id = 0), s AS (SELECT item_id, label, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS c FROM notes, q) "
+
+
+def _nearest(notes, k, where=None):
+    one = notes.where("item_id = 0").select(c("embedding").alias("q"))
+    rows = notes if where is None else notes.where(where)
+    cos = rows.join(F.broadcast(one), how="cross").withColumn("c", V.cosine("embedding", "q"))  # one row
+    return cos.orderBy(F.desc("c"), "item_id").limit(k).select("item_id", F.round("c", 6).alias("cosine"), F.round(V.similarity(c("c")), 6).alias("similarity"))
+
+
+@query("VEC-03", "notes", sql=_COS + "SELECT item_id, round(c, 6) AS cosine, round(1 - 2 * (1 - c) * (1 - c), 6) AS similarity FROM s ORDER BY c DESC, item_id LIMIT 10")
+def _(notes):
+    return _nearest(notes, 10)
+
+
+@query("VEC-04", "notes", sql=_COS + "SELECT item_id, round(c, 6) AS cosine, round(1 - 2 * (1 - c) * (1 - c), 6) AS similarity FROM s WHERE label = 3 ORDER BY c DESC, item_id LIMIT 5")
+def _(notes):
+    return _nearest(notes, 5, c("label") == 3)
+
+
+for _n in ("FLT-08", "VEC-09", "SRT-06"):
+    QUERIES[_n], ORACLES[_n] = QUERIES["VEC-04"], ORACLES["VEC-04"]
+
+
+@query("VEC-05", "notes", sql=_COS + "SELECT item_id, round(1 - 2 * (1 - c) * (1 - c), 6) AS similarity FROM s")
+def _(notes):
+    one = notes.where("item_id = 0").select(c("embedding").alias("q"))
+    return notes.join(F.broadcast(one), how="cross").select("item_id", F.round(V.similarity(V.cosine("embedding", "q")), 6).alias("similarity"))  # one row
+
+
+@query("VEC-02", "notes", sql="SELECT item_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) / list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS squared FROM notes")
+def _(notes):
+    u = V.unit("embedding")
+    return notes.select("item_id", F.round(V.dot(u, u), 4).alias("squared"))
+
+
+QUERIES["SCL-26"], ORACLES["SCL-26"] = QUERIES["VEC-02"], ORACLES["VEC-02"]
+
+
+@query("VEC-06", "notes", sql=_COS + "SELECT item_id, round(c, 6) AS cosine FROM s WHERE item_id % 7 <> 0 ORDER BY c DESC, item_id LIMIT 10")
+def _(notes):
+    live = search.without_deleted(notes, notes.where("item_id % 7 = 0").select("item_id"))
+    one = notes.where("item_id = 0").select(c("embedding").alias("q"))
+    return live.join(F.broadcast(one), how="cross").withColumn("c", V.cosine("embedding", "q")).orderBy(F.desc("c"), "item_id").limit(10).select("item_id", F.round("c", 6).alias("cosine"))  # one row
+
+
+@query(
+    "VEC-10",
+    "notes",
+    sql="SELECT query_id, item_id, round(c, 6) AS cosine, rank FROM (SELECT q.item_id AS query_id, n.item_id, c, row_number() OVER (PARTITION BY q.item_id ORDER BY c DESC, n.item_id)::INT AS rank FROM notes q JOIN notes n ON q.label = n.label, LATERAL (SELECT list_cosine_similarity(n.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c) WHERE q.item_id % 50 = 0) WHERE rank <= 3",
+)
+def _(notes):
+    asked = notes.where("item_id % 50 = 0").select(c("item_id").alias("query_id"), "label", c("embedding").alias("query_vector"))
+    return search.nearest_many(notes, asked, 3, "label").select("query_id", "item_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+# --- markdown and validation -----------------------------------------------------------------------------------------
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """Texts as notes: the first line is a title, every ninth a section, others items or continuations by length."""
+    rows = markdown.lines(texts.select(c("doc_id").cast("string").alias("path"), c("text").alias("content")))
+    marked = (
+        F.when(c("line_no") == 1, F.concat(F.lit("# "), F.substring("line", 1, 30)))
+        .when(c("line_no") % 9 == 2, F.concat(F.lit("## Notes"), (c("line_no") % 4).cast("string")))
+        .when(F.length("line") % 5 == 0, F.concat(F.lit("    "), "line"))
+        .when(F.length("line") % 7 == 0, F.concat(F.lit("  - "), "line"))
+        .when(F.length("line") % 11 == 0, F.concat(F.lit("* "), "line"))
+        .otherwise(F.concat(F.lit("- "), "line", F.when(F.length("line") % 3 == 0, F.lit(" (p.12)")).when(F.length("line") % 3 == 1, F.lit(" (p. 7)")).otherwise(F.lit(""))))
+    )
+    return rows.withColumn("line", marked)
+
+
+_LINES = """WITH split AS (SELECT doc_id::VARCHAR AS file, string_split(text, chr(10)) AS l FROM texts ), raw AS (SELECT file, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM split),
+lines AS (SELECT file, line_no, CASE WHEN line_no = 1 THEN '# ' || substr(line, 1, 30) WHEN line_no % 9 = 2 THEN '## Notes' || line_no % 4 WHEN length(line) % 5 = 0 THEN '    ' || line WHEN length(line) % 7 = 0 THEN '  - ' || line
+WHEN length(line) % 11 = 0 THEN '* ' || line ELSE '- ' || line || CASE length(line) % 3 WHEN 0 THEN ' (p.12)' WHEN 1 THEN ' (p. 7)' ELSE '' END END AS line FROM raw)
+"""
+
+
+def _rows(texts):
+    return _lines(texts).select(c("path").alias("file"), "line_no", "line")
+
+
+def _rule(name, rule, predicate):
+    @query(name, "texts", sql=_LINES + f"SELECT file, line_no FROM lines WHERE {predicate}")
+    def _(texts):
+        return rule(_rows(texts)).select("file", c("line_no").cast("long").alias("line_no"))
+
+
+_rule("VAL-H1", quality_rules.header_too_deep, "line LIKE '###%'")
+_rule("VAL-H2", quality_rules.header_without_space, "regexp_matches(line, '^#{1,2}[^\\s#]')")
+_rule("VAL-H3", quality_rules.section_as_title, "line LIKE '# %' AND lower(trim(substr(line, 3))) IN ('excerpts', 'ideas', 'images', 'notes', 'representations', 'same time', 'terms', 'threads', 'themes')")
+_rule("VAL-S1", quality_rules.section_spelling, "line LIKE '## %' AND lower(trim(substr(line, 4))) IN ('excerpts', 'ideas', 'images', 'notes', 'representations', 'same time', 'terms', 'threads', 'themes') AND trim(substr(line, 4)) <> lower(trim(substr(line, 4)))")
+_rule("VAL-S2", quality_rules.section_unknown, "line LIKE '## Notes%'")
+_rule("VAL-C1", quality_rules.citation_form, "line LIKE '- %' AND regexp_matches(line, '\\(p\\.\\d+\\)')")
+_rule("VAL-L1", quality_rules.list_marker, "regexp_matches(line, '^\\s*[*+]\\s')")
+_rule("VAL-L2", quality_rules.list_indent, "regexp_matches(line, '^ *-\\s') AND length(regexp_extract(line, '^( *)-\\s', 1)) % 4 <> 0")
+
+
+@query(
+    "VAL-C2",
+    "texts",
+    sql=_LINES
+    + "SELECT file, line_no FROM (SELECT file, line_no, cited, lag(cited) OVER w AS before, max(cited::INT) OVER (PARTITION BY file, part ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM (SELECT file, line_no, part, regexp_matches(line, '\\(p\\.\\s+\\d+\\)') AS cited FROM (SELECT *, sum(CASE WHEN line LIKE '## %' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no) AS part FROM lines) WHERE line LIKE '- %' AND part > 0) WINDOW w AS (PARTITION BY file, part ORDER BY line_no)) WHERE NOT cited AND before AND later = 1",
+)
+def _(texts):
+    return quality_rules.citation_missing(_rows(texts)).select("file", c("line_no").cast("long").alias("line_no"))
+
+
+_ISLANDS = "SELECT file, line_no FROM (SELECT *, max((trim(line) <> '' AND line NOT LIKE '#%')::INT) OVER (PARTITION BY file, part) AS filled FROM (SELECT *, sum(CASE WHEN line LIKE '{m}%' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no) AS part FROM lines) WHERE part > 0) WHERE filled = 0 AND line LIKE '{m}%'"
+
+
+@query("VAL-B1", "texts", sql=_LINES + _ISLANDS.format(m="## "))
+def _(texts):
+    return quality_rules.section_empty(_rows(texts)).select("file", c("line_no").cast("long").alias("line_no"))
+
+
+@query("VAL-B2", "texts", sql=_LINES + _ISLANDS.format(m="# "))
+def _(texts):
+    return quality_rules.book_empty(_rows(texts)).select("file", c("line_no").cast("long").alias("line_no"))
+
+
+@query("VAL-A", "texts")
+def _(texts):
+    return quality_rules.validate(_rows(texts)).drop("rule_no")
+
+
+@query("AGG-10", "texts")
+def _(texts):
+    return quality_rules.summary(quality_rules.validate(_rows(texts)))
+
+
+QUERIES["SNK-04"] = QUERIES["AGG-10"]
+
+
+@query("SNK-03", "texts")
+def _(texts):
+    return files.issue_report(quality_rules.validate(_rows(texts)))
+
+
+@query("VAL-LRN", "texts", sql=_LINES + "SELECT lower(trim(substr(line, 4))) AS key, any_value(trim(substr(line, 4))) AS value, count(*) AS frequency, count(*)::DOUBLE / sum(count(*)) OVER () AS confidence FROM lines WHERE line LIKE '## %' GROUP BY 1")
+def _(texts):
+    return quality_rules.learn(_rows(texts)).drop("examples")
+
+
+@query("VAL-FIX", "texts", sql=_LINES + "SELECT count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '^\\s*[*+]\\s')) AS fixed FROM lines")
+def _(texts):
+    rows = _rows(texts)
+    done = quality_rules.fix(rows, quality_rules.validate(rows, (quality_rules.list_marker,)))
+    return done.agg(F.count("*").alias("lines"), F.count_if("fixed").alias("fixed"))
+
+
+@query("PAR-04", "texts")
+def _(texts):
+    parsed = markdown.items(_lines(texts))
+    return markdown.extracted(parsed, F.lit(""), c("path")).select("path", "title", "section", "item_no", "content", "item_id")
+
+
+@query("PAR-05", "texts", sql=_LINES + "SELECT file AS path, count(*) AS headers FROM lines WHERE line LIKE '# %' OR line LIKE '## %' GROUP BY file")
+def _(texts):
+    rows = _lines(texts)
+    return rows.where(c("line").startswith("# ") | c("line").startswith("## ")).groupBy("path").agg(F.count("*").alias("headers"))
+
+
+@query("PAR-01", "authors", sql="SELECT author_id, 'Jane' AS first, 'Van' || ' ' || 'Dyk' AS last FROM authors")
+def _(authors):
+    first, last = markdown.author_of_file(F.lit("van_dyk__jane"))
+    return authors.select("author_id", first.alias("first"), last.alias("last"))
+
+
+# --- graph -----------------------------------------------------------------------------------------------------------
+
+
+@query("GRA-01", "authors", "books", "book_authors", "influences", sql="SELECT 'author:5' AS source, 'book:' || book_id AS target, 'authored' AS kind FROM book_authors WHERE author_id = 5 UNION ALL SELECT 'author:' || src, 'author:' || dst, 'influenced' FROM influences WHERE src = 5 OR dst = 5")
+def _(authors, books, links, e):
+    return graph.author_graph(5, authors, books, links, e)[1]
+
+
+@query("GRA-03", "books", "book_subjects", sql="SELECT b.book_id, title, string_agg(subject_id, ',' ORDER BY subject_id) AS subjects FROM books b JOIN book_subjects s ON b.book_id = s.book_id WHERE b.book_id = 9 GROUP BY b.book_id, title")
+def _(books, s):
+    own = s.where("book_id = 9").groupBy("book_id").agg(F.array_join(F.sort_array(F.collect_list("subject_id")), ",").alias("subjects"))
+    return books.where("book_id = 9").join(own, "book_id").select("book_id", "title", "subjects")
+
+
+@query("GRA-05", "influences", sql="WITH RECURSIVE r AS (SELECT 5::BIGINT AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN influences ON src = node WHERE hop < 3) SELECT node, min(hop) AS hop FROM r GROUP BY node")
+def _(e):
+    return graph.reach(e, 5, 3)
