@@ -2,9 +2,15 @@
 
 A document is the set of its word shingles. Under a global order of shingles two sets with Jaccard >= t share a token
 among their first ``|x| - ceil(t |x|) + 1``; this holds for every order. Orders put frequent shingles last (counts of
-all documents, in buckets) and break ties by differently mixed hashes. The first order's prefix tokens group documents
-into families; inside families, cut into blocks of bounded size, the prefixes of all orders must be shared before an
-exact intersection decides. Equal sets form one class and only class representatives are compared.
+all documents, in buckets) and break ties by differently mixed hashes. Candidates must share prefix tokens under all of
+ORDERS before an exact intersection decides.
+
+Prefix tokens alone would also route the documents to where they meet, but passages that a few documents share then chain
+most of a corpus together (measured: one family of most documents, 12 x the input on disk). Documents are therefore
+routed by whole parts of their sets (Arasu et al., 2006): sets that differ in at most H tokens agree in one of H + 1 parts at
+least, so that every linked pair shares a part, and parts of dissimilar sets hardly ever agree. Documents that share parts
+form families; a family is cut into blocks of bounded size, and each pair of blocks is filtered and verified in one task.
+Equal sets form one class and only class representatives are compared.
 
 Defined results: null or blank text - no shingles, linked with nothing; null doc_id - counted but not linked, null
 component; rows that repeat a doc_id are one document to the links; empty table - empty result.
@@ -23,7 +29,7 @@ from .counting import bucket_counts
 
 BITS = 20
 BLOCK = 512  # documents of a family that meet in one task, and half of the largest task
-HOT = 8192  # rows of one token in a task before it is salted
+BUFFER = 4_000_000  # parts that a task holds before it forwards them
 ORDERS = (np.uint64(0x1B873593A5A5A5A5), np.uint64(0x85EBCA6B9E3779B1), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -35,6 +41,11 @@ def shingles(text: bytes | None, n: int = 3) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(words), min(n, len(words))))
 
 
+def fingerprint(tokens: np.ndarray) -> int:
+    """Of a whole set, 0 if empty."""
+    return int(np.bitwise_xor.reduce(mix(tokens + np.uint64(1))).astype(np.int64)) if len(tokens) else 0
+
+
 def prefix(tokens: np.ndarray, rarity: np.ndarray, order: np.uint64, percent: int) -> np.ndarray:
     """The tokens that come first in a global order, as many as the threshold asks for."""
     n = len(tokens)
@@ -45,6 +56,41 @@ def prefix(tokens: np.ndarray, rarity: np.ndarray, order: np.uint64, percent: in
     return tokens[np.argpartition(place, size - 1)[:size]]
 
 
+def intervals(percent: int, top: int = 10**9) -> np.ndarray:
+    """Upper ends of size classes such that linked sets lie in one or in two adjacent classes."""
+    ends, low = [], 1
+    while low <= top:
+        ends.append(low * 100 // percent)
+        low = ends[-1] + 1
+    return np.array(ends, np.int64)
+
+
+def parts(tokens: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the parts of a set: linked sets have one in common at least.
+
+    For its own size class and the next the set is dealt by hash into H + 1 + E parts, H the most tokens that linked sets
+    of these sizes differ in. At least 1 + E parts agree; sets that agree in empty parts only have more than E of them, and
+    such sets send keys for their empty parts too.
+    """
+    out = []
+    own = int(np.searchsorted(ends, len(tokens)))
+    value = mix(tokens + np.uint64(0x51ED270B))
+    for tag in (own, own + 1):
+        k = (100 - percent) * 2 * int(ends[tag]) // (100 + percent) + 1
+        spare = 0 if k == 1 else 1 + k // 50
+        k += spare
+        part = (mix(tokens ^ (np.uint64((int(ORDERS[1]) * (2 * tag + 1)) % 2**64))) % np.uint64(k)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        part = part[by]
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        sums, which = np.add.reduceat(value[by], first), part[first]
+        if k - len(which) > spare:
+            none = np.setdiff1d(np.arange(k), which)
+            sums, which = np.concatenate((sums, np.zeros(len(none), np.uint64))), np.concatenate((which, none))
+        out.append(mix(sums + mix(which.astype(np.uint64) + np.uint64((int(ORDERS[2]) * tag) % 2**64))))
+    return np.concatenate(out)
+
+
 def shared(lists: list[np.ndarray], n: int) -> np.ndarray:
     """n x n flags: which of the lists have a token in common."""
     met = np.zeros((n, n), bool)
@@ -104,31 +150,21 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rare = spark.sparkContext.broadcast(np.floor(np.log2(np.maximum(seen, 1))).astype(np.uint8))  # 1 MB
 
     def sketch(batches):
-        rarity = rare.value
         for batch in batches:
-            out = {"doc_id": batch.column(0), "n_shingles": [], "h1": [], "h2": [], "token": [], "salt": []}
-            for doc, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                s = shingles(text, n)
-                first = prefix(s, rarity, ORDERS[0], percent) if len(s) else s
-                often = np.left_shift(1, rarity[(first >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.int64)) // HOT
-                out["n_shingles"].append(len(s))
-                out["h1"].append(int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).astype(np.int64)) if len(s) else 0)
-                out["h2"].append(int(mix(s ^ ORDERS[2]).sum().astype(np.int64)) if len(s) else 0)
-                out["token"].append(first.astype(np.int64))
-                out["salt"].append(np.where(often > 1, (doc or 0) % np.maximum(often, 1), -1).astype(np.int32))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    sets = cut(texts.mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long, token array<long>, salt array<int>"))
+            found = [shingles(t, n) for t in raw(batch.column(1))]
+            h1 = [fingerprint(s) for s in found]
+            h2 = [int(mix(s ^ ORDERS[2]).sum().astype(np.int64)) if len(s) else 0 for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["doc_id", "n_shingles", "h1", "h2"])
+
+    sets = cut(texts.mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long"))
     classes = cut(sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("class_n")))
-    plain = sets.select("doc_id", "n_shingles", "h1", "h2")
-    linked = _links(texts, sets, classes, rare, n, percent)
+    linked = _links(texts, classes, rare, n, percent)
     groups = components(linked.where("b is not null"))
     degrees = linked.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("far"))
     labels = classes.join(groups, classes.class_id == groups.vertex, "left").drop("vertex")
     labels = cut(labels.join(degrees, "class_id", "left"))
     # hot classes: both sides are exchanged for this join alone, so that a skewed class can be split
-    out = plain.join(labels, ["h1", "h2", "n_shingles"], "left")
+    out = sets.join(labels, ["h1", "h2", "n_shingles"], "left")
     return out.select(
         "doc_id",
         "n_shingles",
@@ -138,15 +174,41 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     )
 
 
-def _links(texts: DataFrame, sets: DataFrame, classes: DataFrame, rare, n: int, percent: int) -> DataFrame:
+def _links(texts: DataFrame, classes: DataFrame, rare, n: int, percent: int) -> DataFrame:
     """(a, b, -) links that connect what all links connect, and (a, null, n) with the documents linked to a's class."""
-    tokens = sets.where("n_shingles > 0").join(classes.select(F.col("class_id").alias("doc_id"), "h1", "h2", "n_shingles", "class_n"), ["doc_id", "h1", "h2", "n_shingles"])
-    tokens = tokens.select("doc_id", F.explode(F.arrays_zip("token", "salt")).alias("t")).select("doc_id", "t.token", "t.salt")
-    near = Window.partitionBy("token", "salt")
-    local = tokens.withColumn("head", F.min("doc_id").over(near)).select("doc_id", "token", "salt", "head")
-    local = local.where("doc_id <> head or salt >= 0")
-    far = local.where("doc_id = head and salt >= 0").select("token", "doc_id").distinct().withColumn("head", F.min("doc_id").over(Window.partitionBy("token")))
-    shares = local.select("doc_id", "head").unionByName(far.select("doc_id", "head")).where("doc_id <> head").distinct()
+    ends = intervals(percent)
+
+    def deal(batches):
+        """Per task: one row for each key it holds (its smallest document), and links of its other documents to that one."""
+
+        def forward(held):
+            if not held:
+                return
+            key, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((doc, key))
+            key, doc = key[by], doc[by]
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            head = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(key))))
+            links = np.unique(np.stack((doc, head), axis=1)[doc != head], axis=0)
+            spread = mix(links[:, 0].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key[first], spread)).view(np.int64)), pa.array(np.concatenate((doc[first], links[:, 0]))), pa.array(np.concatenate((doc[first], links[:, 1])))], names=["key", "doc_id", "head"])
+
+        held, size = [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+                s = shingles(text, n) if doc is not None else ()
+                if len(s):
+                    key = parts(s, ends, percent)
+                    held.append((key, np.full(len(key), doc, np.int64)))
+                    size += len(key)
+            if size > BUFFER:
+                yield from forward(held)
+                held, size = [], 0
+        yield from forward(held)
+
+    dealt = texts.mapInArrow(deal, "key long, doc_id long, head long")
+    least = F.min("head").over(Window.partitionBy("key"))
+    shares = dealt.withColumn("least", least).select("doc_id", F.explode(F.array("head", "least")).alias("head")).where("doc_id <> head").distinct()
     families = components(shares, "doc_id", "head")
     sizes = families.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = cut(families.join(sizes, "component").select(F.col("vertex").alias("doc_id"), "component", "blocks"))
@@ -161,7 +223,7 @@ def _links(texts: DataFrame, sets: DataFrame, classes: DataFrame, rare, n: int,
     def gather(batches):
         for batch in batches:
             found = [shingles(t, n) for t in raw(batch.column(0))]
-            keep = [bool(len(s)) and int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).astype(np.int64)) == h for s, h in zip(found, batch.column(5).to_pylist(), strict=True)]
+            keep = [bool(len(s)) and fingerprint(s) == h for s, h in zip(found, batch.column(5).to_pylist(), strict=True)]
             rest = batch.select(["doc_id", "block", "tasks", "class_n"]).filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([s.astype(np.int64) for s, k in zip(found, keep, strict=True) if k], pa.list_(pa.int64()))], names=["doc_id", "block", "tasks", "class_n", "tokens"])
 
