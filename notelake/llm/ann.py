@@ -162,8 +162,10 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, shard: int = SHARD, b
 
     found = once.groupBy("shard", "dim", "block").cogroup(copies.groupBy("shard", "dim", "block")).applyInArrow(hits, "query long, class long, d2 double")
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("d2", "class"))).where(F.col("nth") <= k + 1)
-    near = best.select("query", "class", "d2").join(classes.select("class", "ids"), "class").join(asked.select("query", "query_id"), "query")
-    pairs = near.select("query_id", F.sqrt("d2").alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    near = best.select("query", "class").join(classes.select("class", "ids", F.col("v").alias("w")), "class").join(asked.select("query", "query_id", "v"), "query")
+    # the exact measure, added up in the order of the components
+    exact = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    pairs = near.select("query_id", exact.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -171,7 +173,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, shard: int = SHARD, b
 ORACLE = r"""
 WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-    d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, min(list_distance(q.v, c.v)) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+    d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, min(sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b))) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0 GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -187,7 +187,7 @@ class Pieces:
         which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         doc = np.repeat(np.arange(len(texts)), count)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        noise = mix(keys[doc] + mix(nth.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)))
+        noise = mix(keys[doc] + mix(nth.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)))
         # backward sampling: all occurrences take a step at a time
         place, live, start = self.ends[which] - 1, np.arange(len(which)), self.starts[which]
         steps, taken = [], np.zeros(len(which), np.int64)

@@ -68,4 +68,4 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_nearest": op10_nearest,
 }
-ORACLES = {"op2_ngram_jaccard": ngram_join.ORACLE, "op3_mixing": mixing.ORACLE, "op4_substring_dedup": substring.ORACLE, "op10_nearest": ann.ORACLE}
+ORACLES = {"op1_sharding": sharding.oracle(40), "op2_ngram_jaccard": ngram_join.ORACLE, "op3_mixing": mixing.ORACLE, "op4_substring_dedup": substring.ORACLE, "op10_nearest": ann.ORACLE}

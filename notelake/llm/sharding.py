@@ -68,10 +68,10 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     repeated rows each get a slot; an empty table gives an empty result. Slots follow (bucket, id, size, checksum):
     a first pass over the id column alone counts rows per (shard, bucket), so no shard is numbered in a single task.
     """
-    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
     small, grown = topology(shards), topology(shards, 1)
     ids = F.col(f"`{id_col}`").alias("id")
     key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    bucket = (F.conv(F.substring(F.md5(F.concat(key, F.lit("/slot"))), 1, 2), 16, 10).cast("int") % BUCKETS).alias("bucket")
     text = F.col(f"`{text_col}`")
     placed = docs.select(
         ids,
@@ -79,7 +79,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
         F.crc32(F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))).cast("long").alias("text_crc32"),
     )
     placed = place(place(placed.withColumn("key", key), "key", small, "shard"), "key", grown, "grown_shard").withColumn("bucket", bucket)
-    counts = place(docs.select(ids).withColumn("key", key), "key", small, "shard").groupBy("shard", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    counts = place(docs.select(ids).withColumn("key", key), "key", small, "shard").groupBy("shard", bucket).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "bucket").orderBy(F.col("id").asc_nulls_first(), "size", "text_crc32")
@@ -120,6 +120,7 @@ def oracle(shards: int = 40) -> str:
     {straws("a")}, {straws("b")},
     summed AS (SELECT doc_id, k, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes),
         lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT AS text_crc32 FROM keyed, crc_table),
-    placed AS (SELECT doc_id, size::BIGINT AS size, text_crc32, a.shard AS shard, b.shard AS grown_shard
+    placed AS (SELECT doc_id, size::BIGINT AS size, text_crc32, a.shard::INT AS shard, b.shard::INT AS grown_shard
         FROM summed JOIN leaf_a a USING (k) JOIN leaf_b b USING (k))
-    SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard FROM placed"""  # slots: tests hold them against their law
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard, row_number() OVER (PARTITION BY shard
+        ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/slot'), 1, 2))::BIGINT % {BUCKETS}, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot FROM placed"""
