@@ -8,8 +8,9 @@ ORDERS before an exact intersection decides.
 Prefix tokens alone would also route the documents to where they meet, but passages that a few documents share then chain
 most of a corpus together (measured: one family of most documents, 12 x the input on disk). Documents are therefore
 routed by whole parts of their sets (Arasu et al., 2006): sets that differ in at most H tokens agree in one of H + 1 parts at
-least, so that every linked pair shares a part, and parts of dissimilar sets hardly ever agree. Documents that share parts
-form families; a family is cut into blocks of bounded size, and each pair of blocks is filtered and verified in one task.
+least, so that every linked pair shares a part, and parts of dissimilar sets seldom agree. Sets that share a part become candidates when the L1 distance of their
+token histograms, a lower bound of the size of their symmetric difference, allows a link; without this test parts of a
+few tokens, as thresholds like 0.8 make them, chain documents with a common passage. Candidates form families; a family is cut into blocks of bounded size, and each pair of blocks is filtered and verified in one task.
 Equal sets form one class and only class representatives are compared.
 
 Defined results: null or blank text - no shingles, linked with nothing; null doc_id - counted but not linked, null
@@ -29,6 +30,8 @@ from .counting import bucket_counts
 
 BITS = 20
 BLOCK = 512  # documents of a family that meet in one task, and half of the largest task
+BUCKETS = 256  # of a histogram
+PACK = 20_000  # rows of small groups that are compared in one task
 BUFFER = 4_000_000  # parts that a task holds before it forwards them
 ORDERS = (np.uint64(0x1B873593A5A5A5A5), np.uint64(0x85EBCA6B9E3779B1), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -46,6 +49,18 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(tokens + np.uint64(1))).astype(np.int64)) if len(tokens) else 0
 
 
+def histogram(tokens: np.ndarray) -> bytes:
+    """Tokens a bucket, 255 at most: cutting the counts only lowers their L1 distance, which stays a lower bound."""
+    return np.minimum(np.bincount((mix(tokens ^ ORDERS[0]) >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def near(counts: np.ndarray, sizes: np.ndarray, percent: int):
+    """Pairs (i, js) whose histograms (int16 rows) allow a link: |x - y| + |y - x| <= (100 - t) / (100 + t) * (|x| + |y|)."""
+    for i in range(len(sizes) - 1):
+        apart = np.abs(counts[i + 1 :] - counts[i]).sum(axis=1, dtype=np.int64)
+        yield i, i + 1 + np.flatnonzero((100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[i + 1 :]))
+
+
 def prefix(tokens: np.ndarray, rarity: np.ndarray, order: np.uint64, percent: int) -> np.ndarray:
     """The tokens that come first in a global order, as many as the threshold asks for."""
     n = len(tokens)
@@ -154,14 +169,15 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             found = [shingles(t, n) for t in raw(batch.column(1))]
             h1 = [fingerprint(s) for s in found]
             h2 = [int(mix(s ^ ORDERS[2]).sum().astype(np.int64)) if len(s) else 0 for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["doc_id", "n_shingles", "h1", "h2"])
+            sizes, counts = pa.array([len(s) for s in found], pa.int64()), pa.array([histogram(s) for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), counts], names=["doc_id", "n_shingles", "h1", "h2", "counts"])
 
-    sets = cut(texts.mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long"))
-    classes = cut(sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("class_n")))
+    sets = cut(texts.mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long, counts binary"))
+    classes = cut(sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("class_n"), F.min("counts").alias("counts")))
     linked = _links(texts, classes, rare, n, percent)
     groups = components(linked.where("b is not null"))
     degrees = linked.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("far"))
-    labels = classes.join(groups, classes.class_id == groups.vertex, "left").drop("vertex")
+    labels = classes.drop("counts").join(groups, classes.class_id == groups.vertex, "left").drop("vertex")
     labels = cut(labels.join(degrees, "class_id", "left"))
     # hot classes: both sides are exchanged for this join alone, so that a skewed class can be split
     out = sets.join(labels, ["h1", "h2", "n_shingles"], "left")
@@ -179,19 +195,15 @@ def _links(texts: DataFrame, classes: DataFrame, rare, n: int, percent: int) ->
     ends = intervals(percent)
 
     def deal(batches):
-        """Per task: one row for each key it holds (its smallest document), and links of its other documents to that one."""
+        """(key, h1) of the parts of every set, each once a task."""
 
         def forward(held):
-            if not held:
-                return
-            key, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.lexsort((doc, key))
-            key, doc = key[by], doc[by]
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            head = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(key))))
-            links = np.unique(np.stack((doc, head), axis=1)[doc != head], axis=0)
-            spread = mix(links[:, 0].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key[first], spread)).view(np.int64)), pa.array(np.concatenate((doc[first], links[:, 0]))), pa.array(np.concatenate((doc[first], links[:, 1])))], names=["key", "doc_id", "head"])
+            if held:
+                key, h = (np.concatenate(x) for x in zip(*held, strict=True))
+                by = np.lexsort((h, key))
+                key, h = key[by], h[by]
+                first = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(h[first])], names=["key", "h1"])
 
         held, size = [], 0
         for batch in batches:
@@ -199,16 +211,42 @@ def _links(texts: DataFrame, classes: DataFrame, rare, n: int, percent: int) ->
                 s = shingles(text, n) if doc is not None else ()
                 if len(s):
                     key = parts(s, ends, percent)
-                    held.append((key, np.full(len(key), doc, np.int64)))
+                    held.append((key, np.full(len(key), fingerprint(s), np.int64)))
                     size += len(key)
             if size > BUFFER:
                 yield from forward(held)
                 held, size = [], 0
         yield from forward(held)
 
-    dealt = texts.mapInArrow(deal, "key long, doc_id long, head long")
-    least = F.min("head").over(Window.partitionBy("key"))
-    shares = dealt.withColumn("least", least).select("doc_id", F.explode(F.array("head", "least")).alias("head")).where("doc_id <> head").distinct()
+    of_key = Window.partitionBy("key")
+    dealt = texts.mapInArrow(deal, "key long, h1 long")
+    met = dealt.withColumn("low", F.min("h1").over(of_key)).withColumn("high", F.max("h1").over(of_key)).where("low <> high").select("key", "h1")
+    met = cut(met.distinct())
+    group = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    packs = met.count() // PACK + 1
+    met = met.join(group, "key").join(classes.select("h1", "class_id", "n_shingles", "counts"), "h1")
+    met = met.withColumn("block", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("blocks")).cast("int"))
+    packed = F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("key"), F.lit(packs)).cast("string")))
+    met = met.withColumn("tasks", F.when(F.col("blocks") == 1, packed).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", F.lit("f"), F.col("key").cast("string"), F.least(F.col("block"), j).cast("string"), F.greatest(F.col("block"), j).cast("string")))))
+
+    def candidates(_task, table):
+        """As few candidate pairs as connect what all candidate pairs of the task connect."""
+        table = table.combine_chunks()
+        key, ids, sizes = (table.column(c).to_numpy() for c in ("key", "class_id", "n_shingles"))
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        by = np.lexsort((ids, key))
+        edges = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1], [True])))
+        found = set()
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            own = by[start:end]
+            for i, js in near(counts[own], sizes[own], percent):
+                found.update((int(ids[own[i]]), int(ids[own[j]])) for j in js)
+        names, ends_ = np.unique(np.array(sorted(found), np.int64).reshape(-1, 2), return_inverse=True)
+        tree = _forest([tuple(x) for x in ends_.reshape(-1, 2).tolist()], len(names))
+        return pa.table({"doc_id": pa.array([int(names[i]) for i, _ in tree], pa.int64()), "head": pa.array([int(names[j]) for _, j in tree], pa.int64())})
+
+    held_keys = met.select(F.explode("tasks").alias("task"), "key", "class_id", "n_shingles", "counts")
+    shares = held_keys.groupBy("task").applyInArrow(candidates, "doc_id long, head long")
     families = components(shares, "doc_id", "head")
     sizes = families.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = cut(families.join(sizes, "component").select(F.col("vertex").alias("doc_id"), "component", "blocks"))

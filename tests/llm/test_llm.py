@@ -272,3 +272,31 @@ def test_pipeline(spark):
     for name, stage in cp.STAGES:
         assert stage(spark, rough.limit(0), SF).count() == 0
         assert stage(spark, rough, SF).count() > 0
+
+
+def test_links_at_eighty_percent_with_shared_passages_and_empty_parts(spark):
+    """Every linked pair ends in one component, at the low threshold whose parts hold few tokens."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = []
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(5, 200)))]
+        at = int(rng.integers(0, len(words)))
+        base = [*words[:at], *passage.split(), *words[at:]] if i % 3 else words
+        texts.append(" ".join(base))
+        for _ in range(int(rng.integers(0, 4))):
+            edited = list(base)
+            for j in rng.integers(0, len(edited), int(rng.integers(0, 1 + len(edited) // 40))):
+                edited[j] = f"e{rng.integers(0, 10**6)}"
+            texts.append(" ".join(edited))
+    sets = [set(ngram_join.shingles(t.encode(), 5).tolist()) for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(docs, n=5, percent=80).collect()}
+    assert got == dict(enumerate(up))
+    assert len(set(up)) < len(texts)
