@@ -1,7 +1,7 @@
 """Copies of images by local descriptors: multiscale corners, orientation-normalised binary tests, Hamming tables,
 geometric consensus.
 
-Images are grey: a width and one byte a pixel, row by row. At each scale the strongest corners (Harris, one a 3 x 3
+Images are grey: a width and one byte a pixel, row by row. At each scale all corners (Harris, one a 3 x 3
 neighbourhood) get an angle by the centroid of their patch and BITS binary tests rotated by it. Descriptors are cut into
 TABLES keys; two that differ in fewer than TABLES - MATCH + 1 bits agree in MATCH keys at least, and those that do are
 found by one equi-join on (table, key). Matched corners vote for the shift between the images, in overlapping cells;
@@ -27,7 +27,6 @@ BITS = 256
 TABLES = 8
 MATCH = 3
 VOTES = 5
-CORNERS = 16
 RADIUS = 10
 SCALES = (1, 2)
 _rng = np.random.default_rng(20)
@@ -64,11 +63,8 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         around = np.pad(r, ((0, 0), (1, 1), (1, 1)), constant_values=-np.inf)
         top = np.max([around[:, i : i + r.shape[1], j : j + r.shape[2]] for i in range(3) for j in range(3)], axis=0)
         inner = np.where((inner >= top[:, RADIUS:-RADIUS, RADIUS:-RADIUS]) & (inner > 1e-3), inner, 0)
-        flat = inner.reshape(len(a), -1)
-        best = np.argsort(-flat, axis=1, kind="stable")[:, :CORNERS]
-        image, nth = np.nonzero(np.take_along_axis(flat, best, 1) > 0)
-        at = best[image, nth]
-        y, x = at // inner.shape[2] + RADIUS, at % inner.shape[2] + RADIUS
+        image, y, x = np.nonzero(inner)
+        y, x = y + RADIUS, x + RADIUS
         patch = a[image[:, None, None], y[:, None, None] + _y, x[:, None, None] + _x] * DISC
         angle = np.arctan2((patch * _y).sum(axis=(1, 2)), (patch * _x).sum(axis=(1, 2)))
         c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]

@@ -206,6 +206,18 @@ def test_media(spark):
     assert media.copies(bad, bad).count() == 0
 
 
+def test_media_keeps_all_corners(spark):
+    """A crop whose corners are all weaker than the many strong ones elsewhere in a large picture is found."""
+    rng = np.random.default_rng(11)
+    level = rng.normal(0, 60, (30, 30))
+    level[:12, :12] /= 5
+    big = np.clip(np.rint(128 + np.kron(level, np.ones((8, 8)))), 0, 255).astype(np.uint8)
+    weak = big[:90, :90]
+    shape = "id long, width int, grey binary"
+    found = media.copies(spark.createDataFrame([(1, 90, weak.tobytes())], shape), spark.createDataFrame([(2, 240, big.tobytes())], shape)).collect()
+    assert [(r["query_id"], r["id"]) for r in found] == [(1, 2)]
+
+
 def test_pieces(spark):
     texts = ["Hello  world", "", " ", "▁ a\n\nb\t漢字 😀", None, "x" * 5000, "same", "same"]
     df = spark.createDataFrame([(None if i == 2 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
