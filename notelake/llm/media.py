@@ -1,14 +1,14 @@
-"""Copies of images by local descriptors: multiscale corners, orientation-normalised binary tests, Hamming tables,
+"""Copies of images by local descriptors: multiscale corners, orientation-normalised binary tests, exact Hamming distances,
 geometric consensus.
 
 Images are grey: a width and one byte a pixel, row by row. At each scale all corners (Harris, one a 3 x 3
-neighbourhood) get an angle by the centroid of their patch and BITS binary tests rotated by it. Descriptors are cut into
-TABLES keys; two that differ in fewer than TABLES - MATCH + 1 bits agree in MATCH keys at least, and those that do are
-found by one equi-join on (table, key). Matched corners vote for the shift between the images, in overlapping cells;
-images with VOTES agreeing corners are copies.
+neighbourhood) get an angle by the centroid of their patch and BITS binary tests rotated by it. Images go in blocks of
+about BLOCK corners; every block of queries meets every block of images, and corners that agree in MATCH of TABLES keys of
+their descriptors match. A match tells a rotation and a change of scale by its corners' angles and scales; matches that tell
+much the same vote together: any two give a similarity (scale, rotation, shift), and those of the others that it moves to
+within SLACK pixels of their place agree with it. Images with VOTES agreeing corners are copies.
 
-Images that are equal byte for byte form one class with one row a key, so that a popular picture is not a hot key; its
-members are joined to the answers.
+Images that are equal byte for byte form one class and are compared once; its members are joined to the answers.
 
 Defined results: null, empty or misshapen images, and null ids - take no part; flat images - no corners, no copies;
 repeated rows count once; empty table - empty result.
@@ -27,6 +27,9 @@ BITS = 256
 TABLES = 8
 MATCH = 3
 VOTES = 5
+BLOCK = 4096
+SLACK = 3.0
+TURNS = 24
 RADIUS = 10
 SCALES = (1, 2)
 _rng = np.random.default_rng(20)
@@ -46,9 +49,13 @@ def _blur(a: np.ndarray) -> np.ndarray:
     return a
 
 
-def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places in full-size pixels [n, 2], keys int32 [n, TABLES]) of each of a stack of equal-sized images."""
-    out = [([], []) for _ in images]
+#: A corner: its image, its place in full-size pixels, its scale, angle and tests.
+CORNER = np.dtype([("id", "<i8"), ("y", "<f4"), ("x", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", (BITS // 8,))])
+
+
+def describe(images: np.ndarray) -> list[np.ndarray]:
+    """The corners of each of a stack of equal-sized images, without ids."""
+    out = [[np.zeros(0, CORNER)] for _ in images]
     for scale in SCALES:
         a = images.astype(np.float32)
         h, w = (x // scale * scale for x in a.shape[1:])
@@ -71,34 +78,120 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         ty = np.rint(TESTS[None, :, :, 0] * c + TESTS[None, :, :, 1] * s).astype(int)
         tx = np.rint(TESTS[None, :, :, 1] * c - TESTS[None, :, :, 0] * s).astype(int)
         level = a[image[:, None, None], y[:, None, None] + ty, x[:, None, None] + tx]
-        bits = np.packbits(level[:, :, 0] < level[:, :, 1], axis=1).view(">i4").astype(np.int32)
-        for i in range(len(images)):
-            own = image == i if len(images) < 8 else slice(*np.searchsorted(image, (i, i + 1)))
-            out[i][0].append(np.stack((y[own], x[own]), axis=1) * scale)
-            out[i][1].append(bits[own])
-    none = (np.zeros((0, 2), np.int64), np.zeros((0, TABLES), np.int32))
-    return [(np.concatenate(p), np.concatenate(d)) if p else none for p, d in out]
+        own = np.zeros(len(image), CORNER)
+        own["y"], own["x"] = (y + 0.5) * scale - 0.5, (x + 0.5) * scale - 0.5
+        own["scale"], own["angle"], own["bits"] = scale, angle, np.packbits(level[:, :, 0] < level[:, :, 1], axis=1)
+        for rows, part in zip(out, np.split(own, np.searchsorted(image, range(1, len(images)))), strict=True):
+            rows.append(part)
+    return [np.concatenate(rows) for rows in out]
 
 
-def _keys(images: DataFrame) -> DataFrame:
-    """(id, y, x, t, k): the table keys of every corner. images: id, width, grey."""
+def _blocks(images: DataFrame) -> DataFrame:
+    """(corners): one row a block of whole images, as bytes of CORNER. images: id, width, grey."""
 
     def run(batches):
+        have, n = [], 0
         for batch in batches:
-            ids, out = [], []
             shapes: dict[tuple[int, int], list] = {}
             for i, w, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shapes.setdefault((len(g) // w, w), []).append((i, np.frombuffer(g, np.uint8)))
             for shape, rows in shapes.items():
-                for lo in range(0, len(rows), 64):
-                    part = rows[lo : lo + 64]
-                    for (i, _), (place, keys) in zip(part, describe(np.stack([g for _, g in part]).reshape(-1, *shape)), strict=True):
-                        ids.append(np.full(keys.size, i, np.int64))
-                        out.append(np.column_stack((np.repeat(place, TABLES, axis=0), np.tile(np.arange(TABLES), len(keys)), keys.ravel())))
-            ids, out = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros((0, 4), np.int64), *out]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.ascontiguousarray(c)) for c in out.T)], names=["id", "y", "x", "t", "k"])
+                step = max(1, min(64, 2**18 // (shape[0] * shape[1])))
+                for lo in range(0, len(rows), step):
+                    part = rows[lo : lo + step]
+                    for (i, _), own in zip(part, describe(np.stack([g for _, g in part]).reshape(-1, *shape)), strict=True):
+                        own["id"] = i
+                        if n and n + len(own) > BLOCK:
+                            yield pa.RecordBatch.from_arrays([pa.array([b"".join(have)], pa.binary())], names=["corners"])
+                            have, n = [], 0
+                        have.append(own.tobytes())
+                        n += len(own)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(have)], pa.binary())], names=["corners"])
+
+    return images.mapInArrow(run, "corners binary")
+
+
+def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs of corners that match."""
+    u, v = (np.ascontiguousarray(x["bits"]).view(np.int32) for x in (a, b))
+    out = []
+    for lo in range(0, len(u), 64):
+        out.append(np.argwhere((u[lo : lo + 64, None] == v).sum(axis=2) >= MATCH) + (lo, 0))
+    return tuple(np.concatenate(out).T)
+
+
+def agreement(p: np.ndarray, q: np.ndarray) -> tuple[int, float, float, float, float]:
+    """(votes, scale, angle, dy, dx) of the similarity from corners q to p, given match by match, that most corners agree with.
+
+    Votes count a corner of either side once. The similarity fits the agreeing matches best."""
+    zp, zq = p["x"] + 1j * p["y"].astype(np.float64), q["x"] + 1j * q["y"].astype(np.float64)
+    turn, grow = p["angle"] - q["angle"], p["scale"] / q["scale"]
+    best = (0, None)
+    for j in range(len(zp)):
+        far, to = zq - zq[j], zp - zp[j]
+        ok = np.abs(far) > 2 * SLACK
+        z = to[ok] / far[ok]
+        off = np.angle(z * np.exp(-1j * turn[j]))
+        z = z[(np.abs(off) < 2 * np.pi / TURNS) & (np.abs(np.log2(np.abs(z) / grow[j] + 1e-9)) < 0.75)]
+        for lo in range(0, len(z), 256):
+            near = np.abs(z[lo : lo + 256, None] * far - to) <= SLACK
+            most = near.sum(axis=1)
+            for k in np.argsort(-most, kind="stable"):
+                if most[k] <= best[0]:
+                    break
+                n = min(len(np.unique(zq[near[k]])), len(np.unique(zp[near[k]])))
+                if n > best[0]:
+                    best = (n, near[k])
+    if not best[0]:
+        return 0, 1.0, 0.0, 0.0, 0.0
+    x, y = zq[best[1]], zp[best[1]]
+    z = np.vdot(x - x.mean(), y - y.mean()) / np.vdot(x - x.mean(), x - x.mean()).real
+    shift = y.mean() - z * x.mean()
+    return best[0], abs(z), np.angle(z), shift.imag, shift.real
+
+
+def _groups(p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """Indexes of the matches of one query and image each that tell much the same rotation and change of scale, where VOTES corners are of them."""
+    pair = np.unique(q["id"], return_inverse=True)[1] * (n := len(u := np.unique(p["id"]))) + np.searchsorted(u, p["id"])
+    sector = np.floor((p["angle"] - q["angle"]) % (2 * np.pi) / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
+    octave = np.rint(np.log2(p["scale"] / q["scale"])).astype(np.int64) + len(SCALES)
+    cell = (pair * (2 * len(SCALES) + 1) + octave) * TURNS
+    many = np.bincount(cell + sector, minlength=(pair.max() + 1) * (2 * len(SCALES) + 1) * TURNS).reshape(-1, TURNS)
+    hot = (many + np.roll(many, 1, axis=1) + np.roll(many, -1, axis=1) >= VOTES).reshape(-1)
+    out, where, which = [], [], []
+    for step in (-1, 0, 1):
+        to = cell + (sector + step) % TURNS
+        at = np.flatnonzero(hot[to])
+        where.append(at)
+        which.append(to[at])
+    where, which = np.concatenate(where), np.concatenate(which)
+    order = np.lexsort((where, which))
+    where, which = where[order], which[order]
+    for own in np.split(where, np.flatnonzero(np.diff(which)) + 1):
+        if len(own) and min(len(set(i[own].tolist())), len(set(j[own].tolist()))) >= VOTES:
+            out.append(own)
+    return out
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    """(query, class, votes, scale, angle, dy, dx) of the copies in pairs of blocks (asked, corners)."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for left, right in zip(*batch.columns, strict=True):
+                b, a = (np.frombuffer(x.as_buffer(), CORNER) for x in (left, right))
+                i, j = _matches(a, b)
+                p, q = a[i], b[j]
+                for own in _groups(p, q, i, j) if len(p) else ():
+                    best = agreement(p[own], q[own])
+                    if best[0] >= VOTES:
+                        found.append((int(q["id"][own[0]]), int(p["id"][own[0]]), *map(float, best)))
+            kinds = [pa.int64()] * 2 + [pa.float64()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=["query", "class", "votes", "scale", "angle", "dy", "dx"])
 
-    return images.mapInArrow(run, "id long, y int, x int, t int, k int")
+    return pairs.mapInArrow(run, "query long, class long, votes double, scale double, angle double, dy double, dx double")
 
 
 def sound(images: DataFrame) -> DataFrame:
@@ -108,23 +201,22 @@ def sound(images: DataFrame) -> DataFrame:
 
 
 def copies(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """Per query image and copy of it: query_id, id, votes (agreeing corners), dy, dx (shift in steps of 4 pixels)."""
+    """Per query image and copy of it: query_id, id, votes (agreeing corners), dy, dx (shift in steps of 4 pixels), scale, angle (degrees) from the query to the image."""
     rows = sound(images)
     named = cut(rows.select("id", F.xxhash64("width", "grey").alias("key")).distinct())
-    heads = cut(named.groupBy("key").agg(F.min("id").alias("class")))
-    members = named.join(heads, "key").select("class", "id")
-    first = rows.join(heads.select(F.col("class").alias("id"), "key"), "id").where(F.xxhash64("width", "grey") == F.col("key")).select("id", "width", "grey")
-    left = _keys(sound(queries)).distinct().select(F.col("id").alias("query"), F.col("y").alias("qy"), F.col("x").alias("qx"), "t", "k")
-    right = _keys(first).select(F.col("id").alias("class"), "y", "x", "t", "k")
-    met = left.join(right, ["t", "k"]).groupBy("query", "class", "qy", "qx", "y", "x").agg(F.count_distinct("t").alias("same")).where(F.col("same") >= MATCH)
-    cells = [F.struct((F.floor((F.col("y") - F.col("qy")) / 4) + i).alias("dy"), (F.floor((F.col("x") - F.col("qx")) / 4) + j).alias("dx")) for i in (0, 1) for j in (0, 1)]
-    votes = met.select("query", "class", "qy", "qx", F.explode(F.array(*cells)).alias("cell")).groupBy("query", "class", "cell").agg(F.count_distinct("qy", "qx").alias("votes"))
-    best = votes.groupBy("query", "class").agg(F.max(F.struct("votes", "cell")).alias("m")).where(F.col("m.votes") >= VOTES)
-    return best.join(members, "class").select(F.col("query").alias("query_id"), "id", F.col("m.votes").alias("votes"), F.col("m.cell.dy").alias("dy"), F.col("m.cell.dx").alias("dx")).distinct()
+    heads = named.groupBy("key").agg(F.min("id").alias("id"))
+    first = rows.withColumn("key", F.xxhash64("width", "grey")).join(heads, ["id", "key"]).select(F.col("key").alias("id"), "width", "grey")
+    left = cut(_blocks(sound(queries))).withColumnRenamed("corners", "asked")
+    tasks = max(1, left.count() // 16)
+    met = _met(left.repartition(tasks).crossJoin(cut(_blocks(first))))
+    best = met.groupBy("query", "class").agg(F.max(F.struct("votes", "scale", "angle", "dy", "dx")).alias("m"))
+    step = lambda v: (F.floor(F.round(F.col(v), 3) / 4) + 1).alias(v[2:])
+    shape = [F.round("m.scale", 2).alias("scale"), F.round(F.degrees("m.angle")).cast("int").alias("angle")]
+    return best.join(named.withColumnRenamed("key", "class"), "class").select(F.col("query").alias("query_id"), "id", F.col("m.votes").cast("long").alias("votes"), step("m.dy"), step("m.dx"), *shape).distinct()
 
 
-def pictures(rows: DataFrame, tile: int = 8, crop: tuple[int, int] = (0, 0), gain: float = 1.0, offset: float = 0.0) -> DataFrame:
-    """(id, width, grey): a square of tiles, one a component of `v`, then cropped at the top and left, and regraded."""
+def pictures(rows: DataFrame, tile: int = 8, crop: tuple[int, int] = (0, 0), gain: float = 1.0, offset: float = 0.0, turns: int = 0, times: int = 1) -> DataFrame:
+    """(id, width, grey): a square of tiles, one a component of `v`, then cropped at the top and left, turned by quarters, enlarged, and regraded."""
 
     def run(batches):
         for batch in batches:
@@ -135,6 +227,7 @@ def pictures(rows: DataFrame, tile: int = 8, crop: tuple[int, int] = (0, 0), gai
                 if not side or not np.isfinite(level).all():
                     continue
                 a = np.kron(level.reshape(side, side), np.ones((tile, tile)))[crop[0] :, crop[1] :]
+                a = np.kron(np.rot90(a, turns), np.ones((times, times)))
                 grey = np.clip(np.rint((128 + 400 * a) * gain + offset), 0, 255).astype(np.uint8)
                 out["id"].append(i)
                 out["width"].append(grey.shape[1])

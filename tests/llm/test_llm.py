@@ -218,6 +218,20 @@ def test_media_keeps_all_corners(spark):
     assert [(r["query_id"], r["id"]) for r in found] == [(1, 2)]
 
 
+@pytest.mark.parametrize("angle, scale, edit", [(90, 1.0, lambda a: np.rot90(a, -1)), (180, 1.0, lambda a: np.rot90(a, 2)), (0, 0.5, lambda a: np.kron(a, np.ones((2, 2), np.uint8))), (0, 2.0, lambda a: a.reshape(60, 2, 60, 2).mean(axis=(1, 3)).astype(np.uint8))])
+def test_media_turned_and_resized(spark, angle, scale, edit):
+    rng = np.random.default_rng(12)
+    pictures = [np.clip(np.rint(128 + np.kron(rng.normal(0, 40, (15, 15)), np.ones((8, 8)))), 0, 255).astype(np.uint8) for _ in range(8)]
+    if scale == 2.0:
+        pictures = [np.kron(a[:60, :60], np.ones((2, 2), np.uint8)) for a in pictures]
+    rows = lambda p: spark.createDataFrame([(i, a.shape[1], a.tobytes()) for i, a in p], "id long, width int, grey binary")
+    edited = [(100 + i, np.ascontiguousarray(edit(a))) for i, a in enumerate(pictures[:4])]
+    found = media.copies(rows(edited), rows(enumerate(pictures))).collect()
+    assert {(r["query_id"], r["id"]) for r in found} == {(100 + i, i) for i in range(4)}
+    if "angle" in found[0]:
+        assert all(abs(abs(r["angle"]) - angle) <= 2 and abs(r["scale"] - scale) < 0.05 for r in found)
+
+
 def test_pieces(spark):
     texts = ["Hello  world", "", " ", "▁ a\n\nb\t漢字 😀", None, "x" * 5000, "same", "same"]
     df = spark.createDataFrame([(None if i == 2 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
