@@ -3,8 +3,8 @@ geometric consensus.
 
 Images are grey: a width and one byte a pixel, row by row. At each scale all corners (Harris, one a 3 x 3
 neighbourhood) get an angle by the centroid of their patch and BITS binary tests rotated by it. Images go in blocks of
-about BLOCK corners; every block of queries meets every block of images, and corners that agree in MATCH of TABLES keys of
-their descriptors match. A match tells a rotation and a change of scale by its corners' angles and scales; matches that tell
+about BLOCK corners; every block of queries meets every block of images, and corners whose descriptors differ in NEAR bits
+at most match, all pairs being compared. A match tells a rotation and a change of scale by its corners' angles and scales; matches that tell
 much the same vote together: any two give a similarity (scale, rotation, shift), and those of the others that it moves to
 within SLACK pixels of their place agree with it. Images with VOTES agreeing corners are copies.
 
@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from .common import columns, cut
 
 BITS = 256
-TABLES = 8
-MATCH = 3
+NEAR = 24
 VOTES = 5
 BLOCK = 4096
 SLACK = 3.0
@@ -114,11 +113,13 @@ def _blocks(images: DataFrame) -> DataFrame:
 
 def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the pairs of corners that match."""
-    u, v = (np.ascontiguousarray(x["bits"]).view(np.int32) for x in (a, b))
-    out = []
-    for lo in range(0, len(u), 64):
-        out.append(np.argwhere((u[lo : lo + 64, None] == v).sum(axis=2) >= MATCH) + (lo, 0))
-    return tuple(np.concatenate(out).T)
+    u, v = (np.unpackbits(x["bits"], axis=1).astype(np.float32) * 2 - 1 for x in (a, b))
+    out = [np.zeros(0, np.int64)]
+    for lo in range(0, len(u), 1024):
+        # the product of signs is BITS - 2 x distance
+        out.append(np.flatnonzero((u[lo : lo + 1024] @ v.T).ravel() >= BITS - 2 * NEAR) + lo * len(v))
+    at = np.concatenate(out)
+    return at // max(1, len(v)), at % max(1, len(v))
 
 
 def agreement(p: np.ndarray, q: np.ndarray) -> tuple[int, float, float, float, float]:

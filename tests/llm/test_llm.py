@@ -232,6 +232,24 @@ def test_media_turned_and_resized(spark, angle, scale, edit):
         assert all(abs(abs(r["angle"]) - angle) <= 2 and abs(r["scale"] - scale) < 0.05 for r in found)
 
 
+def test_media_matches_within_the_radius(spark):
+    """All descriptors that differ in NEAR bits meet, wherever the bits are, and no others; so do copies with noise."""
+    rng = np.random.default_rng(13)
+    a, b = np.zeros(40, media.CORNER), np.zeros(240, media.CORNER)
+    a["bits"] = rng.integers(0, 256, a["bits"].shape)
+    flips = np.repeat([4, 8, 12, media.NEAR, media.NEAR + 1, 40], 40)
+    for k in range(240):
+        bits = np.unpackbits(a["bits"][k % 40])
+        bits[rng.choice(media.BITS, flips[k], replace=False)] ^= 1
+        b["bits"][k] = np.packbits(bits)
+    i, j = media._matches(a, b)
+    assert set(zip(i.tolist(), j.tolist())) == {(k % 40, k) for k in range(240) if flips[k] <= media.NEAR}
+    pictures = [np.clip(np.rint(128 + np.kron(rng.normal(0, 40, (8, 8)), np.ones((8, 8)))), 0, 255).astype(np.uint8) for _ in range(8)]
+    noisy = [np.clip(np.rint(x + rng.normal(0, 4, x.shape)), 0, 255).astype(np.uint8) for x in pictures]
+    rows = lambda p: spark.createDataFrame([(k, 64, x.tobytes()) for k, x in enumerate(p)], "id long, width int, grey binary")
+    assert {(r["query_id"], r["id"]) for r in media.copies(rows(noisy), rows(pictures)).collect()} == {(k, k) for k in range(8)}
+
+
 def test_pieces(spark):
     texts = ["Hello  world", "", " ", "▁ a\n\nb\t漢字 😀", None, "x" * 5000, "same", "same"]
     df = spark.createDataFrame([(None if i == 2 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
