@@ -861,6 +861,19 @@ def _(texts):
 
 
 @query("VAL-LRN", "texts", sql=_LINES + "SELECT lower(trim(substr(line, 4))) AS key, any_value(trim(substr(line, 4))) AS value, count(*) AS frequency, count(*)::DOUBLE / sum(count(*)) OVER () AS confidence FROM lines WHERE line LIKE '## %' GROUP BY 1")
+def _(texts):
+    return quality_rules.learn(_rows(texts)).where("pattern_type = 'section_name'").drop("pattern_type", "examples")
+
+
+@query(
+    "VAL-LRN-ALL",
+    "texts",
+    sql=_LINES
+    + """, names AS (SELECT 'section_name' AS pattern_type, lower(trim(substr(line, 4))) AS key, any_value(trim(substr(line, 4))) AS value, count(*) AS frequency, count(*)::DOUBLE / sum(count(*)) OVER () AS confidence FROM lines WHERE line LIKE '## %' GROUP BY 2),
+cited AS (SELECT unnest(regexp_extract_all(line, '\\([^)]*\\d+[^)]*\\)')) AS key FROM lines),
+formats AS (SELECT 'citation_format' AS pattern_type, key, key AS value, count(*) AS frequency, count(*)::DOUBLE / sum(count(*)) OVER () AS confidence FROM cited GROUP BY key ORDER BY frequency DESC, key LIMIT 10)
+SELECT * FROM names UNION ALL SELECT * FROM formats""",
+)
 def _(texts):
     return quality_rules.learn(_rows(texts)).drop("examples")
 

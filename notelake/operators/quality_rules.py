@@ -15,6 +15,8 @@ from .markdown import SECTIONS
 
 #: Malformed page citations.
 MALFORMED = (r"\(p\.(\d+)\)", r"\(p\s(\d+\))", r"\(pg\.\s*\d+\)", r"\(page\s+\d+\)", r"\(p\,\s*\d+\)")
+#: A citation of any format.
+CITATION = r"\([^)]*\d+[^)]*\)"
 ISSUE = ("file", "line_no", "severity", "rule_id", "context", "suggestion")
 
 
@@ -118,11 +120,18 @@ def summary(issues: DataFrame) -> DataFrame:
 
 
 def learn(rows: DataFrame) -> DataFrame:
-    """Section names by lower-case form: frequency, commonest spelling, share, up to five examples."""
+    """Section names by lower-case form: frequency, commonest spelling, share, up to five examples; and the ten commonest citation formats, their shares of all citations."""
     named = rows.where(F.col("line").startswith("## ")).withColumn("name", pystrip(F.expr("substring(line, 4)"))).where("name <> ''")
     counts = named.groupBy(F.lower("name").alias("key"), "name").agg(F.count("*").alias("n"), F.min(F.struct("file", "line_no")).alias("seen"))
-    out = counts.groupBy("key").agg(F.max_by("name", F.struct("n", "name")).alias("value"), F.sum("n").alias("frequency"), F.slice(F.sort_array(F.collect_set("name")), 1, 5).alias("examples"))
-    return out.join(F.broadcast(out.agg(F.sum("frequency").alias("all"))), how="cross").withColumn("confidence", F.col("frequency") / F.col("all")).drop("all")  # one row
+    names = counts.groupBy("key").agg(F.max_by("name", F.struct("n", "name")).alias("value"), F.sum("n").alias("frequency"), F.slice(F.sort_array(F.collect_set("name")), 1, 5).alias("examples"))
+    cited = rows.select(F.explode(F.regexp_extract_all("line", F.lit(CITATION), 0)).alias("key"))
+    formats = cited.groupBy("key").agg(F.count("*").alias("frequency")).select("key", F.col("key").alias("value"), "frequency", F.array("key").alias("examples"))
+
+    def shared(df: DataFrame, kind: str) -> DataFrame:
+        out = df.join(F.broadcast(df.agg(F.sum("frequency").alias("all"))), how="cross")  # one row
+        return out.select(F.lit(kind).alias("pattern_type"), "key", "value", "frequency", "examples", (F.col("frequency") / F.col("all")).alias("confidence"))
+
+    return shared(names, "section_name").unionByName(shared(formats, "citation_format").orderBy(F.desc("frequency"), "key").limit(10))
 
 
 def fix(rows: DataFrame, issues: DataFrame) -> DataFrame:

@@ -91,6 +91,28 @@ def test_rules_and_fix(spark):
     assert fixed[4] == "- b" and fixed[1] == "# Book"
 
 
+def duck(sql):
+    db = duckdb.connect()
+    for f in os.listdir(SF):
+        db.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{SF}/{f}'")
+    r = db.execute(sql)
+    names = [d[0] for d in r.description]
+    return sorted(repr(sorted(zip(names, row, strict=True))) for row in r.fetchall())
+
+
+def rows_of(df):
+    return sorted(repr(sorted(r.asDict().items())) for r in df.collect())
+
+
+def test_learns_citation_formats(spark):
+    lines = ["## A", "- x (p. 1) (p. 2)", "## a", "y (see 3) (no)", "- (p. 1)"] + [f"({i})" for i in range(10, 20)]
+    rows = spark.createDataFrame([("f", i + 1, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
+    got = {(r["pattern_type"], r["value"]): (r["frequency"], r["confidence"]) for r in quality_rules.learn(rows).collect()}
+    assert got["citation_format", "(p. 1)"] == (2, 2 / 14)
+    assert len(got) == 11 and sum(k == "section_name" for k, _ in got) == 1
+    assert rows_of(catalog.QUERIES["VAL-LRN-ALL"](spark, SF)) == duck(catalog.ORACLES["VAL-LRN-ALL"])
+
+
 def test_enrichment(spark):
     book = '{"key":"/works/OL1W","isbn":["123","9781234567890"],"first_publish_year":1950,"edition":{"languages":[{"key":"/languages/eng"}],"publishers":["P"],"number_of_pages":0},"number_of_pages_median":90,"description":{"value":"d"},"subject":["b","a"," "],"subjects":["a"]}'
     r = enrich.library_book(spark.createDataFrame([(book,)], "body string")).first()
