@@ -783,7 +783,7 @@ def _lines(texts: DataFrame) -> DataFrame:
     """Texts as notes: the first line is a title, every ninth a section, others items or continuations by length."""
     rows = markdown.lines(texts.select(c("doc_id").cast("string").alias("path"), c("text").alias("content")))
     marked = (
-        F.when(c("line_no") == 1, F.concat(F.lit("# "), F.substring("line", 1, 30)))
+        F.when(c("line_no") == 1, F.concat(F.lit("# "), "line"))
         .when(c("line_no") % 9 == 2, F.concat(F.lit("## Notes"), (c("line_no") % 4).cast("string")))
         .when(F.length("line") % 5 == 0, F.concat(F.lit("    "), "line"))
         .when(F.length("line") % 7 == 0, F.concat(F.lit("  - "), "line"))
@@ -799,6 +799,10 @@ WHEN length(line) % 11 = 0 THEN '* ' || line ELSE '- ' || line || CASE length(li
 """
 
 
+#: The first lines whole; for results that show them.
+_WHOLE = _LINES.replace("substr(line, 1, 30)", "line")
+
+
 def _rows(texts):
     return _lines(texts).select(c("path").alias("file"), "line_no", "line")
 
@@ -868,7 +872,7 @@ def _(texts):
 @query(
     "VAL-LRN-ALL",
     "texts",
-    sql=_LINES
+    sql=_WHOLE
     + """, names AS (SELECT 'section_name' AS pattern_type, lower(trim(substr(line, 4))) AS key, any_value(trim(substr(line, 4))) AS value, count(*) AS frequency, count(*)::DOUBLE / sum(count(*)) OVER () AS confidence FROM lines WHERE line LIKE '## %' GROUP BY 2),
 cited AS (SELECT unnest(regexp_extract_all(line, '\\([^)]*\\d+[^)]*\\)')) AS key FROM lines),
 formats AS (SELECT 'citation_format' AS pattern_type, key, key AS value, count(*) AS frequency, count(*)::DOUBLE / sum(count(*)) OVER () AS confidence FROM cited GROUP BY key ORDER BY frequency DESC, key LIMIT 10)

@@ -113,6 +113,19 @@ def test_learns_citation_formats(spark):
     assert rows_of(catalog.QUERIES["VAL-LRN-ALL"](spark, SF)) == duck(catalog.ORACLES["VAL-LRN-ALL"])
 
 
+def test_titles_are_whole_lines(spark):
+    first = "A first line that is far longer than thirty characters (p. 12)"
+    texts = spark.createDataFrame([(1, first + "\nx\nsome words")], "doc_id long, text string")
+    assert catalog._rows(texts).where("line_no = 1").first()["line"] == "# " + first
+    got = {r["title"] for r in catalog.QUERIES["PAR-04"](spark, SF).collect()}
+    assert max(map(len, got)) > 30
+
+
+@pytest.mark.parametrize("name", ["VAL-H1", "VAL-H3", "VAL-B2", "PAR-05", "VAL-C1", "VAL-L2"])
+def test_whole_lines_keep_to_the_sql(spark, name):
+    assert rows_of(catalog.QUERIES[name](spark, SF)) == duck(catalog.ORACLES[name])
+
+
 def test_enrichment(spark):
     book = '{"key":"/works/OL1W","isbn":["123","9781234567890"],"first_publish_year":1950,"edition":{"languages":[{"key":"/languages/eng"}],"publishers":["P"],"number_of_pages":0},"number_of_pages_median":90,"description":{"value":"d"},"subject":["b","a"," "],"subjects":["a"]}'
     r = enrich.library_book(spark.createDataFrame([(book,)], "body string")).first()
