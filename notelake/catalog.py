@@ -366,6 +366,16 @@ def _(books):
     return new.select("book_id", (c("top") + F.row_number().over(Window.orderBy("book_id"))).alias("next"))
 
 
+@query("WIN-02-ALL", "books", sql="SELECT book_id, (SELECT max(book_id) FROM books WHERE book_id % 2 = 0) + row_number() OVER (ORDER BY book_id) AS next FROM books WHERE book_id % 2 = 1")
+def _(books):
+    top = books.where("book_id % 2 = 0").agg(F.max("book_id").alias("top"))
+    # all new books, by ranges of the order as in WIN-01
+    new = books.where("book_id % 2 = 1").withColumn("bucket", F.floor(c("book_id") / 1000))
+    starts = new.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("book_id"))
+    return new.withColumn("nth", nth).join(starts, "bucket").join(F.broadcast(top), how="cross").select("book_id", (c("top") + c("start") + c("nth")).alias("next"))
+
+
 @query("WIN-03", "log", sql="WITH w AS (SELECT item_id, pos, operation, lag(operation) OVER (PARTITION BY item_id ORDER BY ts, pos) AS prev, max(CASE WHEN operation = 'add' THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY ts, pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM log ) SELECT item_id, pos FROM w WHERE operation <> 'add' AND prev = 'add' AND later = 1")
 def _(log):
     own = Window.partitionBy("item_id").orderBy("ts", "pos")

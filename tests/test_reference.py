@@ -126,6 +126,16 @@ def test_whole_lines_keep_to_the_sql(spark, name):
     assert rows_of(catalog.QUERIES[name](spark, SF)) == duck(catalog.ORACLES[name])
 
 
+def test_numbers_all_new_books(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    got = catalog.QUERIES["WIN-02-ALL"](spark, sf)
+    assert got.where("book_id > 500").count() > 0
+    db = duckdb.connect()
+    for f in os.listdir(sf):
+        db.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{sf}/{f}'")
+    assert sorted((r["book_id"], r["next"]) for r in got.collect()) == sorted(db.execute(catalog.ORACLES["WIN-02-ALL"]).fetchall())
+
+
 def test_enrichment(spark):
     book = '{"key":"/works/OL1W","isbn":["123","9781234567890"],"first_publish_year":1950,"edition":{"languages":[{"key":"/languages/eng"}],"publishers":["P"],"number_of_pages":0},"number_of_pages_median":90,"description":{"value":"d"},"subject":["b","a"," "],"subjects":["a"]}'
     r = enrich.library_book(spark.createDataFrame([(book,)], "body string")).first()
