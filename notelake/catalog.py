@@ -899,6 +899,12 @@ def _(texts):
     return done.agg(F.count("*").alias("lines"), F.count_if("fixed").alias("fixed"))
 
 
+@query("VAL-FIX-ALL", "texts")
+def _(texts):
+    rows = _rows(texts)
+    return quality_rules.fix(rows, quality_rules.validate(rows))
+
+
 @query("PAR-04", "texts")
 def _(texts):
     parsed = markdown.items(_lines(texts))
