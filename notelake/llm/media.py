@@ -1,17 +1,20 @@
-"""Copies of images by local descriptors: multiscale corners, orientation-normalised binary tests, exact Hamming distances,
+"""Copies of images by local descriptors: multiscale corners, orientation-normalised binary tests, Hamming tables,
 geometric consensus.
 
 Images are grey: a width and one byte a pixel, row by row. At each scale all corners (Harris, one a 3 x 3
 neighbourhood) get an angle by the centroid of their patch and BITS binary tests rotated by it. Images go in blocks of
-about BLOCK corners; every block of queries meets every block of images, and corners whose descriptors differ in NEAR bits
-at most match, all pairs being compared. A match tells a rotation and a change of scale by its corners' angles and scales; matches that tell
+about BLOCK corners, and every block of the stated queries meets every block of images. There corners are joined over
+TABLES Hamming tables, each keyed by KEY of the tests drawn at random: corners that agree in a key and differ in NEAR bits at
+most match. Corners that differ in 8, 16 or 24 bits meet with chances of 0.97, 0.44 and 0.1, so copies of thirty corners
+whose descriptors change by up to about 20 bits still get their votes. A match tells a rotation and a change of scale by its corners' angles and scales; matches that tell
 much the same vote together: any two give a similarity (scale, rotation, shift), and those of the others that it moves to
 within SLACK pixels of their place agree with it. Images with VOTES agreeing corners are copies.
 
 Images that are equal byte for byte form one class and are compared once; its members are joined to the answers.
 
 Defined results: null, empty or misshapen images, and null ids - take no part; flat images - no corners, no copies;
-repeated rows count once; empty table - empty result.
+repeated rows count once; images of any size are described whole; of transforms with as many votes the largest numbers
+win; extra columns do not matter; empty table - empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, cut
+from .components import components
 
 BITS = 256
 NEAR = 24
 VOTES = 5
-BLOCK = 4096
+BLOCK = 32768
+TABLES = 16
+KEY = 48  # bits of a table's key
+MEET = 1_000_000  # pairs of corners that are looked at together
+PAIRS = 20_000  # and pairs of images that are voted on together
 SLACK = 3.0
 TURNS = 24
 RADIUS = 10
@@ -34,6 +42,7 @@ SCALES = (1, 2)
 _rng = np.random.default_rng(20)
 TESTS = np.clip(np.round(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2))), -RADIUS + 3, RADIUS - 3)
 _y, _x = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
+KEYS = np.stack([_rng.choice(BITS, KEY, replace=False) for _ in range(TABLES)])
 DISC = (_x**2 + _y**2 <= RADIUS**2).astype(np.float32)
 
 
@@ -111,15 +120,59 @@ def _blocks(images: DataFrame) -> DataFrame:
     return images.mapInArrow(run, "corners binary")
 
 
-def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the pairs of corners that match."""
-    u, v = (np.unpackbits(x["bits"], axis=1).astype(np.float32) * 2 - 1 for x in (a, b))
-    out = [np.zeros(0, np.int64)]
-    for lo in range(0, len(u), 1024):
-        # the product of signs is BITS - 2 x distance
-        out.append(np.flatnonzero((u[lo : lo + 1024] @ v.T).ravel() >= BITS - 2 * NEAR) + lo * len(v))
-    at = np.concatenate(out)
-    return at // max(1, len(v)), at % max(1, len(v))
+def _keys(corners: np.ndarray) -> np.ndarray:
+    """TABLES rows of keys."""
+    bits = np.unpackbits(corners["bits"], axis=1)
+    packed = np.zeros((TABLES, len(corners), 8), np.uint8)
+    for table, at in zip(packed, KEYS, strict=True):
+        table[:, : KEY // 8] = np.packbits(bits[:, at], axis=1)
+    return packed.view(np.uint64)[:, :, 0]
+
+
+def _merged(blocks: DataFrame) -> DataFrame:
+    """Small blocks put together."""
+
+    def run(batches):
+        have, size = [], 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                if have and size + len(x) > BLOCK * CORNER.itemsize:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(have)], pa.binary())], names=["corners"])
+                    have, size = [], 0
+                have.append(x)
+                size += len(x)
+        if have:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(have)], pa.binary())], names=["corners"])
+
+    return blocks.mapInArrow(run, "corners binary")
+
+
+class Tables:
+    """The corners of a block of queries, by key."""
+
+    def __init__(self, corners: np.ndarray):
+        self.corners, keys = corners, _keys(corners)
+        self.order = np.argsort(keys, axis=1, kind="stable")
+        self.keys = np.take_along_axis(keys, self.order, 1)
+        self.words = np.ascontiguousarray(corners["bits"]).view(np.uint64)
+
+    def matches(self, other: np.ndarray):
+        """(i of other, j of own) of the corners that match, for parts of other that hold its images whole."""
+        keys, words = _keys(other), np.ascontiguousarray(other["bits"]).view(np.uint64)
+        low, high = (np.stack([np.searchsorted(own, key, side) for own, key in zip(self.keys, keys, strict=True)]) for side in ("left", "right"))
+        image = np.flatnonzero(np.concatenate(([True], other["id"][1:] != other["id"][:-1], [True]))) if len(other) else np.zeros(1, np.int64)
+        met = np.concatenate(([0], np.cumsum((high - low).sum(axis=0))))[image]
+        cuts = np.unique(np.concatenate(([0, len(image) - 1], np.searchsorted(met, np.arange(MEET, met[-1], MEET)))))
+        for a, b in zip(image[cuts[:-1]], image[cuts[1:]], strict=True):
+            pairs = [np.zeros(0, np.int64)]
+            for order, lo, hi in zip(self.order, low[:, a:b], high[:, a:b], strict=True):
+                n = hi - lo
+                i = np.repeat(np.arange(a, b), n)
+                j = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                at = i * len(self.corners) + j
+                pairs.append(at[np.bitwise_count(words[i] ^ self.words[j]).sum(axis=1, dtype=np.int64) <= NEAR])
+            at = np.unique(np.concatenate(pairs))
+            yield at // len(self.corners), at % len(self.corners)
 
 
 def agreement(p: np.ndarray, q: np.ndarray) -> tuple[int, float, float, float, float]:
@@ -154,7 +207,17 @@ def agreement(p: np.ndarray, q: np.ndarray) -> tuple[int, float, float, float, f
 
 def _groups(p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
     """Indexes of the matches of one query and image each that tell much the same rotation and change of scale, where VOTES corners are of them."""
-    pair = np.unique(q["id"], return_inverse=True)[1] * (n := len(u := np.unique(p["id"]))) + np.searchsorted(u, p["id"])
+    images, queries = np.unique(p["id"], return_inverse=True), np.unique(q["id"], return_inverse=True)[1]
+    pair, many = np.unique(queries * len(images[0]) + images[1], return_inverse=True, return_counts=True)[1:]
+    enough = np.flatnonzero(many[pair] >= VOTES)
+    enough = enough[np.argsort(pair[enough], kind="stable")]
+    pair = np.unique(pair[enough], return_inverse=True)[1]
+    ends = np.searchsorted(pair, np.arange(0, pair.max(initial=-1) + 1 + PAIRS, PAIRS))
+    return [enough[a:b][own] for a, b in zip(ends[:-1], ends[1:], strict=True) for own in _agreeing(p[enough[a:b]], q[enough[a:b]], i[enough[a:b]], j[enough[a:b]], pair[a:b] - pair[a])]
+
+
+def _agreeing(p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
+    """_groups() for a bounded number of pairs, numbered from 0."""
     sector = np.floor((p["angle"] - q["angle"]) % (2 * np.pi) / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
     octave = np.rint(np.log2(p["scale"] / q["scale"])).astype(np.int64) + len(SCALES)
     cell = (pair * (2 * len(SCALES) + 1) + octave) * TURNS
@@ -179,16 +242,20 @@ def _met(pairs: DataFrame) -> DataFrame:
     """(query, class, votes, scale, angle, dy, dx) of the copies in pairs of blocks (asked, corners)."""
 
     def run(batches):
+        held, tables = None, None
         for batch in batches:
             found = []
             for left, right in zip(*batch.columns, strict=True):
-                b, a = (np.frombuffer(x.as_buffer(), CORNER) for x in (left, right))
-                i, j = _matches(a, b)
-                p, q = a[i], b[j]
-                for own in _groups(p, q, i, j) if len(p) else ():
-                    best = agreement(p[own], q[own])
-                    if best[0] >= VOTES:
-                        found.append((int(q["id"][own[0]]), int(p["id"][own[0]]), *map(float, best)))
+                if held != left.as_py():
+                    held = left.as_py()
+                    tables = Tables(np.frombuffer(held, CORNER))
+                a, b = np.frombuffer(right.as_buffer(), CORNER), tables.corners
+                for i, j in tables.matches(a):
+                    p, q = a[i], b[j]
+                    for own in _groups(p, q, i, j) if len(p) else ():
+                        best = agreement(p[own], q[own])
+                        if best[0] >= VOTES:
+                            found.append((int(q["id"][own[0]]), int(p["id"][own[0]]), *map(float, best)))
             kinds = [pa.int64()] * 2 + [pa.float64()] * 5
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=["query", "class", "votes", "scale", "angle", "dy", "dx"])
 
@@ -207,15 +274,27 @@ def copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     named = cut(rows.select("id", F.xxhash64("width", "grey").alias("key")).distinct())
     heads = named.groupBy("key").agg(F.min("id").alias("id"))
     first = rows.withColumn("key", F.xxhash64("width", "grey")).join(heads, ["id", "key"]).select(F.col("key").alias("id"), "width", "grey")
-    left = cut(_blocks(sound(queries))).withColumnRenamed("corners", "asked")
-    tasks = max(1, left.count() // 16)
-    met = _met(left.repartition(tasks).crossJoin(cut(_blocks(first))))
+    left = cut(_blocks(sound(queries)))
+    parts = (left.agg(F.sum(F.octet_length("corners"))).first()[0] or 0) // (BLOCK * CORNER.itemsize) + 1
+    left = _merged(left.coalesce(parts)).withColumnRenamed("corners", "asked")
+    # the stated queries, in blocks, against the blocks of all images
+    met = _met(left.crossJoin(cut(_blocks(first))))
     best = met.groupBy("query", "class").agg(F.max(F.struct("votes", "scale", "angle", "dy", "dx")).alias("m"))
     step = lambda v: (F.floor(F.round(F.col(v), 3) / 4) + 1).alias(v[2:])
     shape = [F.round("m.scale", 2).alias("scale"), F.round(F.degrees("m.angle")).cast("int").alias("angle")]
     return best.join(named.withColumnRenamed("key", "class"), "class").select(F.col("query").alias("query_id"), "id", F.col("m.votes").cast("long").alias("votes"), step("m.dy"), step("m.dx"), *shape).distinct()
 
 
+def by_image(pairs: DataFrame) -> DataFrame:
+    """One row an image of copies(): id, class_id (smallest id that links lead to), n_links (queries that it is a copy of), and of the
+    query with most votes (ties: the smallest) query_id, votes, dy, dx, scale, angle. Groups of copies thus take a row a member."""
+    pairs = cut(pairs)
+    best = F.max_by(F.struct("query_id", "votes", "dy", "dx", "scale", "angle"), F.struct("votes", -F.col("query_id"), "dy", "dx", "scale", "angle"))
+    rows = pairs.groupBy("id").agg(F.count_distinct("query_id").alias("n_links"), best.alias("b"))
+    groups = components(pairs, "query_id", "id").withColumnRenamed("vertex", "id")
+    return rows.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"), "n_links", "b.*")
+
+
 def pictures(rows: DataFrame, tile: int = 8, crop: tuple[int, int] = (0, 0), gain: float = 1.0, offset: float = 0.0, turns: int = 0, times: int = 1) -> DataFrame:
     """(id, width, grey): a square of tiles, one a component of `v`, then cropped at the top and left, turned by quarters, enlarged, and regraded."""
 
