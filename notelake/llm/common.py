@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,17 +14,43 @@ NO_ID = -(2**63)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Materialise df in the shared folder of spark.checkpoint.dir.
+
+    Where none is set a local master gets a folder under the warehouse; a cluster has to name one that all its machines share.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="notelake-checkpoint-"))
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
 
 
-def columns(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns only, matched exactly, so that extra columns with clashing names cannot interfere."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def bounded(df: DataFrame, rows: int = 1000, size: int = 2**23) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most so many rows and about so many bytes; smaller settings stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = int(conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return df
+
+
+def columns(df: DataFrame, *names: str, carry: bool = False) -> DataFrame:
+    """The first column of exactly each name, found by its place, so that others (`Text` beside `text`) cannot interfere.
+
+    carry: also `rest`, a struct of all columns, for restored().
+    """
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    own = [F.col(f"c{df.columns.index(n)}").alias(n) for n in names]
+    return flat.select(*own, *([F.struct(*flat.columns).alias("rest")] if carry else []))
+
+
+def restored(df: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
+    """The columns of `like` out of `rest`, those in `new` (by name, the first of it) replaced."""
+    at = {like.columns.index(n): value for n, value in new.items()}
+    return df.select(*[at.get(i, F.col(f"rest.c{i}")).alias(f"c{i}") for i in range(len(like.columns))]).toDF(*like.columns)
 
 
 def id_key(col: str = "doc_id") -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import columns, cut, restored, word_count
 
 SEEDS = 64
 SPAN = 2**32
@@ -41,15 +41,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
     return per.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 
-def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, rest: Column | None = None) -> DataFrame:
-    """Every row of docs with doc_id, source, size, source_size, target and copies (times the mix takes it), and rest.
+def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, carry: bool = False) -> DataFrame:
+    """Every row of docs with doc_id, source, size, source_size, target and copies (times the mix takes it), and rest if it is to be carried.
 
     A null text has size 0; null is a source of its own, the last; rows that repeat a doc_id share one draw; a source
     without words gets target 0 and no copies; an empty table gives an empty result.
     """
-    own = [F.col("`doc_id`").alias("doc_id"), F.col("`source`").alias("source"), word_count(F.col("`text`")).alias("size")]
-    narrow = cut(docs.select(*own))
-    sized = narrow.withColumn("rest", F.lit(None)) if rest is None else docs.select(*own, rest.alias("rest"))
+    own = columns(docs, "doc_id", "source", "text", carry=carry).withColumn("size", word_count(F.col("text"))).drop("text")
+    narrow = cut(own.select("doc_id", "source", "size"))
+    sized = own if carry else narrow.withColumn("rest", F.lit(None))
     plan = targets(narrow, weights, share, most).withColumnRenamed("source", "of")
     plan = cut(plan.withColumn("whole", F.floor("rate")).withColumn("limit", F.floor((F.col("rate") - F.floor("rate")) * SPAN).cast("long")))
     drawn = narrow.where("size > 0").withColumn("draw", _draw()).join(plan, F.col("source").eqNullSafe(F.col("of"))).select("of", "draw", "size", "limit", "whole", "target")
@@ -66,8 +66,8 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """The mixed documents, with the columns of docs: each row as often as the mix takes it."""
-    mixed = mix_counts(docs, weights, share, most, rest=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return mixed.select(F.explode(F.array_repeat("rest", F.col("copies"))).alias("row")).select("row.*")
+    mixed = mix_counts(docs, weights, share, most, carry=True)
+    return restored(mixed.select(F.explode(F.array_repeat("rest", F.col("copies"))).alias("rest")), docs)
 
 
 ORACLE = f"""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, cut, gram_hashes, mix, raw, word_hashes
+from .common import bounded, columns, cut, gram_hashes, mix, raw, word_hashes
 from .components import components
 from .counting import bucket_counts
 
@@ -158,9 +158,9 @@ def _forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 
 def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, class_id (smallest id with the same set), n_links (other documents linked)."""
+    """Per row of docs: doc_id, n_shingles, component_id, class_id (smallest id with the same set), n_links (other documents linked), text_hash."""
     spark = docs.sparkSession
-    texts = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = columns(bounded(docs), "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     seen = bucket_counts(texts.select("text"), lambda t: shingles(t, n), BITS)
     rare = spark.sparkContext.broadcast(np.floor(np.log2(np.maximum(seen, 1))).astype(np.uint8))  # 1 MB
 
@@ -170,9 +170,9 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             h1 = [fingerprint(s) for s in found]
             h2 = [int(mix(s ^ ORDERS[2]).sum().astype(np.int64)) if len(s) else 0 for s in found]
             sizes, counts = pa.array([len(s) for s in found], pa.int64()), pa.array([histogram(s) for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), counts], names=["doc_id", "n_shingles", "h1", "h2", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), counts], names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "counts"])
 
-    sets = cut(texts.mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long, counts binary"))
+    sets = cut(texts.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, counts binary"))
     classes = cut(sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("class_n"), F.min("counts").alias("counts")))
     linked = _links(texts, classes, rare, n, percent)
     groups = components(linked.where("b is not null"))
@@ -187,6 +187,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.coalesce(F.coalesce("far", F.lit(0)) + F.col("class_n") - 1, F.lit(0)).cast("long").alias("n_links"),
+        "text_hash",
     )
 
 

@@ -20,10 +20,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import bounded, columns, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -165,10 +165,12 @@ class Pieces:
         by = np.argsort(end, kind="stable")
         end, size, piece = end[by], size[by], piece[by]
         p = np.exp(value[by] - total[end])
-        run = np.cumsum(p)
-        first = np.concatenate(([True], end[1:] != end[:-1]))
-        before = np.where(first, run - p, 0.0)
-        inner = run - np.maximum.accumulate(before)
+        first = np.concatenate(([True], end[1:] != end[:-1]))[: len(end)]
+        # summed place by place, so that a unit's sums do not depend on the units that it is learned with
+        inner, nth = p.copy(), np.arange(len(end)) - np.maximum.accumulate(np.where(first, np.arange(len(end)), 0))
+        for k in range(1, int(nth.max(initial=0)) + 1):
+            at = np.flatnonzero(nth == k)
+            inner[at] += inner[at - 1]
         last = np.concatenate((first[1:], [True])) if len(first) else first
         return ends, end, np.where(last, 2.0, inner), piece, size
 
@@ -241,8 +243,8 @@ def load(path: str = MODEL, sharpness: float = 1.0) -> Pieces:
     return _loaded[path, sharpness]
 
 
-def encode(docs: DataFrame, seed: int = 1, sharpness: float = 1.0, model: str = MODEL, digest: bool = False, rest: Column | None = None) -> DataFrame:
-    """Per row: doc_id, pieces (array<int>), and rest. With digest: n_pieces, pieces_crc32, lossless in place of pieces.
+def encode(docs: DataFrame, seed: int = 1, sharpness: float = 1.0, model: str = MODEL, digest: bool = False, rest: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, pieces (array<int>), and the columns named in rest. With digest: n_pieces, pieces_crc32, lossless in place of pieces.
 
     docs: doc_id, text. lossless: the pieces decode to the very bytes of the text.
     """
@@ -266,9 +268,9 @@ def encode(docs: DataFrame, seed: int = 1, sharpness: float = 1.0, model: str =
                 made = [pa.array([None if z else f.astype(np.int32) for f, z in zip(found, none, strict=True)], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], names=["doc_id", *(("n_pieces", "pieces_crc32", "lossless") if digest else ("pieces",)), *batch.schema.names[2:]])
 
-    texts = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"), *([] if rest is None else [rest.alias("rest")]))
+    texts = columns(bounded(docs), "doc_id", "text", *rest).withColumn("doc_id", F.col("doc_id").cast("long"))
     kind = "n_pieces long, pieces_crc32 long, lossless boolean" if digest else "pieces array<int>"
-    return texts.mapInArrow(run, f"doc_id long, {kind}" + ("" if rest is None else f", rest {texts.schema['rest'].dataType.simpleString()}"))
+    return texts.mapInArrow(run, f"doc_id long, {kind}" + "".join(f", `{n}` {texts.schema[n].dataType.simpleString()}" for n in rest))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, raw, word_hashes
+from .common import bounded, columns, gram_hashes, raw, word_hashes
 from .samples import fold, labelled
 
 BITS = 20
@@ -83,17 +83,15 @@ def train(sample: DataFrame, epochs: int = 4, alpha: float = 0.3, beta: float =
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, out_of: int = 2, bound: int = 8000, cutoff: float = 0.7) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
     held = fold("doc_id", parts) == out_of
-    weights = docs.sparkSession.sparkContext.broadcast(train(labelled(docs, labels, label, ~held, bound)))  # 8 MB
+    weights = docs.sparkSession.sparkContext.broadcast(train(labelled(bounded(docs), labels, label, ~held, bound)))  # 8 MB
 
-    def dots(batches):
-        w = weights.value
-        for batch in batches:
-            out = []
-            for text in raw(batch.column(1)):
-                at, x = features(text)
-                out.append(1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
-
-    texts = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"))
-    scored = texts.mapInArrow(dots, "doc_id long, score double")
+    @F.arrow_udf("double")
+    def dots(texts: pa.Array) -> pa.Array:
+        w, out = weights.value, []
+        for text in raw(texts):
+            at, x = features(text)
+            out.append(1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30))))
+        return pa.array(out, pa.float64())
+
+    scored = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), dots("text").alias("score"))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))

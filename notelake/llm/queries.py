@@ -17,7 +17,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"), n=3, percent=90)
+    return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"), n=3, percent=90).drop("text_hash")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +43,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has images: every embedding is drawn as one, and those whose id is divisible by 50, cropped and regraded, are the queries, with
-    some of the others cropped and turned by a quarter, or cropped and enlarged twofold."""
+    some of the others cropped and turned by a quarter, or cropped and enlarged twofold. A query bears the id of its original."""
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = media.pictures(rows.where("id % 50 = 0"), crop=(3, 5), gain=0.8, offset=20)
     asked = asked.union(media.pictures(rows.where("id % 500 = 10"), crop=(3, 5), turns=1)).union(media.pictures(rows.where("id % 500 = 20"), crop=(3, 5), times=2))
-    return media.copies(asked, media.pictures(rows))
+    return media.by_image(media.copies(asked, media.pictures(rows)))
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

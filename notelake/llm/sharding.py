@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import columns
+
 BUCKETS = 64
 HEX = 13  # hex digits of a draw: 52 bits fit a double
 
@@ -69,10 +71,11 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     a first pass over the id column alone counts rows per (shard, bucket), so no shard is numbered in a single task.
     """
     small, grown = topology(shards), topology(shards, 1)
-    ids = F.col(f"`{id_col}`").alias("id")
+    docs = columns(docs, id_col, text_col)
+    ids = F.col(id_col).alias("id")
     key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     bucket = (F.conv(F.substring(F.md5(F.concat(key, F.lit("/slot"))), 1, 2), 16, 10).cast("int") % BUCKETS).alias("bucket")
-    text = F.col(f"`{text_col}`")
+    text = F.col(text_col)
     placed = docs.select(
         ids,
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),

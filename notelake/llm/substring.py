@@ -27,10 +27,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, gram_hashes, id_key, mix, raw, word_hashes
+from .common import NO_ID, bounded, columns, gram_hashes, id_key, mix, raw, word_hashes
 
 SEED = 6
 BUFFER = 4_000_000  # suffixes or windows a task holds before it forwards them
@@ -85,9 +85,10 @@ def covered(n: int, starts: np.ndarray, span: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def repeated_starts(docs: DataFrame, span: int, seed: int, rest: Column) -> DataFrame:
+def repeated_starts(docs: DataFrame, span: int, seed: int, carry: bool) -> DataFrame:
     """docs as (k, text, starts, repeats, -, rest): windows that also begin earlier begin at starts and in the runs of repeats."""
-    texts = docs.select(id_key("`doc_id`").alias("k"), F.coalesce(F.shiftright(F.xxhash64("`text`"), 33).cast("int"), F.lit(0)).alias("th"), F.col("`text`").alias("text"), rest.alias("rest"))
+    own = columns(bounded(docs), "doc_id", "text", carry=carry)
+    texts = own.select(id_key().alias("k"), F.coalesce(F.shiftright(F.xxhash64("text"), 33).cast("int"), F.lit(0)).alias("th"), "text", F.col("rest") if carry else F.lit(None).cast("boolean").alias("rest"))
 
     def suffixes(batches):
         def forward(held):
@@ -171,9 +172,9 @@ def repeated_starts(docs: DataFrame, span: int, seed: int, rest: Column) -> Data
     return texts.join(alive, ["k", "th"], "left").join(marks, ["k", "th"], "left").select("k", "text", "starts", "repeats", "runs", "rest")
 
 
-def remove_repeats(docs: DataFrame, span: int = 20, seed: int = SEED, rest: Column | None = None) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the text, or its kept words joined by one space), rest."""
-    both = repeated_starts(docs, span, seed, F.lit(None).cast("boolean") if rest is None else rest)
+def remove_repeats(docs: DataFrame, span: int = 20, seed: int = SEED, carry: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the text, or its kept words joined by one space), rest (all columns, if carried)."""
+    both = repeated_starts(docs, span, seed, carry)
 
     def strip(batches):
         for batch in batches:

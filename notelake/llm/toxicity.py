@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw, word_hashes
+from .common import bounded, columns, cut, raw, word_hashes
 from .counting import bucket_counts
 from .samples import fold, labelled
 
@@ -99,7 +99,7 @@ def train(docs: DataFrame, sample: DataFrame) -> Model:
     # the curve is fitted on texts that the counts have not seen
     apart = sample.where(F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
     sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(5)) > 0)
-    seen = bucket_counts(docs.select(F.col("`text`")), known, BITS + 1) + 1
+    seen = bucket_counts(columns(docs, "text"), known, BITS + 1) + 1
     of_word, of_stem = seen[: 2**BITS].astype(float), seen[2**BITS :].astype(float)
 
     def pairs(batches):
@@ -150,17 +150,26 @@ def train(docs: DataFrame, sample: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, out_of: int = 0, bound: int = 20000, cutoff: float = 0.5, rest=None) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted (and rest, a column of docs to carry along)."""
+def judge(docs: DataFrame, labels: DataFrame, label: str, parts: int, out_of: int, bound: int):
+    """A function of a text column: the scores by a model trained on docs. Only texts go to Python and only numbers come back."""
     held = fold("doc_id", parts) == out_of
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labelled(docs, labels, label, ~held, bound)))
+    model = docs.sparkSession.sparkContext.broadcast(train(bounded(docs), labelled(docs, labels, label, ~held, bound)))
+
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array([model.value.score(t) for t in raw(texts)], pa.float64())
+
+    return scores
+
+
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, out_of: int = 0, bound: int = 20000, cutoff: float = 0.5) -> DataFrame:
+    """Per row of docs: doc_id, held_out, score, predicted."""
+    scored = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), judge(docs, labels, label, parts, out_of, bound)("text").alias("score"))
+    return scored.select("doc_id", (fold("doc_id", parts) == out_of).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
 
-    def judge(batches):
-        for batch in batches:
-            out = [model.value.score(t) for t in raw(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), *batch.columns[2:]], names=["doc_id", "score", *batch.schema.names[2:]])
 
-    texts = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"), *([] if rest is None else [rest.alias("rest")]))
-    kind = "" if rest is None else f", rest {texts.schema['rest'].dataType.simpleString()}"
-    scored = texts.mapInArrow(judge, f"doc_id long, score double{kind}")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"), *([] if rest is None else ["rest"]))
+def passing(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, out_of: int = 0, bound: int = 20000, cutoff: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the cutoff."""
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = F.col(f"c{docs.columns.index('text')}")
+    return flat.where(judge(docs, labels, label, parts, out_of, bound)(text) < cutoff).toDF(*docs.columns)
