@@ -1,46 +1,45 @@
 """A corpus pipeline of five stages, each one operator over all that the stage before it kept.
 
-Every stage takes (spark, docs, sf_dir) with docs in the columns of documents and, but for the last, returns those
-columns. Nulls in any column are kept; a null doc_id is an id of its own to every stage; empty in, empty out.
+Every stage takes (spark, docs, sf_dir) with docs in the columns of documents, and others if there are, and, but for the
+last, returns all of them. Nulls in any column are kept; a null doc_id is an id of its own to every stage; empty in, empty out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.llm import mixing, ngram_join, pieces, substring, toxicity
-from notelake.llm.common import cut
+from notelake.llm.common import WORD, columns, cut, restored
 
 #: No SQL: the first stage trains a model.
 ORACLE_SQL = None
 
 
-def _row(docs: DataFrame):
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney models call toxic go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, labels, rest=_row(docs)).where("predicted = 0").select("rest.*")
+    return toxicity.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words a shingle, similarity 0.8) stays: the smallest id, once."""
-    groups = ngram_join.jaccard_groups(docs, n=5, percent=80)
-    go = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    # rows that repeat an id are copies too, or one document to the links: the first text stays
-    once = F.row_number().over(ngram_join.Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text")))
-    kept = docs.join(go, "doc_id", "left_anti")
-    with_id = kept.where("doc_id is not null").withColumn("nth", once).where("nth = 1").drop("nth")
-    return with_id.unionByName(kept.where("doc_id is null"))
+    """Of each group of near copies (five words a shingle, similarity 0.8) the row with the smallest (id, text hash) stays, once.
+
+    Rows that share an id and differ in text are judged by their own texts. Rows without id or without words are in no group: all stay.
+    """
+    groups = ngram_join.jaccard_groups(docs, n=5, percent=80).where("n_shingles > 0 and doc_id is not null")
+    heads = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    heads = heads.select(F.col("head.doc_id").alias("id"), F.col("head.text_hash").alias("th"), F.lit(True).alias("first")).distinct()
+    rows = columns(docs, "doc_id", "text", carry=True).withColumns({"id": F.col("doc_id").cast("long"), "th": F.xxhash64("text")})
+    alone = F.col("id").isNull() | F.col("text").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    rows = rows.withColumn("alone", alone).drop("doc_id", "text")
+    first = rows.where("not alone").join(heads, ["id", "th"]).withColumn("nth", F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64("rest")))).where("nth = 1")
+    return restored(rows.where("alone").select("rest").unionByName(first.select("rest")), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under a window of 20 words that begins earlier elsewhere go; texts without such words stay as they are."""
-    cut_ = substring.remove_repeats(docs, span=20, rest=_row(docs))
-    return cut_.select("rest.doc_id", F.col("kept").alias("text"), "rest.lang", "rest.source", F.length("kept").cast("long").alias("n_chars"))
+    done = substring.remove_repeats(docs, span=20, carry=True)
+    return restored(done, docs, text=F.col("kept"), n_chars=F.length("kept").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece sequences; lossless says that they decode to the text."""
-    out = pieces.encode(docs, seed=1, digest=True, rest=F.struct("source", "lang"))
-    return out.select("doc_id", "rest.source", "rest.lang", "n_pieces", "pieces_crc32", "lossless")
+    out = pieces.encode(docs, seed=1, digest=True, rest=("source", "lang"))
+    return out.select("doc_id", "source", "lang", "n_pieces", "pieces_crc32", "lossless")
 
 
 STAGES = [
