@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, cut
+from .common import bounded, columns, cut
 
-SHARD = 2048
+SHARD = 200_000  # classes of a shard at most, or about so
+LEAST = 8  # shards, if there are 2,048 classes for each
 BLOCK = 256
 DEGREE = 24
 BEAM = 64
@@ -122,7 +123,8 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, shard: int = SHARD, b
     # equal vectors: the k + 1 smallest ids of a class are all that any query can be given
     first = v.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     classes = cut(first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("class", F.xxhash64("v", F.col("ids")[0])))
-    shards = classes.count() // shard + 1
+    many = classes.count()
+    shards = max(many // shard + 1, min(LEAST, many // 2048))
     deal = F.pmod("class", F.lit(shards)).cast("int")
 
     def graphs(key, table):

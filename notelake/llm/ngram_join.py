@@ -179,8 +179,10 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     degrees = linked.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("far"))
     labels = classes.drop("counts").join(groups, classes.class_id == groups.vertex, "left").drop("vertex")
     labels = cut(labels.join(degrees, "class_id", "left"))
-    # hot classes: both sides are exchanged for this join alone, so that a skewed class can be split
-    out = sets.join(labels, ["h1", "h2", "n_shingles"], "left")
+    # hot classes: both sides are exchanged for this join alone, so that a skewed class can be split; documents without shingles stay out of it
+    none = [F.lit(None).cast("long").alias(x) for x in ("class_id", "class_n", "component", "far")]
+    out = sets.where("n_shingles > 0").join(labels, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", "text_hash", "class_id", "class_n", "component", "far")
+    out = out.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", "text_hash", *none))
     return out.select(
         "doc_id",
         "n_shingles",
@@ -223,9 +225,11 @@ def _links(texts: DataFrame, classes: DataFrame, rare, n: int, percent: int) ->
     dealt = texts.mapInArrow(deal, "key long, h1 long")
     met = dealt.withColumn("low", F.min("h1").over(of_key)).withColumn("high", F.max("h1").over(of_key)).where("low <> high").select("key", "h1")
     met = cut(met.distinct())
-    group = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    packs = met.count() // PACK + 1
-    met = met.join(group, "key").join(classes.select("h1", "class_id", "n_shingles", "counts"), "h1")
+    # near copies agree in nearly all their parts: of the keys with the very same members (by two hashes) one is enough
+    group = met.groupBy("key").agg(F.count("*").alias("many"), *[F.bit_xor(F.xxhash64("h1", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
+    group = cut(group.groupBy("many", "x1", "x2").agg(F.min("key").alias("key")).select("key", "many", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")))
+    packs = (group.agg(F.sum("many")).first()[0] or 0) // PACK + 1
+    met = met.join(group.drop("many"), "key").join(classes.select("h1", "class_id", "n_shingles", "counts"), "h1")
     met = met.withColumn("block", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("blocks")).cast("int"))
     packed = F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("key"), F.lit(packs)).cast("string")))
     met = met.withColumn("tasks", F.when(F.col("blocks") == 1, packed).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", F.lit("f"), F.col("key").cast("string"), F.least(F.col("block"), j).cast("string"), F.greatest(F.col("block"), j).cast("string")))))

@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def diff(previous: DataFrame, current: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """(key, values, operation) of what changed: one full outer join, duplicates of a key collapsed to the last seq if any."""
-    p = previous.dropDuplicates([key]).select(F.col(key), *[F.col(v).alias(f"old_{v}") for v in values], F.lit(True).alias("was"))
-    n = current.dropDuplicates([key]).select(F.col(key), *values, F.lit(True).alias("is"))
+def diff(previous: DataFrame, current: DataFrame, key: str, values: list[str], seq: str | None = None) -> DataFrame:
+    """(key, values, operation) of what changed: one full outer join. Of rows that repeat a key the last by seq counts, or, without seq,
+    the one with the greatest values."""
+
+    def last(df: DataFrame) -> DataFrame:
+        held = F.struct(*values)
+        return df.groupBy(key).agg((F.max(held) if seq is None else F.max_by(held, F.struct(seq, held))).alias("l")).select(key, "l.*")
+
+    p = last(previous).select(F.col(key), *[F.col(v).alias(f"old_{v}") for v in values], F.lit(True).alias("was"))
+    n = last(current).select(F.col(key), *values, F.lit(True).alias("is"))
     changed = F.lit(False)
     for v in values:
         changed = changed | ~F.col(v).eqNullSafe(F.col(f"old_{v}"))

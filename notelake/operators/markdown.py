@@ -56,3 +56,20 @@ def items(rows: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
 def extracted(parsed: DataFrame, first: Column, last: Column) -> DataFrame:
     """Items with their ids."""
     return parsed.withColumns({"author_first_name": first, "author_last_name": last}).withColumn("item_id", item_id("title", "author_last_name", "author_first_name", "section", "content"))
+
+
+def diagnostics(rows: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """(path, line_no, kind, name): sections of a book without items, which are dropped, and books without sections that have any, which are kept."""
+    by = Window.partitionBy("path").orderBy("line_no")
+    line, rest = F.col("line"), pystrip(F.expr("substring(line, 3)"))
+    top = line.startswith("# ")
+    title = top & ~F.lower(rest).isin(*sections)
+    name = F.when(top, rest).otherwise(pystrip(F.expr("substring(line, 4)")))
+    head = F.when(top | line.startswith("## "), F.struct(title.alias("title"), name.alias("name"), F.col("line_no").alias("at")))
+    df = rows.withColumn("head", head).withColumn("under", F.last("head", ignorenulls=True).over(by)).withColumn("book_no", F.sum(F.coalesce(F.col("head.title"), F.lit(False)).cast("int")).over(by))
+    item = F.col("head").isNull() & (pystrip("line") != "")
+    parts = df.where("book_no > 0").groupBy("path", "book_no", "under").agg(F.max(item).alias("any"))
+    empty = parts.where("not any and not under.title and under.name <> ''").select("path", F.col("under.at").alias("line_no"), F.lit("section").alias("kind"), F.col("under.name").alias("name"))
+    full = F.col("any") & ~F.col("under.title") & (F.col("under.name") != "")
+    books = parts.groupBy("path", "book_no").agg(F.max(full).alias("any"), F.min(F.when(F.col("under.title"), F.struct("under.at", "under.name"))).alias("b")).where("not any")
+    return empty.unionByName(books.select("path", F.col("b.at").alias("line_no"), F.lit("book").alias("kind"), F.col("b.name").alias("name")))

@@ -1,46 +1,70 @@
-"""Validation rules over lines (file, line_no, line) -> issues, each a DataFrame to DataFrame function in RULES."""
+"""Validation rules over lines (file, line_no, line) -> issues.
+
+Rules that need one line only are one pass: an array of what each finds, exploded. Rules that need a section or book read
+counts of headers from one window a file. An issue is (file, line_no, severity, rule_id, message, context, suggestion, rule_no);
+rule_no orders the issues of a line. Null lines are no lines.
+"""
 
 from __future__ import annotations
 
 import difflib
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import pystrip
+from ..functions.text import SPACE, pystrip
 from .markdown import SECTIONS
 
-#: Malformed page citations.
-MALFORMED = (r"\(p\.(\d+)\)", r"\(p\s(\d+\))", r"\(pg\.\s*\d+\)", r"\(page\s+\d+\)", r"\(p\,\s*\d+\)")
+#: Malformed page citations, and what is said of them.
+MALFORMED = (
+    (r"\(p\.(\d+)\)", "Missing space after 'p.'"),
+    (r"\(p\s(\d+\))", "Missing period after 'p'"),
+    (r"\(pg\.\s*\d+\)", "Use 'p.' instead of 'pg.'"),
+    (r"\(page\s+\d+\)", "Use 'p.' instead of 'page'"),
+    (r"\(p\,\s*\d+\)", "Use 'p.' instead of 'p,'"),
+)
 #: A citation of any format.
 CITATION = r"\([^)]*\d+[^)]*\)"
-ISSUE = ("file", "line_no", "severity", "rule_id", "context", "suggestion")
-
-
-def issue(df: DataFrame, severity: str, rule: str, suggestion: Column | None = None) -> DataFrame:
-    return df.select("file", "line_no", F.lit(severity).alias("severity"), F.lit(rule).alias("rule_id"), F.col("line").alias("context"), (F.lit(None) if suggestion is None else suggestion).cast("string").alias("suggestion"))
-
-
-def header_too_deep(rows: DataFrame) -> DataFrame:
-    return issue(rows.where(F.col("line").startswith("###")), "error", "HEADER_001")
-
-
-def header_without_space(rows: DataFrame) -> DataFrame:
-    return issue(rows.where(F.col("line").rlike(r"^#{1,2}[^\s#]")), "error", "HEADER_002", F.regexp_replace("line", r"^(#{1,2})", "$1 "))
-
-
-def section_as_title(rows: DataFrame) -> DataFrame:
-    name = F.lower(pystrip(F.expr("substring(line, 3)")))
-    return issue(rows.where(F.col("line").startswith("# ") & name.isin(*SECTIONS)), "error", "HEADER_003", F.concat(F.lit("## "), name))
-
-
-def section_spelling(rows: DataFrame) -> DataFrame:
-    name = pystrip(F.expr("substring(line, 4)"))
-    known = F.lower(name).isin(*SECTIONS) & (name != F.lower(name))
-    return issue(rows.where(F.col("line").startswith("## ") & known), "warning", "SECTION_001", F.concat(F.lit("## "), F.lower(name)))
+ISSUE = ("file", "line_no", "severity", "rule_id", "message", "context", "suggestion", "rule_no")
+KINDS = ("error", "warning", "info")
+
+
+def _java(pattern: str) -> str:
+    """White space and digits of any script, as in the rules' own terms."""
+    return pattern.replace(r"\s", SPACE).replace(r"\d", r"\p{Nd}")
+
+
+def _found(when: Column, severity: str, rule: str, number: int, message: Column | str, context: Column, suggestion: Column | str | None = None) -> Column:
+    lit = lambda x: F.lit(x) if x is None or isinstance(x, str) else x
+    return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule_id"), lit(message).alias("message"), context.alias("context"), lit(suggestion).cast("string").alias("suggestion"), F.lit(number).alias("rule_no")))
+
+
+def _local() -> list[Column]:
+    """What the rules that need one line only find in `line`."""
+    line, bare = F.col("line"), pystrip("line")
+    title, name = pystrip(F.expr("substring(line, 3)")), pystrip(F.regexp_extract("line", f"(?s)^##{SPACE}+(.+)$", 1))
+    known = F.lower(name).isin(*SECTIONS)
+    say = lambda *x: F.concat(*[F.lit(s) if isinstance(s, str) else s for s in x])
+    out = [
+        _found(line.startswith("# ") & F.lower(title).isin(*SECTIONS), "error", "HEADER_003", 0, say("Book title '", title, "' is a canonical section name and should not be used as a book title"), bare),
+        _found(line.startswith("###"), "error", "HEADER_001", 1, "Headers deeper than level 2 are not supported", bare, "Use ## for sections within books"),
+        _found(line.rlike(r"^#{1,2}[^#" + SPACE[1:]), "error", "HEADER_002", 2, "Missing space after # in header", bare, pystrip(F.regexp_replace("line", r"^(#{1,2})", "$1 "))),
+        _found(known & (name != F.lower(name)), "warning", "SECTION_001", 3, say("Inconsistent capitalization for section '", name, "'. Expected: '", F.lower(name), "'"), bare, say("## ", F.lower(name))),
+    ]
+    item = bare.startswith("- ") & ~line.startswith("    ")
+    for i, (pattern, fault) in enumerate(MALFORMED):
+        p = _java(pattern)
+        number = F.regexp_extract(F.regexp_extract("line", p, 0), r"\p{Nd}+", 0)
+        fixed = pystrip(F.regexp_replace(line, F.lit(p), say("(p. ", number, ")")))
+        out.append(_found(item & line.rlike(p), "error", "CITATION_001", 5 + i, f"Malformed page citation: {fault}", bare, fixed))
+    indent = F.length(F.regexp_extract("line", f"^( *)-{SPACE}", 1))
+    right = F.regexp_replace(line, f"{SPACE}+$", "")
+    moved = F.concat(F.repeat(F.lit(" "), (F.floor(indent / 4) * 4).cast("int")), F.ltrim(right))
+    out.append(_found(line.rlike(f"^{SPACE}*[*+]{SPACE}"), "warning", "LIST_001", 11, "Use '-' for list items instead of '*' or '+'", bare, F.regexp_replace(bare, r"^[*+]", "-")))
+    out.append(_found(line.rlike(f"^ *-{SPACE}") & (indent % 4 != 0), "warning", "LIST_002", 12, say("List item indentation should be a multiple of 4 spaces (found ", indent.cast("string"), " spaces)"), right, moved))
+    return out
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -48,94 +72,141 @@ def close_matches(names: pd.Series) -> pd.Series:
     return names.map(lambda n: difflib.get_close_matches(n, SECTIONS, n=3, cutoff=0.7))
 
 
-def section_unknown(rows: DataFrame) -> DataFrame:
-    """Names are few: the fuzzy match runs on distinct ones."""
-    named = rows.where(F.col("line").startswith("## ")).withColumn("name", F.lower(pystrip(F.expr("substring(line, 4)")))).where(~F.col("name").isin(*SECTIONS))
-    near = named.select("name").distinct().withColumn("near", close_matches("name")).where(F.size("near") > 0)
-    return issue(named.join(near, "name"), "info", "SECTION_002", F.concat(F.lit("## "), F.col("near")[0]))
+def _issues(df: DataFrame, found: Column) -> DataFrame:
+    return df.select("file", "line_no", found.alias("i")).where("i is not null").select("file", "line_no", "i.*").select(*ISSUE)
 
 
-def citation_form(rows: DataFrame) -> DataFrame:
-    """One issue a pattern and line; the suggestion puts the first match's number in place of every match."""
+def _unknown(rows: DataFrame) -> DataFrame:
+    """SECTION_002. Names are few: the fuzzy match runs on distinct ones."""
+    name = pystrip(F.regexp_extract("line", f"(?s)^##{SPACE}+(.+)$", 1))
+    named = rows.withColumn("name", name).where((F.col("name") != "") & ~F.lower("name").isin(*SECTIONS))
+    near = named.select(F.lower("name").alias("low")).distinct().withColumn("near", close_matches("low")).where(F.size("near") > 0)
+    both = named.join(near, F.lower("name") == F.col("low"))
+    message = F.concat(F.lit("Unusual section name '"), "name", F.lit("'. Did you mean: "), F.array_join("near", ", "), F.lit("?"))
+    return _issues(both, _found(F.lit(True), "info", "SECTION_002", 4, message, pystrip("line"), F.concat(F.lit("## "), F.col("near")[0])))
 
-    def check(p: str) -> Column:
-        n = F.regexp_extract(F.regexp_extract("line", p, 0), r"\d+", 0)
-        fixed = pystrip(F.regexp_replace(F.col("line"), F.lit(p), F.concat(F.lit("(p. "), n, F.lit(")"))))
-        return F.when(F.col("line").rlike(p), fixed)
 
-    hit = rows.where(F.col("line").startswith("- ")).withColumn("fixed", F.explode(F.filter(F.array(*[check(p) for p in MALFORMED]), lambda x: x.isNotNull())))
-    return issue(hit, "error", "CITATION_001", F.col("fixed"))
-
-
-def citation_missing(rows: DataFrame) -> DataFrame:
-    """Items without a citation between cited ones of their section."""
+def _placed(rows: DataFrame) -> DataFrame:
+    """Lines with their section (by `## ` alone), header and book; all from one sort of each file."""
     by = Window.partitionBy("file").orderBy("line_no")
-    df = rows.withColumn("part", F.sum(F.col("line").startswith("## ").cast("int")).over(by)).where(F.col("line").startswith("- ") & (F.col("part") > 0))
-    cited = F.regexp_count("line", F.lit(r"\(p\.\s+\d+\)")) > 0
+    line = F.col("line")
+    rest, low = pystrip(F.expr("substring(line, 3)")), line.startswith("## ")
+    top = line.startswith("# ")
+    title = top & ~F.lower(rest).isin(*SECTIONS)
+    head = F.when(title, F.struct(F.lit(True).alias("is_title"), rest.alias("name"))).when(top | low, F.struct(F.lit(False).alias("is_title"), F.when(top, rest).otherwise(pystrip(F.expr("substring(line, 4)"))).alias("name")))
+    df = rows.where("line is not null").withColumn("head", head)
+    df = df.withColumns({"part": F.sum(low.cast("int")).over(by), "head_no": F.sum(F.col("head").isNotNull().cast("int")).over(by), "book_no": F.sum(F.coalesce(F.col("head.is_title"), F.lit(False)).cast("int")).over(by), "under": F.last("head", ignorenulls=True).over(by)})
+    return df.withColumn("title", F.last(F.when(F.col("head.is_title"), F.col("head.name")), ignorenulls=True).over(by)).withColumn("header", F.last(F.when(low, pystrip("line")), ignorenulls=True).over(by))
+
+
+def _uncited(placed: DataFrame) -> DataFrame:
+    """CITATION_002: items without a citation between cited ones of their section."""
+    bare = pystrip("line")
+    item = bare.startswith("- ") & ~F.col("line").startswith("    ")
+    cited = F.col("line").rlike(_java(r"\(p\.\s+(\d+)\)"))
     own = Window.partitionBy("file", "part").orderBy("line_no")
-    df = df.withColumns({"cited": cited, "before": F.lag(cited).over(own), "later": F.max(cited).over(own.rowsBetween(1, Window.unboundedFollowing))})
-    return issue(df.where(~F.col("cited") & F.col("before") & F.col("later")), "warning", "CITATION_002")
-
-
-def list_marker(rows: DataFrame) -> DataFrame:
-    return issue(rows.where(F.col("line").rlike(r"^\s*[*+]\s")), "warning", "LIST_001", F.regexp_replace(pystrip("line"), r"^[*+]", "-"))
-
-
-def list_indent(rows: DataFrame) -> DataFrame:
-    indent = F.length(F.regexp_extract("line", r"^( *)-\s", 1))
-    df = rows.where(F.col("line").rlike(r"^ *-\s")).withColumn("indent", indent).where("indent > 0 and indent % 4 <> 0")
-    return issue(df, "warning", "LIST_002", F.concat(F.repeat(F.lit(" "), (F.floor(F.col("indent") / 4) * 4).cast("int")), F.expr("substring(line, indent + 1)")))
-
-
-def _islands(rows: DataFrame, marker: str) -> DataFrame:
-    by = Window.partitionBy("file").orderBy("line_no")
-    content = (pystrip("line") != "") & ~F.col("line").startswith("#")
-    return rows.withColumn("part", F.sum(F.col("line").startswith(marker).cast("int")).over(by)).withColumn("content", content).where("part > 0")
-
-
-def section_empty(rows: DataFrame) -> DataFrame:
-    part = Window.partitionBy("file", "part")
-    df = _islands(rows, "## ").withColumn("any", F.max("content").over(part))
-    return issue(df.where(~F.col("any") & F.col("line").startswith("## ")), "error", "CONTENT_001")
-
-
-def book_empty(rows: DataFrame) -> DataFrame:
-    part = Window.partitionBy("file", "part")
-    df = _islands(rows, "# ").withColumn("any", F.max("content").over(part))
-    return issue(df.where(~F.col("any") & F.col("line").startswith("# ")), "error", "CONTENT_002")
-
-
-RULES = (header_too_deep, header_without_space, section_as_title, section_spelling, section_unknown, citation_form, citation_missing, list_marker, list_indent, section_empty, book_empty)
-
-
-def validate(rows: DataFrame, rules=RULES) -> DataFrame:
-    """All issues; order by file, line_no, rule order."""
-    return reduce(DataFrame.unionByName, [r(rows).withColumn("rule_no", F.lit(i)) for i, r in enumerate(rules)])
+    df = placed.where(item & (F.col("part") > 0)).withColumn("cited", cited)
+    df = df.withColumns({"before": F.lag("cited").over(own), "later": F.max("cited").over(own.rowsBetween(1, Window.unboundedFollowing))})
+    message = F.concat(F.lit("Missing page citation after item with citation in section '"), "header", F.lit("'"))
+    return _issues(df.where(~F.col("cited") & F.col("before") & F.col("later")), _found(F.lit(True), "warning", "CITATION_002", 10, message, bare))
+
+
+def _hollow(placed: DataFrame) -> DataFrame:
+    """CONTENT_001 and CONTENT_002: sections, and books, without a line of content below a named section of a named book."""
+    bare = pystrip("line")
+    counts = F.col("head").isNull() & (F.col("title") != "") & ~F.col("under.is_title") & (F.col("under.name") != "") & (bare != "") & ~bare.startswith("#")
+    df = placed.withColumn("content", F.coalesce(counts, F.lit(False)))
+    start = F.min(F.when(F.col("head").isNotNull(), F.struct("line_no", "head.is_title", "head.name"))).alias("start")
+    parts = df.where("head_no > 0").groupBy("file", "book_no", "head_no").agg(F.max("content").alias("content"), start)
+    section = parts.where("not content and not start.is_title and start.name <> ''").select("file", "start.line_no", F.col("start.name").alias("name"))
+    books = parts.where("book_no > 0").groupBy("file", "book_no").agg(F.max("content").alias("content"), F.min(F.when(F.col("start.is_title"), F.struct("start.line_no", "start.name"))).alias("start"))
+    book = books.where("not content and start.name <> ''").select("file", "start.line_no", F.col("start.name").alias("name"))
+    one = _issues(section, _found(F.lit(True), "error", "CONTENT_001", 13, F.concat(F.lit('Section "'), "name", F.lit('" has no content')), F.concat(F.lit("## "), "name"), "Add content to the section or remove it"))
+    return one.unionByName(_issues(book, _found(F.lit(True), "error", "CONTENT_002", 14, F.concat(F.lit('Book "'), "name", F.lit('" has no sections with content')), F.concat(F.lit("# "), "name"), "Add sections with content to the book")))
+
+
+def _unlike(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """PATTERN_001 and PATTERN_002: section names that differ from the learned ones (pattern_type, value). Sizes decide how patterns are joined."""
+    learned = patterns.where("pattern_type = 'section_name'").select(F.lower("value").alias("key"), "value").groupBy("key").agg(F.max("value").alias("value"))
+    named = rows.where(F.col("line").startswith("## ")).withColumn("name", pystrip(F.expr("substring(line, 4)")))
+    both = named.join(learned, F.lower("name") == F.col("key"), "left")
+    other = F.concat(F.lit("Section capitalization differs from learned pattern. Expected: '"), "value", F.lit("', Found: '"), "name", F.lit("'"))
+    unknown = F.concat(F.lit("Section name '"), "name", F.lit("' not found in learned patterns"))
+    differs = _found(F.col("value").isNotNull() & (F.col("name") != F.col("value")), "warning", "PATTERN_001", 15, other, pystrip("line"), F.concat(F.lit("## "), "value"))
+    return _issues(both, F.coalesce(differs, _found(F.col("value").isNull(), "info", "PATTERN_002", 15, unknown, pystrip("line"))))
+
+
+def local(rows: DataFrame) -> DataFrame:
+    """Issues of the rules that need one line only, in one pass."""
+    return rows.where("line is not null").select("file", "line_no", F.explode(F.filter(F.array(*_local()), lambda x: x.isNotNull())).alias("i")).select("file", "line_no", "i.*").select(*ISSUE)
+
+
+def validate(rows: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """All issues; their order is (file, line_no, rule_no). patterns: what learn() returns, for the rules that use it."""
+    placed = _placed(rows)
+    out = local(rows).unionByName(_unknown(rows)).unionByName(_uncited(placed)).unionByName(_hollow(placed))
+    return out if patterns is None else out.unionByName(_unlike(rows, patterns))
+
+
+def of_rule(rows: DataFrame, rule: str, patterns: DataFrame | None = None) -> DataFrame:
+    """The issues of one rule, by the pass that it needs."""
+    kind = rule.partition("_")[0]
+    if rule == "SECTION_002":
+        found = _unknown(rows)
+    elif rule == "CITATION_002":
+        found = _uncited(_placed(rows))
+    elif kind == "CONTENT":
+        found = _hollow(_placed(rows))
+    elif kind == "PATTERN":
+        found = _unlike(rows, patterns)
+    else:
+        found = local(rows)
+    return found.where(F.col("rule_id") == rule)
 
 
 def summary(issues: DataFrame) -> DataFrame:
-    """Per file: errors, warnings, infos, has_errors, is_clean."""
-    n = lambda s: F.count_if(F.col("severity") == s)
-    return issues.groupBy("file").agg(n("error").alias("errors"), n("warning").alias("warnings"), n("info").alias("infos"), (n("error") > 0).alias("has_errors"))
+    """Per file with issues: errors, warnings, infos, has_errors, has_warnings, is_clean."""
+    counts = issues.groupBy("file").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in KINDS])
+    return counts.withColumns({"has_errors": F.col("errors") > 0, "has_warnings": F.col("warnings") > 0, "is_clean": F.col("errors") + F.col("warnings") + F.col("infos") == 0})
 
 
 def learn(rows: DataFrame) -> DataFrame:
-    """Section names by lower-case form: frequency, commonest spelling, share, up to five examples; and the ten commonest citation formats, their shares of all citations."""
-    named = rows.where(F.col("line").startswith("## ")).withColumn("name", pystrip(F.expr("substring(line, 4)"))).where("name <> ''")
+    """Section names by lower-case form: frequency, commonest spelling (ties: first seen), share, up to five spellings as first seen; and the ten
+    commonest citation formats (ties: first seen) with their shares of all citations."""
+    named = rows.where(F.col("line").startswith("## ")).withColumn("name", pystrip(F.expr("substring(line, 4)")))
     counts = named.groupBy(F.lower("name").alias("key"), "name").agg(F.count("*").alias("n"), F.min(F.struct("file", "line_no")).alias("seen"))
-    names = counts.groupBy("key").agg(F.max_by("name", F.struct("n", "name")).alias("value"), F.sum("n").alias("frequency"), F.slice(F.sort_array(F.collect_set("name")), 1, 5).alias("examples"))
-    cited = rows.select(F.explode(F.regexp_extract_all("line", F.lit(CITATION), 0)).alias("key"))
-    formats = cited.groupBy("key").agg(F.count("*").alias("frequency")).select("key", F.col("key").alias("value"), "frequency", F.array("key").alias("examples"))
+    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("seen", "name"))), 1, 5), lambda x: x["name"])  # spellings of one name
+    most = F.max("n")
+    names = counts.withColumn("top", most.over(Window.partitionBy("key"))).groupBy("key").agg(F.min(F.when(F.col("n") == F.col("top"), F.struct("seen", "name")))["name"].alias("value"), F.sum("n").alias("frequency"), first.alias("examples"))
+    cited = rows.select("file", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(CITATION), 0)).alias("pos", "key"))
+    formats = cited.groupBy("key").agg(F.count("*").alias("frequency"), F.min(F.struct("file", "line_no", "pos")).alias("seen"))
+    formats = formats.select("key", F.col("key").alias("value"), "frequency", F.array("key").alias("examples"), "seen")
 
     def shared(df: DataFrame, kind: str) -> DataFrame:
         out = df.join(F.broadcast(df.agg(F.sum("frequency").alias("all"))), how="cross")  # one row
-        return out.select(F.lit(kind).alias("pattern_type"), "key", "value", "frequency", "examples", (F.col("frequency") / F.col("all")).alias("confidence"))
+        return out.withColumn("pattern_type", F.lit(kind)).withColumn("confidence", F.col("frequency") / F.col("all"))
 
-    return shared(names, "section_name").unionByName(shared(formats, "citation_format").orderBy(F.desc("frequency"), "key").limit(10))
+    order = ["pattern_type", "key", "value", "frequency", "examples", "confidence"]
+    top = shared(formats, "citation_format").orderBy(F.desc("frequency"), "seen").limit(10)
+    return shared(names, "section_name").select(*order).unionByName(top.select(*order))
 
 
 def fix(rows: DataFrame, issues: DataFrame) -> DataFrame:
-    """Lines with the first suggestion whose context still matches applied."""
-    first = issues.where("suggestion is not null").groupBy("file", "line_no").agg(F.min_by(F.struct("context", "suggestion"), "rule_no").alias("s"))
-    same = pystrip("line") == pystrip(F.col("s.context"))
-    return rows.join(first, ["file", "line_no"], "left").select("file", "line_no", F.when(same, F.col("s.suggestion")).otherwise(F.col("line")).alias("line"), F.coalesce(same, F.lit(False)).alias("fixed"))
+    """Lines with the first suggestion whose context matches them applied; later suggestions for a changed line no longer match."""
+    wanted = issues.where("suggestion is not null and suggestion <> ''").select("file", "line_no", "rule_no", "context", "suggestion")
+    fits = rows.join(wanted, ["file", "line_no"]).where(pystrip("line") == pystrip("context"))
+    first = fits.groupBy("file", "line_no").agg(F.min_by("suggestion", "rule_no").alias("new"))
+    return rows.join(first, ["file", "line_no"], "left").select("file", "line_no", F.coalesce("new", "line").alias("line"), F.col("new").isNotNull().alias("fixed"))
+
+
+def fix_counts(rows: DataFrame, issues: DataFrame) -> DataFrame:
+    """total, applied, skipped, failed of a run that says yes to every issue with a suggestion.
+
+    A suggestion is applied if the line, as the ones before it left it, still is its context.
+    """
+    wanted = issues.where("suggestion is not null and suggestion <> ''")
+    both = wanted.join(rows, ["file", "line_no"], "left").groupBy("file", "line_no").agg(F.sort_array(F.collect_list(F.struct("rule_no", "context", "suggestion"))).alias("l"), F.first("line").alias("line"))
+    step = lambda s, x: F.struct(F.when(pystrip(s["line"]) == pystrip(x["context"]), x["suggestion"]).otherwise(s["line"]).alias("line"), (s["n"] + F.coalesce((pystrip(s["line"]) == pystrip(x["context"])).cast("int"), F.lit(0))).alias("n"))
+    done = F.aggregate("l", F.struct(F.col("line").alias("line"), F.lit(0).alias("n")), step)["n"]  # a line has a few issues
+    out = both.select(F.size("l").alias("total"), done.alias("applied")).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("applied"), F.lit(0)).alias("applied"))
+    return out.select("total", "applied", F.lit(0).cast("long").alias("skipped"), (F.col("total") - F.col("applied")).alias("failed"))

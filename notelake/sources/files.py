@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +56,78 @@ def export(df: DataFrame, path: str, kind: str) -> None:
 
 
 def issue_report(issues: DataFrame) -> DataFrame:
-    """(file, issues as JSON): one row a file with issues."""
-    row = F.struct("line_no", "rule_no", "severity", "rule_id", "context", "suggestion")
-    return issues.groupBy("file").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("issues"))
+    """(file, issues as JSON): one row a file with issues, in the fields of the JSON report."""
+    row = F.struct(F.col("line_no").alias("line"), "rule_no", "severity", "rule_id", "message", "context", "suggestion")
+    kept = F.transform(F.sort_array(F.collect_list(row)), lambda x: F.struct(*[x[n].alias(n) for n in ("line", "severity", "rule_id", "message", "context", "suggestion")]))
+    return issues.groupBy("file").agg(F.to_json(kept, {"ignoreNullFields": "false"}).alias("issues"))
+
+
+def write_report(issues: DataFrame, path: str) -> None:
+    """The JSON report as one document, files in order."""
+    body = [f'{{"file": {json.dumps(r["file"], ensure_ascii=False)}, "issues": {r["issues"]}}}' for r in issue_report(issues).orderBy("file").toLocalIterator()]
+    put(issues.sparkSession, path, '{"files": [' + ", ".join(body) + "]}")
+
+
+def console_report(issues: DataFrame, show_info: bool = True) -> DataFrame:
+    """(file, line_no, rule_no, text) of the issues to show."""
+    sign = F.when(F.col("severity") == "error", "x").when(F.col("severity") == "warning", "!").otherwise("i")
+    text = F.concat(F.lit("  "), sign, F.lit(" Line "), F.col("line_no").cast("string"), F.lit(": "), "message", F.lit("\n      "), "context", F.when(F.col("suggestion") != "", F.concat(F.lit("\n      Suggestion: "), "suggestion")).otherwise(""))
+    shown = issues if show_info else issues.where("severity <> 'info'")
+    return shown.select("file", "line_no", "rule_no", text.alias("text"))
+
+
+def totals(issues: DataFrame) -> DataFrame:
+    """errors, warnings, infos (hidden ones too) and the exit code, 1 with any error."""
+    n = lambda s: F.count_if(F.col("severity") == s)
+    return issues.agg(n("error").alias("errors"), n("warning").alias("warnings"), n("info").alias("infos"), F.when(n("error") > 0, 1).otherwise(0).alias("exit_code"))
+
+
+def report_source(spark: SparkSession, path: str, notes_dir: str = "") -> DataFrame:
+    """Issues with a suggestion from a JSON report; relative files are below notes_dir."""
+    issue = "struct<line:long,severity:string,rule_id:string,message:string,context:string,suggestion:string>"
+    rows = spark.read.schema(f"files array<struct<file:string,issues:array<{issue}>>>").option("multiLine", True).json(path).select(F.inline("files"))
+    rows = rows.select("file", F.posexplode("issues").alias("rule_no", "i")).where("i.suggestion <> ''")
+    full = F.when(F.col("file").startswith("/") | F.lit(not notes_dir), F.col("file")).otherwise(F.concat(F.lit(notes_dir.rstrip("/") + "/"), "file"))
+    return rows.select(full.alias("file"), F.col("i.line").alias("line_no"), "i.severity", "i.rule_id", "i.message", "i.context", "i.suggestion", "rule_no")
+
+
+def write_patterns(patterns: DataFrame, path: str) -> None:
+    """Learned patterns as one document, type by type, commonest first."""
+    out: dict[str, list] = {}
+    for r in patterns.orderBy("pattern_type", F.desc("frequency"), "key").toLocalIterator():
+        out.setdefault(r["pattern_type"], []).append({"value": r["value"], "frequency": r["frequency"], "confidence": r["confidence"], "examples": r["examples"]})
+    put(patterns.sparkSession, path, json.dumps(out, indent=2, ensure_ascii=False))
+
+
+def read_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """(pattern_type, key, value, frequency, examples, confidence) of a document of patterns."""
+    one = "array<struct<value:string,frequency:long,confidence:double,examples:array<string>>>"
+    body = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{one}>")).alias("pattern_type", "p"))
+    return body.select("pattern_type", F.inline("p")).select("pattern_type", F.when(F.col("pattern_type") == "section_name", F.lower("value")).otherwise(F.col("value")).alias("key"), "value", "frequency", "examples", "confidence")
+
+
+def write_book_index(items: DataFrame, path: str, notes_dir: str, at: str) -> None:
+    """The book-centric document: books by date read, undated ones last. items: title, names, date_read, source_file, section, place, item_no, content."""
+    book = ["title", "author_first_name", "author_last_name", "date_read", "source_file"]
+    sections = items.groupBy(*book, "section").agg(F.min("place").alias("place"), F.transform(F.sort_array(F.collect_list(F.struct("item_no", "content"))), lambda x: x["content"]).alias("texts"))
+    books = sections.groupBy(*book).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("place", "section", "texts"))), lambda x: F.struct(x["section"], x["texts"]))).alias("sections"))
+    rows = books.orderBy(F.col("date_read").asc_nulls_last(), "source_file", "title").select(F.to_json(F.struct(*book, "sections"), {"ignoreNullFields": "false"}).alias("j"))
+    body = [r["j"] for r in rows.toLocalIterator()]
+    put(items.sparkSession, path, f'{{"generated_at": {json.dumps(at)}, "notes_directory": {json.dumps(notes_dir)}, "total_books": {len(body)}, "books": [{", ".join(body)}]}}')
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
-def report_source(spark: SparkSession, path: str) -> DataFrame:
-    """Issues with a suggestion from a report written as JSON."""
-    rows = spark.read.json(path)
-    schema = "array<struct<line_no:long,rule_no:int,severity:string,rule_id:string,context:string,suggestion:string>>"
-    return rows.select("file", F.inline(F.from_json("issues", schema))).where("suggestion is not null")
+def move_part(spark: SparkSession, folder: str, to: str) -> None:
+    """The single part file that Spark wrote into folder becomes the file `to`; the folder goes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+    fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(to))
+    fs.delete(at, True)

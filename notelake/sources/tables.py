@@ -6,46 +6,78 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import put
+
 
 class Snapshots:
-    """A table as <root>/v=<n>/ and <root>/current/: a commit writes the new version, then swaps the pointer.
+    """A table as <root>/v=<n>/ and <root>/_pointers/<n>: a commit writes the new version, then one small file that names it.
 
-    The pointer is a one-row JSON dataset, so that any file system that Spark reaches will do. A run that dies before the
-    swap leaves the old version current; a batch id that was committed is not applied again.
+    The highest pointer that reads as a whole document holds. Nothing that it names is ever deleted or overwritten, so a run
+    that dies at any point leaves the old version current; a batch id that was committed is not applied again. Pointers are
+    written by Hadoop's file systems, so any store that Spark reaches will do. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _pointers(self) -> list[int]:
+        """Numbers of all pointers, written whole or not, largest first."""
+        fs, at = self._fs(), self._path("_pointers")
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
 
     def state(self) -> dict:
-        if not self._fs().exists(self._path("current")):
-            return {"version": 0, "batch": -1}
-        return json.loads(self.spark.read.text(f"{self.root}/current").first()[0])
+        for n in self._pointers():
+            try:
+                held = json.loads(self.spark.read.text(f"{self.root}/_pointers/{n:012d}", wholetext=True).first()[0])
+                return {"version": n, "batch": held["batch"], "info": held["info"]}
+            except (ValueError, TypeError, KeyError):  # a writer died over it
+                continue
+        return {"version": 0, "batch": -1, "info": {}}
 
-    def read(self) -> DataFrame | None:
-        version = self.state()["version"]
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The current version, or a given one; none before the first commit."""
+        version = self.state()["version"] if version is None else version
         return self.spark.read.parquet(f"{self.root}/v={version}") if version else None
 
-    def commit(self, df: DataFrame, batch: int = -1) -> int:
+    def commit(self, df: DataFrame, batch: int = -1, info: dict | None = None) -> int:
+        """The new version; info (the last one's, if not given) is kept beside it."""
         now = self.state()
         if batch >= 0 and batch <= now["batch"]:
             return now["version"]
-        version = now["version"] + 1
+        version = max([0, *self._pointers()]) + 1
         df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        state = json.dumps({"version": version, "batch": max(batch, now["batch"])})
-        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/next")
-        fs = self._fs()
-        fs.delete(self._path("current"), True)
-        fs.rename(self._path("next"), self._path("current"))
+        put(self.spark, f"{self.root}/_pointers/{version:012d}", json.dumps({"batch": max(batch, now["batch"]), "info": now["info"] if info is None else info}))
         return version
 
+    def drop(self) -> None:
+        self._fs().delete(self._path(""), True)
+
+
+def catalog(spark: SparkSession, root: str) -> DataFrame:
+    """(table, column, type, nullable) of the snapshot tables below a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+    rows = [(n, f.name, f.dataType.simpleString(), f.nullable) for n in names if (t := Snapshots(spark, f"{root}/{n}").read()) is not None for f in t.schema]
+    return spark.createDataFrame(rows, "table string, column string, type string, nullable boolean")
+
+
+def migration_name(stem: str) -> tuple[int, str] | None:
+    """(version, name) of ``001_some_name``; None for any other."""
+    number, _, name = stem.partition("_")
+    return (int(number), name) if name and number.isdecimal() else None
+
+
+def migration_stem(version: int, name: str) -> str:
+    return f"{version:03d}_{name.lower().replace(' ', '_').replace('-', '_')}"
+
 
 def migrate(spark: SparkSession, table: Snapshots, migrations: dict[int, tuple[str, object]]) -> list[int]:
     """Run migrations above the highest recorded version in order; one that fails is not recorded and stops the rest."""

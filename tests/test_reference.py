@@ -86,7 +86,7 @@ def test_rules_and_fix(spark):
     assert found[2, "SECTION_002"] == "## notes"
     assert found[3, "CITATION_001"] == "- a (p. 3) (p. 3)"
     assert found[4, "LIST_001"] == "- b" and found[5, "LIST_002"] == "- c"
-    assert found[6, "HEADER_002"] == "# d" and (7, "HEADER_001") in found and (8, "HEADER_003") in found and (9, "CONTENT_001") in found
+    assert found[6, "HEADER_002"] == "# d" and (7, "HEADER_001") in found and found[8, "HEADER_003"] is None and (8, "CONTENT_001") in found and (9, "CONTENT_001") in found
     fixed = {r["line_no"]: r["line"] for r in quality_rules.fix(rows, issues).collect()}
     assert fixed[4] == "- b" and fixed[1] == "# Book"
 
@@ -136,19 +136,6 @@ def test_numbers_all_new_books(spark):
     assert sorted((r["book_id"], r["next"]) for r in got.collect()) == sorted(db.execute(catalog.ORACLES["WIN-02-ALL"]).fetchall())
 
 
-def test_fixes_by_all_rules(spark):
-    rows = catalog._rows(catalog.view(spark, SF, "texts"))
-    first, lines = {}, {(r["file"], r["line_no"]): r["line"] for r in rows.collect()}
-    for r in quality_rules.validate(rows).where("suggestion is not null").orderBy("file", "line_no", "rule_no").collect():
-        first.setdefault((r["file"], r["line_no"]), []).append((r["rule_no"], r["suggestion"]))
-    got = {(r["file"], r["line_no"]): (r["line"], r["fixed"]) for r in catalog.QUERIES["VAL-FIX-ALL"](spark, SF).collect()}
-    assert set(got) == set(lines)
-    for k, line in lines.items():
-        may = {s for n, s in first[k] if n == first[k][0][0]} if k in first else {line}
-        assert got[k][0] in may and got[k][1] == (k in first)
-    assert len({s[0][0] for s in first.values()}) > 1
-
-
 def test_enrichment(spark):
     book = '{"key":"/works/OL1W","isbn":["123","9781234567890"],"first_publish_year":1950,"edition":{"languages":[{"key":"/languages/eng"}],"publishers":["P"],"number_of_pages":0},"number_of_pages_median":90,"description":{"value":"d"},"subject":["b","a"," "],"subjects":["a"]}'
     r = enrich.library_book(spark.createDataFrame([(book,)], "body string")).first()
@@ -207,7 +194,7 @@ def test_plans(spark):
     assert "PushedFilters: [IsNotNull(s_suppkey), EqualTo(s_suppkey,7)]" in plan("FLT-01")
 
 
-@pytest.mark.parametrize("name", ["CDC-06", "CDC-03", "VEC-04", "JOI-05", "JOI-14", "WIN-01", "AGG-08", "VAL-C2", "GRA-05"])
+@pytest.mark.parametrize("name", ["CDC-06", "CDC-03", "VEC-04", "JOI-05", "JOI-14", "WIN-01", "AGG-08", "VAL-C2", "GRA-05", "PAR-07", "VAL-P1", "VAL-P2", "DML-07", "VEC-09", "ENR-07"])
 def test_oracle(spark, name):
     db = duckdb.connect()
     for f in os.listdir(SF):
