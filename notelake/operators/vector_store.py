@@ -58,7 +58,7 @@ def embedded(text: Column, model: Embedder) -> Column:
 def _notes(items: DataFrame, model: Embedder) -> DataFrame:
     """Rows of the store; blank contents and texts without a vector are left out."""
     rows = items.where(F.length(T.pystrip("content")) > 0).withColumn("text", F.col("content"))
-    rows = rows.withColumn("vector", V.unit(embedded(F.col("text"), model))).where("vector is not null")
+    rows = rows.withColumn("raw", embedded(F.col("text"), model)).withColumn("vector", V.unit("raw")).where("vector is not null")
     return rows.select("place", *NOTE, T.display_name("author_first_name", "author_last_name").alias("author"), "vector")
 
 
