@@ -7,7 +7,8 @@ neighbours, relaxed distance pruning (alpha) keeps diverse ones, and back edges
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows without id, take no
 part; rows that repeat id and vector count once; a query's own id is never a hit, copies of it under other ids are;
-vectors of another length are out of reach; empty table - empty result.
+vectors of another length are out of reach; equal distances go to the smaller id; extra columns do not matter; empty table -
+empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, columns, cut
+from .common import columns, cut
 
 SHARD = 200_000  # classes of a shard at most, or about so
 LEAST = 8  # shards, if there are 2,048 classes for each

@@ -14,7 +14,8 @@ few tokens, as thresholds like 0.8 make them, chain documents with a common pass
 Equal sets form one class and only class representatives are compared.
 
 Defined results: null or blank text - no shingles, linked with nothing; null doc_id - counted but not linked, null
-component; rows that repeat a doc_id are one document to the links; empty table - empty result.
+component; rows that repeat a doc_id are one document to the links; texts of any length are read whole; sets of equal size
+and similarity need no order; extra columns do not matter; empty table - empty result.
 """
 
 from __future__ import annotations

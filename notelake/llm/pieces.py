@@ -10,7 +10,7 @@ A model of merge ranks has no probabilities; a piece of rank r weighs 1 / (r + 2
 Characters without a piece, and marks in the text itself, are spelled in byte pieces; so decoding gives every text back.
 
 Defined results: null text - null pieces, decoded null; empty text - no pieces; null key - key 0; equal keys and texts -
-the same segmentation; empty table - empty result.
+the same segmentation; texts of any length are encoded whole; extra columns do not matter; empty table - empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ to length 1. FTRL-proximal runs over a bounded sample of labelled texts in one t
 few weights, which are broadcast. Scoring is a sparse dot product of every whole text.
 
 Defined results: null or empty text - score of the bias alone; null doc_id - fold of the empty text; no usable labels -
-every score 0.5; repeated rows score alike; empty table - empty result.
+every score 0.5; texts of any length are read whole; repeated rows score alike; a score at the cutoff is good; extra columns
+do not matter; empty table - empty result.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ prefix (what is beyond goes to step 3 at once), and settles its other copies its
 documents is a few rows a task.
 
 Defined results: null or blank text - no words, nothing removed; null doc_id - before every other id; rows that repeat
-both id and text are one document (they lose the same words); equal ids with other texts are ordered by a text hash;
-empty table - empty result.
+both id and text are one document (they lose the same words); equal ids with other texts are ordered by a text hash; texts of
+any length are read whole; extra columns do not matter; empty table - empty result.
 """
 
 from __future__ import annotations
