@@ -14,6 +14,7 @@ from notelake.llm.common import WORD, columns, cut, restored
 
 #: No SQL: the first stage trains a model.
 ORACLE_SQL = None
+BUCKETS = 4096
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +23,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words a shingle, similarity 0.8) the row with the smallest (id, text hash) stays, once.
+    """Of each group of near copies (five words a shingle, similarity 0.8) the row with the smallest id stays, once.
 
     Rows that share an id and differ in text are judged by their own texts. Rows without id or without words are in no group: all stay.
     """
-    groups = ngram_join.jaccard_groups(docs, n=5, percent=80).where("n_shingles > 0 and doc_id is not null")
-    heads = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
-    heads = heads.select(F.col("head.doc_id").alias("id"), F.col("head.text_hash").alias("th"), F.lit(True).alias("first")).distinct()
     rows = columns(docs, "doc_id", "text", carry=True).withColumns({"id": F.col("doc_id").cast("long"), "th": F.xxhash64("text")})
-    alone = F.col("id").isNull() | F.col("text").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    rows = rows.withColumn("alone", alone).drop("doc_id", "text")
-    first = rows.where("not alone").join(heads, ["id", "th"]).withColumn("nth", F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64("rest")))).where("nth = 1")
+    alone = F.col("id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    rows = rows.withColumn("alone", alone).drop("doc_id")
+    texts = rows.where("not alone").select("id", "th", "text")
+    own = texts.select("id", "th").distinct()
+    if own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        named, names = texts.select(F.col("id").alias("doc_id"), "text"), own.withColumn("doc_id", F.col("id"))
+    else:  # ids that different texts share: texts are numbered, in buckets, and go by their numbers
+        bucket = own.withColumn("bucket", F.pmod(F.xxhash64("id", "th"), F.lit(BUCKETS)))
+        starts = bucket.groupBy("bucket").agg(F.count("*").alias("n"))
+        starts = starts.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+        nth = F.row_number().over(Window.partitionBy("bucket").orderBy("id", "th"))
+        names = cut(bucket.withColumn("nth", nth).join(F.broadcast(starts), "bucket").select("id", "th", (F.col("start") + F.col("nth")).alias("doc_id")))  # a row a bucket
+        named = texts.join(names, ["id", "th"]).select("doc_id", "text")
+    groups = ngram_join.jaccard_groups(named, n=5, percent=80)
+    heads = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").join(names, "doc_id").select("id", "th")
+    once = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64("rest")))
+    first = rows.where("not alone").join(heads, ["id", "th"]).withColumn("nth", once).where("nth = 1")
     return restored(rows.where("alone").select("rest").unionByName(first.select("rest")), docs)
 
 
