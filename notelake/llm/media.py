@@ -33,6 +33,8 @@ VOTES = 5
 BLOCK = 32768
 TABLES = 16
 KEY = 48  # bits of a table's key
+SEEN = 20  # bits of a slot of the tables that tell which keys the queries have
+ASKED = 131_072  # corners of a block of queries
 MEET = 1_000_000  # pairs of corners that are looked at together
 PAIRS = 20_000  # and pairs of images that are voted on together
 SLACK = 3.0
@@ -122,10 +124,10 @@ def _blocks(images: DataFrame) -> DataFrame:
 
 def _keys(corners: np.ndarray) -> np.ndarray:
     """TABLES rows of keys."""
-    bits = np.unpackbits(corners["bits"], axis=1)
+    bits = np.ascontiguousarray(np.unpackbits(corners["bits"], axis=1).T)
     packed = np.zeros((TABLES, len(corners), 8), np.uint8)
     for table, at in zip(packed, KEYS, strict=True):
-        table[:, : KEY // 8] = np.packbits(bits[:, at], axis=1)
+        table[:, : KEY // 8] = np.packbits(bits[at], axis=0).T
     return packed.view(np.uint64)[:, :, 0]
 
 
@@ -136,7 +138,7 @@ def _merged(blocks: DataFrame) -> DataFrame:
         have, size = [], 0
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                if have and size + len(x) > BLOCK * CORNER.itemsize:
+                if have and size + len(x) > ASKED * CORNER.itemsize:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(have)], pa.binary())], names=["corners"])
                     have, size = [], 0
                 have.append(x)
@@ -147,6 +149,10 @@ def _merged(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "corners binary")
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SEEN)).astype(np.int64)
+
+
 class Tables:
     """The corners of a block of queries, by key."""
 
@@ -155,11 +161,18 @@ class Tables:
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, 1)
         self.words = np.ascontiguousarray(corners["bits"]).view(np.uint64)
+        self.seen = np.zeros((TABLES, 2**SEEN), bool)
+        for seen, own in zip(self.seen, keys, strict=True):
+            seen[_slots(own)] = True
 
     def matches(self, other: np.ndarray):
         """(i of other, j of own) of the corners that match, for parts of other that hold its images whole."""
         keys, words = _keys(other), np.ascontiguousarray(other["bits"]).view(np.uint64)
-        low, high = (np.stack([np.searchsorted(own, key, side) for own, key in zip(self.keys, keys, strict=True)]) for side in ("left", "right"))
+        low, high = np.zeros((2, TABLES, len(other)), np.int64)
+        for table, key in enumerate(keys):
+            # most keys are none of the queries', which a table of bits tells faster than a search
+            some = np.flatnonzero(self.seen[table][_slots(key)])
+            low[table, some], high[table, some] = (np.searchsorted(self.keys[table], key[some], side) for side in ("left", "right"))
         image = np.flatnonzero(np.concatenate(([True], other["id"][1:] != other["id"][:-1], [True]))) if len(other) else np.zeros(1, np.int64)
         met = np.concatenate(([0], np.cumsum((high - low).sum(axis=0))))[image]
         cuts = np.unique(np.concatenate(([0, len(image) - 1], np.searchsorted(met, np.arange(MEET, met[-1], MEET)))))
@@ -275,7 +288,7 @@ def copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     heads = named.groupBy("key").agg(F.min("id").alias("id"))
     first = rows.withColumn("key", F.xxhash64("width", "grey")).join(heads, ["id", "key"]).select(F.col("key").alias("id"), "width", "grey")
     left = cut(_blocks(sound(queries)))
-    parts = (left.agg(F.sum(F.octet_length("corners"))).first()[0] or 0) // (BLOCK * CORNER.itemsize) + 1
+    parts = (left.agg(F.sum(F.octet_length("corners"))).first()[0] or 0) // (ASKED * CORNER.itemsize) + 1
     left = _merged(left.coalesce(parts)).withColumnRenamed("corners", "asked")
     # the stated queries, in blocks, against the blocks of all images
     met = _met(left.crossJoin(cut(_blocks(first))))
