@@ -32,7 +32,7 @@ from .counting import bucket_counts
 BITS = 20
 BLOCK = 512  # documents of a family that meet in one task, and half of the largest task
 BUCKETS = 256  # of a histogram
-PACK = 20_000  # rows of small groups that are compared in one task
+PACK = 2_048  # rows of small groups that are compared in one task: as many as a pair of blocks has
 BUFFER = 4_000_000  # parts that a task holds before it forwards them
 ORDERS = (np.uint64(0x1B873593A5A5A5A5), np.uint64(0x85EBCA6B9E3779B1), np.uint64(0xC2B2AE3D27D4EB4F))
 
