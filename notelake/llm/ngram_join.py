@@ -33,7 +33,7 @@ BITS = 20
 BLOCK = 512  # documents of a family that meet in one task, and half of the largest task
 BUCKETS = 256  # of a histogram
 PACK = 2_048  # rows of small groups that are compared in one task: as many as a pair of blocks has
-BUFFER = 4_000_000  # parts that a task holds before it forwards them
+RECENT = 200_000  # sets that a task remembers, so as not to deal their copies again
 ORDERS = (np.uint64(0x1B873593A5A5A5A5), np.uint64(0x85EBCA6B9E3779B1), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -199,28 +199,20 @@ def _links(texts: DataFrame, classes: DataFrame, rare, n: int, percent: int) ->
     ends = intervals(percent)
 
     def deal(batches):
-        """(key, h1) of the parts of every set, each once a task."""
-
-        def forward(held):
-            if held:
-                key, h = (np.concatenate(x) for x in zip(*held, strict=True))
-                by = np.lexsort((h, key))
-                key, h = key[by], h[by]
-                first = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(h[first])], names=["key", "h1"])
-
-        held, size = [], 0
+        """(key, h1) of the parts of the sets, a batch for a batch of texts. Sets seen lately are skipped: distinct() sees to the rest."""
+        seen = set()
         for batch in batches:
+            keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for doc, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
                 s = shingles(text, n) if doc is not None else ()
-                if len(s):
-                    key = parts(s, ends, percent)
-                    held.append((key, np.full(len(key), fingerprint(s), np.int64)))
-                    size += len(key)
-            if size > BUFFER:
-                yield from forward(held)
-                held, size = [], 0
-        yield from forward(held)
+                h = fingerprint(s) if len(s) else 0
+                if len(s) and h not in seen:
+                    seen.add(h)
+                    keys.append(parts(s, ends, percent))
+                    owners.append(np.full(len(keys[-1]), h, np.int64))
+            if len(seen) > RECENT:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "h1"])
 
     of_key = Window.partitionBy("key")
     dealt = texts.mapInArrow(deal, "key long, h1 long")
