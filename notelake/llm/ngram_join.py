@@ -20,6 +20,8 @@ and similarity need no order; extra columns do not matter; empty table - empty r
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -139,8 +141,8 @@ def verify(sets: list[np.ndarray], blocks: np.ndarray, rarity: np.ndarray, perce
             yield int(i), int(j)
 
 
-def _forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """As few of the pairs as connect what all of them connect."""
+def _forest(pairs: Iterable[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """As few of the pairs as connect what all of them connect; pairs are read once and not held."""
     up = list(range(n))
 
     def top(x: int) -> int:
@@ -234,13 +236,16 @@ def _links(texts: DataFrame, classes: DataFrame, rare, n: int, percent: int) ->
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
         by = np.lexsort((ids, key))
         edges = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1], [True])))
-        found = set()
-        for start, end in zip(edges[:-1], edges[1:], strict=True):
-            own = by[start:end]
-            for i, js in near(counts[own], sizes[own], percent):
-                found.update((int(ids[own[i]]), int(ids[own[j]])) for j in js)
-        names, ends_ = np.unique(np.array(sorted(found), np.int64).reshape(-1, 2), return_inverse=True)
-        tree = _forest([tuple(x) for x in ends_.reshape(-1, 2).tolist()], len(names))
+        names, place = np.unique(ids, return_inverse=True)
+
+        def pairs():
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                own = by[start:end]
+                for i, js in near(counts[own], sizes[own], percent):
+                    at = int(place[own[i]])
+                    yield from ((at, j) for j in place[own[js]].tolist())
+
+        tree = _forest(pairs(), len(names))
         return pa.table({"doc_id": pa.array([int(names[i]) for i, _ in tree], pa.int64()), "head": pa.array([int(names[j]) for _, j in tree], pa.int64())})
 
     held_keys = met.select(F.explode("tasks").alias("task"), "key", "class_id", "n_shingles", "counts")
@@ -274,12 +279,16 @@ def _links(texts: DataFrame, classes: DataFrame, rare, n: int, percent: int) ->
         flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
         found = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         name = key[0].as_py().split(":")
-        pairs = list(verify(found, blocks, rare.value, percent, name[0] == "f" and name[2] != name[3]))
         degree = np.zeros(len(ids), np.int64)
-        for i, j in pairs:
-            degree[i] += weight[j]
-            degree[j] += weight[i]
-        tree, some = _forest(pairs, len(ids)), np.flatnonzero(degree)
+
+        def pairs():
+            for i, j in verify(found, blocks, rare.value, percent, name[0] == "f" and name[2] != name[3]):
+                degree[i] += weight[j]
+                degree[j] += weight[i]
+                yield i, j
+
+        tree = _forest(pairs(), len(ids))
+        some = np.flatnonzero(degree)
         a = [int(ids[i]) for i, _ in tree] + [int(x) for x in ids[some]]
         b = [int(ids[j]) for _, j in tree] + [None] * len(some)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([0] * len(tree) + [int(x) for x in degree[some]], pa.int64())})
