@@ -540,9 +540,10 @@ def _(p):
     return n.select(F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("stats"))
 
 
-@query("ANA-01", "influences", sql="SELECT count(*) AS edges, count(DISTINCT src) AS influencers, count(DISTINCT dst) AS influenced FROM influences")
-def _(e):
-    return e.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("influencers"), F.count_distinct("dst").alias("influenced"))
+@query("ANA-01", "influences", "author_ids", sql="SELECT (SELECT count(external_id) FROM author_ids ) AS identified, count(*) AS edges, count(DISTINCT src) AS influencers, count(DISTINCT dst) AS influenced FROM influences")
+def _(e, ids):
+    edges = e.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("influencers"), F.count_distinct("dst").alias("influenced"))
+    return ids.agg(F.count("external_id").alias("identified")).join(edges, how="cross")  # one row each
 
 
 @query("ANA-02", "influences", sql="SELECT dst AS author_id, count(*) AS n FROM influences GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 10")
@@ -582,10 +583,24 @@ def _(authors, am, m):
     return authors.join(am.join(one, "movement_id"), "author_id").select("name", "movement")
 
 
-@query("ANA-10", "books", "authors", "reading", sql="SELECT (SELECT count(*) FROM books ) AS books, (SELECT count(*) FROM authors ) AS authors, (SELECT count(DISTINCT book_id) FROM reading WHERE date_read IS NOT NULL) AS dated")
+@query("ANA-09-SUBJECT", "books", "book_subjects", sql="SELECT b.book_id, b.title, s.source FROM books b JOIN book_subjects s ON s.book_id = b.book_id WHERE s.subject_id = 'NF'")
+def _(books, subjects):
+    return books.join(subjects.where("subject_id = 'NF'").select("book_id", "source"), "book_id").select("book_id", "title", "source")
+
+
+@query("ANA-09-BOOKS", "books", "book_authors", "author_movements", "movements", sql="SELECT DISTINCT b.book_id, b.title, m.name AS movement FROM books b JOIN book_authors ba ON ba.book_id = b.book_id JOIN author_movements am ON am.author_id = ba.author_id JOIN movements m ON m.movement_id = am.movement_id WHERE m.name = 'ASIA'")
+def _(books, links, am, m):
+    one = am.join(m.where("name = 'ASIA'").select("movement_id", c("name").alias("movement")), "movement_id").select("author_id", "movement")
+    chosen = links.join(one, "author_id").select("book_id", "movement").distinct()  # before the titles are joined: keys alone are exchanged
+    return books.select("book_id", "title").join(chosen, "book_id")
+
+
+@query("ANA-10", "books", "authors", "reading", sql="SELECT (SELECT count(*) FROM books ) AS books, (SELECT count(*) FROM authors ) AS authors, (SELECT count(DISTINCT book_id) FROM reading WHERE date_read IS NOT NULL) AS dated, (SELECT count(DISTINCT book_id) FROM reading WHERE award <> '4-NOT SPECIFIED') AS awarded")
 def _(books, authors, reading):
-    n = lambda df, k, e: df.agg(e.alias(k))
-    return n(books, "books", F.count("*")).join(n(authors, "authors", F.count("*")), how="cross").join(n(reading.where("date_read is not null"), "dated", F.count_distinct("book_id")), how="cross")  # one row each
+    n = lambda df, k: df.agg(F.count("*").alias(k))
+    has = lambda f, k: F.count_distinct(F.when(F.expr(f), c("book_id"))).alias(k)
+    read = reading.agg(has("date_read is not null", "dated"), has("award <> '4-NOT SPECIFIED'", "awarded"))
+    return n(books, "books").join(n(authors, "authors"), how="cross").join(read, how="cross")  # one row each
 
 
 @query("ANA-11", "reading", sql="SELECT year(date_read) AS y, quarter(date_read) AS q, month(date_read) AS m, count(*) AS n FROM reading GROUP BY 1, 2, 3")
@@ -593,6 +608,16 @@ def _(reading):
     return reading.groupBy(F.year("date_read").alias("y"), F.quarter("date_read").alias("q"), F.month("date_read").alias("m")).agg(F.count("*").alias("n"))
 
 
+@query("ANA-11-SPEED", "reading", sql="""WITH s AS (SELECT count(date_read) AS n, min(date_read) AS first, max(date_read) AS last FROM reading )
+SELECT first, last, last - first AS span_days, n / (year(last) - year(first) + 1) AS a_year, n / (12 * (year(last) - year(first)) + month(last) - month(first) + 1) AS a_month FROM s""")
+def _(reading):
+    """Reading velocity over the calendar years and months that the dates span; nulls where nothing is dated."""
+    s = reading.agg(F.count("date_read").alias("n"), F.min("date_read").alias("first"), F.max("date_read").alias("last"))
+    years = F.year("last") - F.year("first")
+    months = 12 * years + F.month("last") - F.month("first") + 1
+    return s.select("first", "last", F.datediff("last", "first").cast("long").alias("span_days"), (c("n") / (years + 1)).alias("a_year"), (c("n") / months).alias("a_month"))
+
+
 @query("ANA-12", "authors", sql="SELECT nation, count(*) AS n, avg(death_year - birth_year) AS mean_age, min(death_year - birth_year) AS low, max(death_year - birth_year) AS high FROM authors GROUP BY nation")
 def _(authors):
     age = c("death_year") - c("birth_year")

@@ -9,6 +9,8 @@ VIEWS = {
     "log": "SELECT user_id AS item_id, ts, event_id AS pos, value, CASE event_type WHEN 'signup' THEN 'add' WHEN 'view' THEN 'add' WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'update' ELSE 'delete' END AS operation, CAST(ts AS DATE) AS day FROM {events}",
     "books": "SELECT p_partkey AS book_id, p_name AS title, p_brand AS publisher, p_type AS kind, 1700 + CAST(floor(p_retailprice) AS BIGINT) % 320 AS publication_year, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size * 10 END AS page_count FROM {part}",
     "authors": "SELECT s_suppkey AS author_id, s_name AS name, s_nationkey AS nation, 1800 + CAST(floor(abs(s_acctbal)) AS BIGINT) % 150 AS birth_year, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 1800 + CAST(floor(abs(s_acctbal)) AS BIGINT) % 150 + 20 + s_suppkey % 70 END AS death_year FROM {supplier}",
+    # external ids, null for authors that no source has matched yet
+    "author_ids": "SELECT s_suppkey AS author_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'Q' || CAST(s_suppkey AS VARCHAR(20)) END AS external_id FROM {supplier}",
     "book_authors": "SELECT DISTINCT l_partkey AS book_id, l_suppkey AS author_id FROM {lineitem}",
     "book_subjects": "SELECT DISTINCT l_partkey AS book_id, l_returnflag || l_linestatus AS subject_id, l_returnflag AS source FROM {lineitem}",
     "movements": "SELECT r_regionkey AS movement_id, r_name AS name FROM {region}",
