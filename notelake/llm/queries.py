@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, media, mixing, ngram_join, pieces, quality, sharding, substring, toxicity, url_filter
+from . import ann, collocations, media, mixing, ngram_join, pieces, pii, quality, resampling, sharding, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, depth=4, scale=2000000, percent=80, top=2000)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(_table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), lo=1, hi=1, buckets=10000, least=20, percent=10, seed=2024)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -69,5 +81,8 @@ QUERIES = {
     "op8_media_copies": op8_media_copies,
     "op9_pieces": op9_pieces,
     "op10_nearest": op10_nearest,
+    "op11_collocations": op11_collocations,
+    "op12_pii": op12_pii,
+    "op13_resampling": op13_resampling,
 }
-ORACLES = {"op1_sharding": sharding.oracle(40), "op2_ngram_jaccard": ngram_join.ORACLE, "op3_mixing": mixing.ORACLE, "op4_substring_dedup": substring.ORACLE, "op10_nearest": ann.ORACLE}
+ORACLES = {"op1_sharding": sharding.oracle(40), "op2_ngram_jaccard": ngram_join.ORACLE, "op3_mixing": mixing.ORACLE, "op4_substring_dedup": substring.ORACLE, "op10_nearest": ann.ORACLE, "op11_collocations": collocations.ORACLE, "op13_resampling": resampling.ORACLE}
