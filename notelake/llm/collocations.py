@@ -5,10 +5,11 @@ in arrays, each with its number of end positions and the link to the substring t
 joins and that end at equal positions are one state, named by its longest member; states are enumerated, each giving its count
 to its members. Counts are reduced over all shards by the phrase itself.
 
-What cannot be frequent is left out before it is shuffled, and nothing else: a phrase has no more occurrences than its words, and
-than its pairs of words. Words are counted first, then pairs of frequent words by hash (equal hashes only add), and the last pass
-builds automata of the runs whose pairs are all frequent. What is frequent comes back as a bitmap of 2**BITS bits, a fixed size
-(8 MB) whatever the corpus: bits that words share let more through to the exact counts, never less.
+What cannot be frequent is left out before it is shuffled, and nothing else: a phrase has no more occurrences than any part of it.
+Words are counted first, then by hash (equal hashes only add) the pairs of frequent words, then the triples of frequent pairs, up to
+one word less than DEPTH; the last pass builds automata of the runs whose parts are all frequent. What is frequent comes back as a
+bitmap of 2**BITS bits a length, a fixed size (8 MB) whatever the corpus: bits that parts share let more through to the exact
+counts, never less.
 
 Subsumption follows the links too: a phrase with a longer one that occurs nearly as often has, by the same measure, one that is
 just one word longer, before (its link leads to the phrase) or behind.
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import bounded, columns, cut, gram_hashes, raw
 
 BITS = 26
+NAME = 44  # bits of a hash by which runs are counted
 CHUNKS = 256
 SHARD = 2**21  # words
 SALTS = 64
+NAMED = np.uint64(2**64 - 2 ** (64 - NAME))
 BREAK = b"\n"
 #: A-Z become a-z, signs and line ends break, a tab separates.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b for b in range(256))
@@ -55,20 +58,18 @@ def named(words: list[bytes], lang: str) -> np.ndarray:
 
 
 class Automaton:
-    """Substrings of 1 to depth words of a sequence; joined[i]: whether a substring may hold words i and i + 1.
+    """Substrings of 1 to depth words of a sequence; reach[i] is the length of the longest one wanted that starts at i.
 
     By length m (list index m - 1): counts (end positions), first (place of one occurrence), links (the substring of m - 1 words
     that ends alike; none for one word), and inner: whether it shares the state of a longer substring.
     """
 
-    def __init__(self, ids: np.ndarray, joined: np.ndarray, depth: int):
-        at, below = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    def __init__(self, ids: np.ndarray, reach: np.ndarray, depth: int):
+        below = np.zeros(len(ids), np.int64)
         base = int(ids.max(initial=0)) + 1
         self.counts, self.first, self.links, self.inner = [], [], [], []
         for m in range(1, depth + 1):
-            if m > 1:
-                at = at[at + m - 1 < len(ids)]
-                at = at[joined[at + m - 2]]
+            at = np.flatnonzero(reach >= m)
             _, first, own, counts = np.unique(below[at] * base + ids[at + m - 1], return_index=True, return_inverse=True, return_counts=True)
             links = below[at[first] + 1] if m > 1 else np.zeros(len(counts), np.int64)
             if m > 1:
@@ -157,6 +158,8 @@ def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: DataFrame) -> DataFrame:
+    """(h) of each word."""
+
     def run(batches):
         for batch in batches:
             h = [xxhash.xxh3_64_intdigest(w, xxhash.xxh32_intdigest(lang)) for lang, w in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True)]
@@ -165,8 +168,19 @@ def word_hashes(words: DataFrame) -> DataFrame:
     return words.select("lang", "phrase").mapInArrow(run, "h long")
 
 
-def frequent_pairs(docs: DataFrame, words, least: int) -> DataFrame:
-    """(h) of each pair of frequent words whose hash occurs `least` times or more."""
+def _allowed(h: np.ndarray, parts: list) -> np.ndarray:
+    """Whether the run of len(parts) + 1 words at each place may be frequent: whether all its parts are; parts[i] has runs of i + 1 words."""
+    ok = _set(parts[0].value, h)
+    for m, bits in enumerate(parts, 1):
+        if m > 1:
+            at = np.flatnonzero(ok)
+            ok[at] = _set(bits.value, gram_hashes(h, m)[at] & NAMED)
+        ok = ok[:-1] & ok[1:]
+    return ok
+
+
+def frequent_runs(docs: DataFrame, parts: list, least: int) -> DataFrame:
+    """(h) of each run of len(parts) + 1 words whose hash occurs `least` times or more; parts are bitmaps of the shorter frequent runs."""
 
     def run(batches):
         held, n = [], 0
@@ -177,12 +191,10 @@ def frequent_pairs(docs: DataFrame, words, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 2**18].view(np.int64)), pa.array(counts[i : i + 2**18].astype(np.int32))], names=["h", "n"])
 
         for lang, found in _texts(batches):
-            found = list(filter(None, found))
-            h = named(found, lang)
-            known = _set(words.value, h)
-            pairs = gram_hashes(h, 2)[known[:-1] & known[1:]]
-            held.append(pairs)
-            n += len(pairs)
+            h = named(list(filter(None, found)), lang)
+            own = gram_hashes(h, len(parts) + 1)[_allowed(h, parts)] & NAMED
+            held.append(own)
+            n += len(own)
             if n > SHARD:
                 yield from out()
                 held, n = [], 0
@@ -191,42 +203,47 @@ def frequent_pairs(docs: DataFrame, words, least: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
 
 
-def phrase_counts(docs: DataFrame, words, pairs, depth: int) -> DataFrame:
-    """(lang, phrase, words, n) of phrases of 2 to depth words in runs of frequent pairs."""
+def phrase_counts(docs: DataFrame, parts: list, depth: int) -> DataFrame:
+    """(lang, phrase, words, n) of phrases of 2 to depth words whose parts may all be frequent."""
 
     def run(batches):
         held, n = defaultdict(lambda: ([], [])), 0
 
         def out():
-            for lang, (kept, joined) in held.items():
+            for lang, (kept, reach) in held.items():
                 ids: dict[bytes, int] = {}
-                own = Automaton(np.fromiter((ids.setdefault(w, len(ids)) for w in kept), np.int64, len(kept)), np.concatenate(joined), depth)
+                own = Automaton(np.fromiter((ids.setdefault(w, len(ids)) for w in kept), np.int64, len(kept)), np.concatenate(reach), depth)
                 phrase, length, count = [], [], []
                 for first, longest, shortest, times in own.states(2):
                     for m in range(shortest, longest + 1):
                         phrase.append(b" ".join(kept[first + longest - m : first + longest]))
                         length.append(m)
                         count.append(times)
-                for i in range(0, len(phrase), 2**16):
-                    part = slice(i, i + 2**16)
-                    yield _rows([lang] * len(phrase[part]), phrase[part], length[part], count[part])
+                    if len(phrase) > 2**16:
+                        yield _rows([lang] * len(phrase), phrase, length, count)
+                        phrase, length, count = [], [], []
+                yield _rows([lang] * len(phrase), phrase, length, count)
 
         for lang, found in _texts(batches):
             found = list(filter(None, found))
             h = named(found, lang)
-            known = _set(words.value, h)
-            both = np.flatnonzero(known[:-1] & known[1:])
-            both = both[_set(pairs.value, gram_hashes(h, 2)[both])]
-            if not len(both):
+            reach = np.zeros(len(found), np.int8)
+            for m in range(2, depth + 1):
+                ok = np.flatnonzero(_allowed(h, parts[: m - 1]))
+                if m < depth:
+                    ok = ok[_set(parts[m - 1].value, gram_hashes(h, m)[ok] & NAMED)]
+                reach[ok] = m
+            if not reach.any():
                 continue
-            at = np.union1d(both, both + 1)
-            together = np.zeros(len(found), bool)
-            together[both] = True
-            kept, joined = held[lang]
+            wanted = reach > 0
+            for m in range(2, depth + 1):
+                wanted[np.flatnonzero(reach >= m) + m - 1] = True
+            at = np.flatnonzero(wanted)
+            kept, own = held[lang]
             kept.extend([found[i] for i in at])
-            joined.append(together[at])
+            own.append(np.maximum(reach[at], 1))
             n += len(at)
-            if n > SHARD:
+            if n > SHARD // 2:
                 yield from out()
                 held.clear()
                 n = 0
@@ -242,9 +259,10 @@ def frequent(docs: DataFrame, least: int = 30, depth: int = 4) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast
     enough = F.col("n") >= least
     words = cut(word_counts(own).where(enough | F.col("phrase").isNull()))
-    known = send(bitmap(word_hashes(words.where("phrase is not null"))))
-    pairs = send(bitmap(frequent_pairs(own, known, least)))
-    return cut(words.unionByName(phrase_counts(own, known, pairs, depth).where(enough)))
+    parts = [send(bitmap(word_hashes(words.where("phrase is not null"))))]
+    while len(parts) < depth - 1:
+        parts.append(send(bitmap(frequent_runs(own, parts, least))))
+    return cut(words.unionByName(phrase_counts(own, parts, depth).where(enough)))
 
 
 def collocations(docs: DataFrame, least: int = 30, depth: int = 4, scale: int = 2000000, percent: int = 80, top: int = 2000) -> DataFrame:

@@ -100,8 +100,8 @@ def test_automaton_states(seed):
     r = random.Random(seed)
     sequences = [[r.randrange(r.choice((2, 5))) for _ in range(r.randrange(1, 30))] for _ in range(r.randrange(1, 8))]
     flat = [w for s in sequences for w in s]
-    joined = [i + 1 < len(s) for s in sequences for i in range(len(s))]
-    own = collocations.Automaton(np.array(flat), np.array(joined), 4)
+    reach = [min(4, len(s) - i) for s in sequences for i in range(len(s))]
+    own = collocations.Automaton(np.array(flat), np.array(reach), 4)
     states = {(tuple(flat[first : first + longest]), shortest, n) for first, longest, shortest, n in own.states()}
     assert states == plain_automaton(sequences, 4)
 
