@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from .operators import cdc, enrich_flow, extract, load, markdown, quality_rules, vector_store
 from .sources import files
-from .sources.tables import Snapshots
+from .sources.buckets import Buckets
 
-TABLES = ("authors", "books", "book_authors", "notes")
+#: Tables and the column that deals their rows to buckets.
+TABLES = {"authors": "author_id", "books": "book_id", "book_authors": "book_id", "notes": "item_id"}
 
 
 def _spark() -> SparkSession:
@@ -47,11 +49,12 @@ def readings(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def load_db(spark: SparkSession, a: argparse.Namespace) -> int:
-    """One snapshot a table. `books` commits last and names the checkpoint and the versions of the others, so that all or none count."""
+    """One table of buckets each; a load writes the buckets that change. `books` commits last and names the checkpoint and the versions
+    of the others, so that all or none count; versions that neither it nor the load before it names go."""
     if not Path(a.index_dir).is_dir():
         return _fail(f"index directory not found: {a.index_dir}")
     log = files.log(spark, f"file://{Path(a.index_dir).resolve()}")
-    held = {n: Snapshots(spark, f"{a.database}/{n}") for n in TABLES}
+    held = {n: Buckets(spark, f"{a.database}/{n}", key) for n, key in TABLES.items()}
     there = held["books"].state()
     if a.incremental:
         if not there["version"]:
@@ -70,6 +73,8 @@ def load_db(spark: SparkSession, a: argparse.Namespace) -> int:
     last = log.agg(F.max_by("commit", "name")).first()[0]
     versions = {n: held[n].commit(tables[n]) for n in ("authors", "book_authors", "notes")}
     held["books"].commit(tables["books"], info={"checkpoint": last, "versions": versions})
+    for t in held.values():
+        t.expire()
     print(json.dumps({n: t.read().count() for n, t in held.items()}))
     return 0
 
@@ -107,7 +112,7 @@ def learn(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def fix(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Write the fixed files and print the counts; without --yes each suggestion is asked for, and q ends."""
+    """Write the fixed files and print the counts; without --yes each suggestion is asked for, and q ends; --dry-run writes nothing."""
     if not Path(a.validation).exists() or not Path(a.notes_dir).is_dir():
         return _fail("the report or the notes directory is missing")
     issues = files.report_source(spark, f"file://{Path(a.validation).resolve()}")
@@ -125,12 +130,16 @@ def fix(spark: SparkSession, a: argparse.Namespace) -> int:
                 counts["skipped"] += 1
         issues = spark.createDataFrame(kept, issues.schema)
     rows = _lines(spark, a.notes_dir)
-    done = quality_rules.fix_counts(rows, issues).first().asDict()
-    fixed = quality_rules.fix(rows, issues)
-    touched = fixed.where("fixed").select("file").distinct()
-    whole = fixed.join(touched, "file", "left_semi").groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    for r in whole.collect():  # files that change, read before any is written
-        Path(a.notes_dir, r["file"]).write_text(r["text"], encoding="utf-8", newline="")
+    done = quality_rules.fix_counts(rows, issues, a.dry_run).first().asDict()
+    if not a.dry_run:
+        fixed = quality_rules.fix(rows, issues)
+        touched = fixed.where("fixed").select("file").distinct()
+        whole = fixed.join(touched, "file", "left_semi").groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+        # all files are made before any is replaced; the driver holds one at a time
+        with tempfile.TemporaryDirectory(prefix=".fixed-", dir=a.notes_dir) as made:
+            whole.write.mode("overwrite").parquet(f"file://{Path(made).resolve()}/files")
+            for r in spark.read.parquet(f"file://{Path(made).resolve()}/files").toLocalIterator():
+                Path(a.notes_dir, r["file"]).write_text(r["text"], encoding="utf-8", newline="")
     done["skipped"] = counts["skipped"]
     print(json.dumps({**done, "total": done["total"] + counts["skipped"]}))
     return 1 if done["failed"] else 0
@@ -138,7 +147,7 @@ def fix(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def search(spark: SparkSession, a: argparse.Namespace) -> int:
     """build, query, stats."""
-    table = Snapshots(spark, a.vector_store)
+    table = vector_store.store(spark, a.vector_store)
     info = table.state()["info"]
     model = vector_store.HashEmbedder(int(str(info.get("dimension", a.dimension))))
     if a.action == "build":
@@ -148,6 +157,7 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
             return _fail("no vector store; build it without --incremental first")
         log = files.log(spark, f"file://{Path(a.index_dir).resolve()}")
         vector_store.update(table, log, model) if a.incremental else vector_store.build(table, log, model, a.index_dir)
+        table.expire()
         return 0
     if not info:
         return _fail("no vector store; build it first")
@@ -166,7 +176,7 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def enrich_db(spark: SparkSession, a: argparse.Namespace) -> int:
     """enrich from recorded answers (key, body by book_id), status, export."""
-    held = Snapshots(spark, f"{a.database}/books")
+    held = Buckets(spark, f"{a.database}/books", TABLES["books"])
     books = held.read()
     if books is None:
         return _fail("no database; load it first")
@@ -179,7 +189,7 @@ def enrich_db(spark: SparkSession, a: argparse.Namespace) -> int:
         found = [(s, r) for s, r in found if s in a.sources.split(",")]
         if not found:
             return _fail("no source has answers")
-        links, names = (Snapshots(spark, f"{a.database}/{n}").read() for n in ("book_authors", "authors"))
+        links, names = (Buckets(spark, f"{a.database}/{n}", TABLES[n]).read() for n in ("book_authors", "authors"))
         work = enrich_flow.book_worklist(books, links, names, a.limit)
         found = [(s, r.join(work.where("author is not null").select("book_id"), "book_id", "left_semi")) for s, r in found]
         done = enrich_flow.outcomes(work, "book_id", [r for _, r in found], "author").first().asDict()
@@ -210,7 +220,7 @@ def parser() -> argparse.ArgumentParser:
     g = group("normalize")
     sub(g, "validate", validate, ("--notes-dir", need), ("--patterns", {}), ("--use-patterns", flag), ("--format", {"choices": ["console", "json"], "default": "console"}), ("--output", {}), ("--show-info", {"action": argparse.BooleanOptionalAction, "default": True}))
     sub(g, "learn", learn, ("--notes-dir", need), ("--output", {"default": "patterns.json"}))
-    sub(g, "fix", fix, ("--validation", need), ("--notes-dir", need), ("-y|--yes", flag))
+    sub(g, "fix", fix, ("--validation", need), ("--notes-dir", need), ("-y|--yes", flag), ("--dry-run", flag))
     g, store = group("search"), ("--vector-store|-v", {"default": "data/vectors"})
     sub(g, "build", search, ("--index-dir|-i", need), ("--output|-o", {"dest": "vector_store", "required": True}), ("--incremental", flag), ("--dimension", {"type": int, "default": 384}))
     sub(g, "query", search, ("query", {}), store, ("--top-k|-k", {"type": int, "default": 5}), ("--author|-a", {}), ("--section|-s", {}), ("--format|-f", {"choices": ["console", "json"], "default": "console"}), ("--dimension", {"type": int, "default": 384}))

@@ -69,7 +69,8 @@ def _local() -> list[Column]:
 
 @F.pandas_udf(ArrayType(StringType()))
 def close_matches(names: pd.Series) -> pd.Series:
-    return names.map(lambda n: difflib.get_close_matches(n, SECTIONS, n=3, cutoff=0.7))
+    near = {n: difflib.get_close_matches(n, SECTIONS, n=3, cutoff=0.7) for n in names.dropna().unique()}
+    return names.map(lambda n: near.get(n))
 
 
 def _issues(df: DataFrame, found: Column) -> DataFrame:
@@ -141,10 +142,65 @@ def local(rows: DataFrame) -> DataFrame:
     return rows.where("line is not null").select("file", "line_no", F.explode(F.filter(F.array(*_local()), lambda x: x.isNotNull())).alias("i")).select("file", "line_no", "i.*").select(*ISSUE)
 
 
+def _heads(rows: DataFrame) -> DataFrame:
+    """A row for each header of a file, with what its lines say; the lines before the first header are one too (head_no 0).
+
+    found: issues of single lines, names of unknown sections among them; lacking: items without a citation after one with, each with
+    the number of cited items up to it; cited: that number at the end; text: whether a line of content follows; start: the header.
+    Lines go through one exchange and one sort; from here on a row is a header.
+    """
+    by = Window.partitionBy("file").orderBy("line_no")
+    line, bare = F.col("line"), F.col("bare")
+    low, top = line.startswith("## "), line.startswith("# ")
+    rest = pystrip(F.expr("substring(line, 3)"))
+    title = top & ~F.lower(rest).isin(*SECTIONS)
+    head = F.when(top | low, F.struct("line_no", title.alias("is_title"), F.when(top, rest).otherwise(pystrip(F.expr("substring(line, 4)"))).alias("name")))
+    df = rows.where("line is not null").select("file", "line_no", "line").withColumn("bare", pystrip("line")).withColumn("head", head)
+    item = bare.startswith("- ") & ~line.startswith("    ")
+    cited = line.rlike(_java(r"\(p\.\s+(\d+)\)"))
+    so_far, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+    n = lambda when: F.sum(when.cast("int")).over(so_far)
+    df = df.withColumns({"item": item, "is_cited": item & cited, "part": n(low)})
+    df = df.withColumns(
+        {
+            "head_no": n(F.col("head").isNotNull()),
+            "book_no": n(F.coalesce(F.col("head.is_title"), F.lit(False))),
+            "cited": n(F.col("is_cited")),
+            "header": F.last(F.when(low, bare), ignorenulls=True).over(so_far),
+            "last": F.last(F.when(F.col("item"), F.struct("part", "is_cited")), ignorenulls=True).over(before),
+        }
+    )
+    name = pystrip(F.regexp_extract("line", f"(?s)^##{SPACE}+(.+)$", 1))
+    unknown = _found((name != "") & ~F.lower(name).isin(*SECTIONS), "info", "SECTION_002", 4, name, bare)
+    message = F.concat(F.lit("Missing page citation after item with citation in section '"), "header", F.lit("'"))
+    after = F.col("item") & ~F.col("is_cited") & (F.col("part") > 0) & (F.col("last.part") == F.col("part")) & F.col("last.is_cited")
+    lacking = F.when(after, F.struct("cited", F.struct("line_no", _found(F.lit(True), "warning", "CITATION_002", 10, message, bare).alias("i")).alias("at")))
+    own = F.filter(F.array(*_local(), unknown), lambda x: x.isNotNull())
+    df = df.select("file", "head_no", "book_no", "part", "head", "cited", lacking.alias("lacking"), F.transform(own, lambda i: F.struct(F.col("line_no"), i.alias("i"))).alias("own"), (F.col("head").isNull() & (bare != "") & ~bare.startswith("#")).alias("text"))
+    return df.groupBy("file", "head_no", "book_no", "part").agg(F.flatten(F.collect_list("own")).alias("found"), F.collect_list("lacking").alias("lacking"), F.max("cited").alias("cited"), F.max("text").alias("text"), F.max("head").alias("start"))
+
+
 def validate(rows: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
-    """All issues; their order is (file, line_no, rule_no). patterns: what learn() returns, for the rules that use it."""
-    placed = _placed(rows)
-    out = local(rows).unionByName(_unknown(rows)).unionByName(_uncited(placed)).unionByName(_hollow(placed))
+    """All issues; their order is (file, line_no, rule_no). patterns: what learn() returns, for the rules that use it.
+
+    One scan, one exchange and one sort of the lines feed every rule that needs no patterns.
+    """
+    heads = _heads(rows)
+    book, part = Window.partitionBy("file", "book_no"), Window.partitionBy("file", "part")
+    is_title, name = F.col("start.is_title"), F.col("start.name")
+    heads = heads.withColumn("title", F.max(F.when(is_title, name)).over(book))
+    content = F.coalesce(F.col("text") & (F.col("title") != "") & ~is_title & (name != ""), F.lit(False))
+    heads = heads.withColumn("content", content).withColumn("full", F.max("content").over(book)).withColumn("all_cited", F.max("cited").over(part))
+    cited_later = F.transform(F.filter("lacking", lambda x: x["cited"] < F.col("all_cited")), lambda x: x["at"])
+    section = _found(~F.col("content") & ~is_title & (name != ""), "error", "CONTENT_001", 13, F.concat(F.lit('Section "'), name, F.lit('" has no content')), F.concat(F.lit("## "), name), "Add content to the section or remove it")
+    whole = _found((F.col("book_no") > 0) & ~F.col("full") & is_title & (name != ""), "error", "CONTENT_002", 14, F.concat(F.lit('Book "'), name, F.lit('" has no sections with content')), F.concat(F.lit("# "), name), "Add sections with content to the book")
+    hollow = F.transform(F.filter(F.array(section, whole), lambda x: x.isNotNull()), lambda i: F.struct(F.col("start.line_no").alias("line_no"), i.alias("i")))
+    out = heads.select("file", F.explode(F.concat("found", cited_later, hollow)).alias("x")).select("file", "x.line_no", "x.i.*")
+    # the names of unknown sections, alone, are held against the known ones
+    fuzzy = F.col("rule_id") == "SECTION_002"
+    out = out.withColumn("near", close_matches(F.when(fuzzy, F.lower("message")))).where(~fuzzy | (F.size("near") > 0))
+    message = F.concat(F.lit("Unusual section name '"), "message", F.lit("'. Did you mean: "), F.array_join("near", ", "), F.lit("?"))
+    out = out.withColumns({"message": F.when(fuzzy, message).otherwise(F.col("message")), "suggestion": F.when(fuzzy, F.concat(F.lit("## "), F.get("near", F.lit(0)))).otherwise(F.col("suggestion"))}).select(*ISSUE)
     return out if patterns is None else out.unionByName(_unlike(rows, patterns))
 
 
@@ -191,22 +247,34 @@ def learn(rows: DataFrame) -> DataFrame:
     return shared(names, "section_name").select(*order).unionByName(top.select(*order))
 
 
-def fix(rows: DataFrame, issues: DataFrame) -> DataFrame:
-    """Lines with the first suggestion whose context matches them applied; later suggestions for a changed line no longer match."""
-    wanted = issues.where("suggestion is not null and suggestion <> ''").select("file", "line_no", "rule_no", "context", "suggestion")
-    fits = rows.join(wanted, ["file", "line_no"]).where(pystrip("line") == pystrip("context"))
-    first = fits.groupBy("file", "line_no").agg(F.min_by("suggestion", "rule_no").alias("new"))
-    return rows.join(first, ["file", "line_no"], "left").select("file", "line_no", F.coalesce("new", "line").alias("line"), F.col("new").isNotNull().alias("fixed"))
+def fixes(rows: DataFrame, issues: DataFrame, dry_run: bool = False) -> DataFrame:
+    """A row for each line that a suggestion names: file, line_no, line (null where there is no such line), fixed, wanted, applied.
 
+    The suggestions of a line are applied in the order of their rules, each if the line, as those before it left it, still is its
+    context (white space at the ends apart); a line keeps its ending. In a dry run each is held against the line as it is, and no
+    line changes.
+    """
+    wanted = issues.where("suggestion is not null and suggestion <> ''").groupBy("file", "line_no").agg(F.sort_array(F.collect_list(F.struct("rule_no", "context", "suggestion"))).alias("steps"))  # a line has a few issues
+    both = wanted.join(rows.select("file", "line_no", "line"), ["file", "line_no"], "left")
+    ending = F.regexp_extract("line", r"(\r*)$", 1)
 
-def fix_counts(rows: DataFrame, issues: DataFrame) -> DataFrame:
-    """total, applied, skipped, failed of a run that says yes to every issue with a suggestion.
+    def step(held: Column, x: Column) -> Column:
+        fits = F.coalesce(pystrip(held["line"]) == pystrip(x["context"]), F.lit(False))
+        made = held["line"] if dry_run else F.when(fits, F.concat(x["suggestion"], ending)).otherwise(held["line"])
+        return F.struct(made.alias("line"), (held["n"] + fits.cast("int")).alias("n"))
 
-    A suggestion is applied if the line, as the ones before it left it, still is its context.
-    """
-    wanted = issues.where("suggestion is not null and suggestion <> ''")
-    both = wanted.join(rows, ["file", "line_no"], "left").groupBy("file", "line_no").agg(F.sort_array(F.collect_list(F.struct("rule_no", "context", "suggestion"))).alias("l"), F.first("line").alias("line"))
-    step = lambda s, x: F.struct(F.when(pystrip(s["line"]) == pystrip(x["context"]), x["suggestion"]).otherwise(s["line"]).alias("line"), (s["n"] + F.coalesce((pystrip(s["line"]) == pystrip(x["context"])).cast("int"), F.lit(0))).alias("n"))
-    done = F.aggregate("l", F.struct(F.col("line").alias("line"), F.lit(0).alias("n")), step)["n"]  # a line has a few issues
-    out = both.select(F.size("l").alias("total"), done.alias("applied")).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("applied"), F.lit(0)).alias("applied"))
-    return out.select("total", "applied", F.lit(0).cast("long").alias("skipped"), (F.col("total") - F.col("applied")).alias("failed"))
+    done = F.aggregate("steps", F.struct(F.col("line").alias("line"), F.lit(0).alias("n")), step)
+    both = both.withColumn("done", done)
+    return both.select("file", "line_no", F.col("done.line").alias("line"), ((F.col("done.n") > 0) & F.lit(not dry_run)).alias("fixed"), F.size("steps").alias("wanted"), F.col("done.n").alias("applied"))
+
+
+def fix(rows: DataFrame, issues: DataFrame, dry_run: bool = False) -> DataFrame:
+    """All lines (file, line_no, line, fixed), those changed that fixes() changes."""
+    done = fixes(rows, issues, dry_run).where("fixed").select("file", "line_no", F.col("line").alias("new"))
+    return rows.join(done, ["file", "line_no"], "left").select("file", "line_no", F.coalesce("new", "line").alias("line"), F.col("new").isNotNull().alias("fixed"))
+
+
+def fix_counts(rows: DataFrame, issues: DataFrame, dry_run: bool = False) -> DataFrame:
+    """total, applied, skipped, failed of a run that says yes to every issue with a suggestion."""
+    done = fixes(rows, issues, dry_run).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(y) for x, y in (("wanted", "total"), ("applied", "applied"))])
+    return done.select("total", "applied", F.lit(0).cast("long").alias("skipped"), (F.col("total") - F.col("applied")).alias("failed"))

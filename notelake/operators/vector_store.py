@@ -1,4 +1,4 @@
-"""The vector store: notes with unit vectors in a snapshot table; updates are tombstones and new rows.
+"""The vector store: notes with unit vectors in a table of hash buckets by item; updates are tombstones and new rows.
 
 An embedder is any object with name, dimension and encode(texts) -> float array; it runs in Arrow batches on the executors.
 """
@@ -11,12 +11,12 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..sources.tables import Snapshots
+from ..sources.buckets import Buckets
 from . import cdc, search
 
 NOTE = ("item_id", "text", "book_title", "author_first_name", "author_last_name", "section", "source_file", "date_read")
@@ -62,7 +62,11 @@ def _notes(items: DataFrame, model: Embedder) -> DataFrame:
     return rows.select("place", *NOTE, T.display_name("author_first_name", "author_last_name").alias("author"), "vector")
 
 
-def build(table: Snapshots, log: DataFrame, model: Embedder, source: str = "") -> int:
+def store(spark: SparkSession, root: str, buckets: int = 64) -> Buckets:
+    return Buckets(spark, root, "item_id", buckets)
+
+
+def build(table: Buckets, log: DataFrame, model: Embedder, source: str = "") -> int:
     """A new store of the log's current items; the checkpoint is the commit of the last file."""
     state = cdc.replay(log, "item_id", ["name", "pos"], "operation", list(NOTE[2:]) + ["content"])
     last = log.agg(F.max_by("commit", "name")).first()[0]
@@ -70,8 +74,11 @@ def build(table: Snapshots, log: DataFrame, model: Embedder, source: str = "") -
     return table.commit(rows, info={"checkpoint": last, "model": model.name, "dimension": model.dimension, "source": source})
 
 
-def update(table: Snapshots, log: DataFrame, model: Embedder) -> int:
-    """Apply the files after the checkpoint: an update marks the item's rows as deleted and adds one, a delete marks them."""
+def update(table: Buckets, log: DataFrame, model: Embedder) -> int:
+    """Apply the files after the checkpoint: an update marks the item's rows as deleted and adds one, a delete marks them.
+
+    Only the buckets of the items that the files name are read and written.
+    """
     info = table.state()["info"]
     if not info.get("checkpoint"):
         raise ValueError("no checkpoint in the vector store: build it first")
@@ -82,9 +89,12 @@ def update(table: Snapshots, log: DataFrame, model: Embedder) -> int:
         return table.state()["version"]
     made = _notes(tail.where("operation <> 'delete'"), model).withColumn("deleted", F.lit(False))
     ends = tail.where("operation <> 'add'").groupBy("item_id").agg(F.max("place").alias("end"))
-    rows = table.read().unionByName(made).join(ends, "item_id", "left")
-    rows = rows.withColumn("deleted", F.col("deleted") | F.coalesce(F.col("place") < F.col("end"), F.lit(False))).drop("end")
-    return table.commit(rows.select(*table.read().columns), info=info | {"checkpoint": tail.agg(F.max_by("commit", "name")).first()[0]})
+
+    def marked(old: DataFrame) -> DataFrame:
+        rows = old.unionByName(made).join(ends, "item_id", "left")
+        return rows.withColumn("deleted", F.col("deleted") | F.coalesce(F.col("place") < F.col("end"), F.lit(False))).drop("end")
+
+    return table.rewrite(tail.select("item_id"), marked, info=info | {"checkpoint": tail.agg(F.max_by("commit", "name")).first()[0]})
 
 
 def wanted(rows: DataFrame, author: str | None = None, section: str | None = None, book: str | None = None) -> DataFrame:

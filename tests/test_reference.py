@@ -159,11 +159,11 @@ def test_log_files_stream_and_snapshots(spark, tmp_path):
         os.rename(part, logs / f"extraction_2024010{stamp}_000000_abcdef{stamp}.json")
 
     put(items, "1")
-    table = Snapshots(spark, f"file://{tmp_path}/table")
+    table = apply.table(spark, f"file://{tmp_path}/table", 8)
     apply.run(spark, str(logs), table, f"file://{tmp_path}/cp")
     put(items.where("seq = 0").withColumns({"operation": F.lit("delete")}), "2")
     apply.run(spark, str(logs), table, f"file://{tmp_path}/cp")
-    assert [r["item_id"] for r in apply.current(table.read()).collect()] == ["b"]
+    assert [r["item_id"] for r in table.read().collect()] == ["b"]
     version = table.state()["version"]
     apply.run(spark, str(logs), table, f"file://{tmp_path}/cp")
     assert table.state()["version"] == version
