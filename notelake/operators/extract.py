@@ -80,6 +80,5 @@ def run(spark: SparkSession, notes_dir: str, index_dir: str, git_dir: str | None
             return None
     meta = {"timestamp": at.isoformat(), "git_commit_hash": commit, "git_commit_timestamp": git.commit_time(repo, commit), "extraction_type": "full" if old is None else "incremental", "previous_commit_hash": old, "notes_directory": str(notes)}
     path = f"{Path(index_dir).resolve()}/{log_file(at, commit)}"
-    files.write_log(rows.select("seq", *ITEM), meta, f"file://{path}.tmp")
-    files.move_part(spark, f"file://{path}.tmp", f"file://{path}")
+    files.write_log(rows.select("seq", *ITEM), meta, f"file://{path}")
     return path

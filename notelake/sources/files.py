@@ -35,11 +35,42 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(rows.agg(F.max("name").alias("name"))), "name", "left_semi")  # one row
 
 
+def write_document(rows: DataFrame, order: list[str], path: str, head: str, tail: str) -> None:
+    """One file: head, the values of column j in order, separated by commas, and tail.
+
+    Tasks sort and write a range of rows each, so no row, task or driver variable ever holds the document; the parts are then copied
+    one after the other, a buffer at a time, into a hidden file that gets its name when it is whole. A run that dies leaves hidden
+    files only, which the next run over the same path replaces.
+    """
+    spark, sep = rows.sparkSession, ",\n"
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts, whole = (jvm.org.apache.hadoop.fs.Path(at.getParent(), f"_{kind}-{at.getName()}") for kind in ("parts", "whole"))
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("j").write.mode("overwrite").option("lineSep", sep).text(parts.toString())
+    held = [(s.getPath(), s.getLen()) for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-") and s.getLen() > 0]
+    held.sort(key=lambda x: int(x[0].getName().split("-")[1]))
+    out = fs.create(whole, True)
+    out.write(bytearray(head.encode()))
+    for i, (part, length) in enumerate(held, 1):
+        own = fs.open(part)
+        jvm.org.apache.commons.io.IOUtils.copyLarge(own, out, 0, length - (len(sep) if i == len(held) else 0))
+        own.close()
+    out.write(bytearray(tail.encode()))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(whole, at):
+        raise OSError(f"{path} cannot be written")
+    fs.delete(parts, True)
+
+
 def write_log(items: DataFrame, metadata: dict[str, str | None], path: str) -> None:
     """One JSON document of the run's items, in (seq) order; refuses an existing path."""
-    meta = F.struct(*[F.lit(v).cast("string").alias(k) for k, v in metadata.items()])
-    one = items.agg(F.sort_array(F.collect_list(F.struct("seq", F.struct(*[c for c in items.columns if c != "seq"]).alias("item")))).alias("l"))
-    one.select(meta.alias("extraction_metadata"), F.transform("l", lambda x: x["item"]).alias("items")).coalesce(1).write.mode("errorifexists").json(path)
+    at = items.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(items.sparkSession._jsc.hadoopConfiguration()).exists(at):
+        raise FileExistsError(path)
+    rows = items.select("seq", F.to_json(F.struct(*[c for c in items.columns if c != "seq"]), {"ignoreNullFields": "false"}).alias("j"))
+    write_document(rows, ["seq"], path, f'{{"extraction_metadata": {json.dumps(metadata, ensure_ascii=False)}, "items": [\n', "\n]}\n")
 
 
 def book_index(spark: SparkSession, path: str) -> DataFrame:
@@ -64,8 +95,9 @@ def issue_report(issues: DataFrame) -> DataFrame:
 
 def write_report(issues: DataFrame, path: str) -> None:
     """The JSON report as one document, files in order."""
-    body = [f'{{"file": {json.dumps(r["file"], ensure_ascii=False)}, "issues": {r["issues"]}}}' for r in issue_report(issues).orderBy("file").toLocalIterator()]
-    put(issues.sparkSession, path, '{"files": [' + ", ".join(body) + "]}")
+    name = F.regexp_extract(F.to_json(F.struct("file")), r"(?s)^\{(.*)\}$", 1)
+    rows = issue_report(issues).select("file", F.concat(F.lit("{"), name, F.lit(', "issues": '), "issues", F.lit("}")).alias("j"))
+    write_document(rows, ["file"], path, '{"files": [\n', "\n]}\n")
 
 
 def console_report(issues: DataFrame, show_info: bool = True) -> DataFrame:
@@ -111,9 +143,10 @@ def write_book_index(items: DataFrame, path: str, notes_dir: str, at: str) -> No
     book = ["title", "author_first_name", "author_last_name", "date_read", "source_file"]
     sections = items.groupBy(*book, "section").agg(F.min("place").alias("place"), F.transform(F.sort_array(F.collect_list(F.struct("item_no", "content"))), lambda x: x["content"]).alias("texts"))
     books = sections.groupBy(*book).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("place", "section", "texts"))), lambda x: F.struct(x["section"], x["texts"]))).alias("sections"))
-    rows = books.orderBy(F.col("date_read").asc_nulls_last(), "source_file", "title").select(F.to_json(F.struct(*book, "sections"), {"ignoreNullFields": "false"}).alias("j"))
-    body = [r["j"] for r in rows.toLocalIterator()]
-    put(items.sparkSession, path, f'{{"generated_at": {json.dumps(at)}, "notes_directory": {json.dumps(notes_dir)}, "total_books": {len(body)}, "books": [{", ".join(body)}]}}')
+    order = [F.col("date_read").isNull().alias("undated"), "date_read", "source_file", "title"]
+    rows = books.select(*order, F.to_json(F.struct(*book, "sections"), {"ignoreNullFields": "false"}).alias("j"))
+    total = items.select(*book).distinct().count()
+    write_document(rows, ["undated", "date_read", "source_file", "title"], path, f'{{"generated_at": {json.dumps(at)}, "notes_directory": {json.dumps(notes_dir)}, "total_books": {total}, "books": [\n', "\n]}\n")
 
 
 def put(spark: SparkSession, path: str, text: str) -> None:
@@ -122,12 +155,3 @@ def put(spark: SparkSession, path: str, text: str) -> None:
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
     out.write(bytearray(text.encode()))
     out.close()
-
-
-def move_part(spark: SparkSession, folder: str, to: str) -> None:
-    """The single part file that Spark wrote into folder becomes the file `to`; the folder goes."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
-    fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(to))
-    fs.delete(at, True)

@@ -154,9 +154,10 @@ def test_log_files_stream_and_snapshots(spark, tmp_path):
     logs.mkdir()
 
     def put(df, stamp):
-        files.write_log(df, {"git_commit_hash": stamp}, str(tmp_path / stamp))
-        part = next((tmp_path / stamp).glob("part-*.json"))
-        os.rename(part, logs / f"extraction_2024010{stamp}_000000_abcdef{stamp}.json")
+        path = f"file://{logs}/extraction_2024010{stamp}_000000_abcdef{stamp}.json"
+        files.write_log(df, {"git_commit_hash": stamp}, path)
+        with pytest.raises(FileExistsError):
+            files.write_log(df, {"git_commit_hash": stamp}, path)
 
     put(items, "1")
     table = apply.table(spark, f"file://{tmp_path}/table", 8)

@@ -289,23 +289,73 @@ def test_git_log_and_commands(spark, tmp_path):
     assert files.book_index(spark, f"file://{tmp_path}/books.json").count() == parsed.count()
 
 
+def test_documents_are_written_in_parts(spark, tmp_path):
+    rows = spark.range(3000).select((F.lit(2999) - F.col("id")).cast("int").alias("seq"), F.concat(F.lit('é "'), "id").alias("item_id"), F.lit(None).cast("string").alias("date_read")).repartition(7)
+    path = tmp_path / "extraction_20240101_000000_abc.json"
+    (tmp_path / "_parts-extraction_20240101_000000_abc.json").mkdir()  # a run that died
+    files.write_log(rows, {"git_commit_hash": "abc", "previous_commit_hash": None}, f"file://{path}")
+    held = json.loads(path.read_text())
+    assert held["extraction_metadata"] == {"git_commit_hash": "abc", "previous_commit_hash": None}
+    assert [i["item_id"] for i in held["items"]] == [f'é "{2999 - n}' for n in range(3000)] and held["items"][0]["date_read"] is None
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == [path.name]
+    assert files.log(spark, f"file://{tmp_path}").where("item_id is not null and commit = 'abc'").count() == 3000
+    with pytest.raises(FileExistsError):
+        files.write_log(rows, {}, f"file://{path}")
+    files.write_log(rows.limit(0), {}, f"file://{tmp_path}/none.json")
+    assert json.loads((tmp_path / "none.json").read_text()) == {"extraction_metadata": {}, "items": []}
+    issues = spark.createDataFrame([(f'{n % 300:03d} "x" é.md', n, "error", "R", "m", "c", None, 0) for n in range(900)], "file string, line_no long, severity string, rule_id string, message string, context string, suggestion string, rule_no int")
+    for some, n in ((issues, 300), (issues.limit(0), 0)):  # the second replaces the first
+        files.write_report(some, f"file://{tmp_path}/r.json")
+        held = json.loads((tmp_path / "r.json").read_text())["files"]
+        assert [f["file"] for f in held] == [f'{i:03d} "x" é.md' for i in range(n)] and all(len(f["issues"]) == 3 for f in held)
+
+
+class Asked:
+    """A source that notes in a file what it is asked, knows nothing of keys that end in 7, and fails while `down` is there."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def fetch(self, keys):
+        if (self.folder / "down").exists() and "k120" in keys:
+            raise OSError("no route")
+        with open(self.folder / "asked", "a") as f:
+            f.write("".join(k + "\n" for k in keys))
+        return [(k, f"label of {k}") for k in keys if not k.endswith("7")]
+
+
+def test_lookups_resume_and_ask_once(spark, tmp_path):
+    cache = enrich_flow.answers(spark, f"file://{tmp_path}/cache", 8)
+    keys = spark.createDataFrame([(f"k{i % 130:03d}",) for i in range(400)] + [(None,)], "id string")
+    ask = lambda **how: enrich_flow.fetch(spark, Asked(tmp_path), keys, cache, 60000, batch=10, sleep=lambda s: None, **how)
+    (tmp_path / "down").touch()
+    with pytest.raises(OSError, match="no route"):
+        ask(lanes=4)
+    told = (tmp_path / "asked").read_text().split()
+    assert len(told) == len(set(told)) == 120 and cache.read().count() == 120  # what others answered is kept
+    (tmp_path / "down").unlink()
+    got = {r["key"]: r["body"] for r in ask().collect()}
+    assert got == {f"k{i:03d}": f"label of k{i:03d}" for i in range(130) if i % 10 != 7}
+    told = (tmp_path / "asked").read_text().split()
+    assert len(told) == len(set(told)) == 130
+    assert len(ask().collect()) == 117 and (tmp_path / "asked").read_text().split() == told
+    rows = spark.createDataFrame([(1, "Q1", ["Q2", "x", "Q17"]), (2, None, None)], "id int, place string, movements array<string>")
+    named = enrich_flow.resolved(rows, ["place", "movements"], "id", Asked(tmp_path), cache, 60000, sleep=lambda s: None)
+    assert {r["id"]: (r["place"], r["movements"]) for r in named.collect()} == {1: ("label of Q1", ["label of Q2", "x", "Q17"]), 2: (None, None)}
+
+
 def test_enrichment_flow(spark):
     now = [0.0]
-    limiter = enrich_flow.RateLimiter(2, 60, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
-    tries = []
-
-    class Flaky(enrich.RecordedSource):
-        def fetch(self, keys):
-            tries.append(list(keys))
-            if len(tries) < 3:
-                raise OSError
-            return super().fetch(keys)
-
-    keys = spark.createDataFrame([(f"k{i}",) for i in range(5)], "key string")
-    got = enrich_flow.fetch(spark, Flaky({"k1": "{}", "k3": "{}"}), keys, limiter, batch=2, sleep=lambda s: None)
-    assert sorted(r["key"] for r in got.collect()) == ["k1", "k3"] and len(tries) == 5 and now[0] > 60
-    limiter.reset()
-    assert not limiter.asked
+    bucket = enrich_flow.TokenBucket(60, 2, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    at = []
+    for _ in range(5):
+        bucket.take()
+        at.append(round(now[0], 6))
+    now[0] += 100  # no more than a burst is saved up
+    for _ in range(3):
+        bucket.take()
+        at.append(round(now[0], 6))
+    assert at == [0, 0, 1, 2, 3, 103, 103, 104]
     with pytest.raises(OSError):
         enrich_flow.retried(lambda: (_ for _ in ()).throw(OSError()), sleep=lambda s: None)()
     rows = spark.createDataFrame([(1, "Q1", ["Q2", "Quakers"]), (2, None, None)], "id int, place string, movements array<string>")
