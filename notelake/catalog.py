@@ -9,7 +9,9 @@ from .functions import text as T
 from .functions import vectors as V
 from .operators import cdc, enrich, enrich_flow, graph, load, markdown, quality_rules, search, vector_store
 from .plans.views import duck, view
-from .sources import files
+from .sources import files, shared
+from .sources.buckets import Buckets
+from .streaming import apply
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -97,18 +99,23 @@ def _(log):
     return rows.join(F.broadcast(start), c("name") > c("start")).select("item_id", "pos")  # one row
 
 
-@query("DML-01", "log", sql="SELECT 'last' AS key, max(day)::VARCHAR AS value FROM log")
+@query("DML-01", "log", sql="SELECT operation AS key, CASE WHEN operation = 'add' THEN min(day) ELSE max(day) END::VARCHAR AS value FROM log GROUP BY operation")
 def _(log):
-    return log.agg(F.lit("last").alias("key"), F.max("day").cast("string").alias("value"))
+    # a checkpoint a consumer: that of adds is old, the others are set again or for the first time
+    old = log.where("operation in ('add', 'update')").groupBy(c("operation").alias("key")).agg(F.min("day").cast("string").alias("value"))
+    new = log.where("operation <> 'add'").groupBy(c("operation").alias("key")).agg(F.max("day").cast("string").alias("value"))
+    return cdc.merge(old, new.withColumn("operation", F.lit("update")), "key", ["value"])
 
 
-@query("DML-02", "authors", sql="SELECT name, max(author_id) AS author_id FROM authors GROUP BY name")
-def _(authors):
-    return authors.groupBy("name").agg(F.max_by("author_id", "author_id").alias("author_id"))
+@query("DML-02", "authors", "log", sql="SELECT name, coalesce(f, 'old') AS first, coalesce(l, nation::VARCHAR) AS last FROM authors FULL JOIN (SELECT 'Supplier#' || lpad((item_id % 400)::VARCHAR, 9, '0') AS name, arg_max(operation, (ts, pos)) AS f, arg_max(value::VARCHAR, (ts, pos)) AS l FROM log GROUP BY 1) USING (name)")
+def _(authors, log):
+    old = authors.select("name", F.lit("old").alias("first"), c("nation").cast("string").alias("last"))
+    rows = log.select(F.concat(F.lit("Supplier#"), F.lpad((c("item_id") % 400).cast("string"), 9, "0")).alias("name"), c("operation").alias("first"), c("value").cast("string").alias("last"), "ts", "pos")
+    return load.upserted(old, rows, "name", ["first", "last"], ["ts", "pos"])
 
 
 @query(
-    "DML-03",
+    "DML-03-DATE",
     "books",
     "reading",
     sql="SELECT book_id, title, coalesce(n, o) AS date_read FROM (SELECT b.book_id, title, (SELECT max(date_read) FROM reading r WHERE r.book_id = b.book_id AND status = 'F') AS n, (SELECT max(date_read) FROM reading r WHERE r.book_id = b.book_id) AS o FROM books b)",
@@ -119,6 +126,20 @@ def _(books, reading):
     return cdc.merge(old, new, "book_id", ["title", "date_read"], keep_old=True)
 
 
+@query(
+    "DML-03",
+    "books",
+    "log",
+    sql="""WITH runs AS (SELECT item_id * 3 AS book_id, day, arg_min((operation || ' ' || pos::VARCHAR, CASE WHEN pos % 3 > 0 THEN pos::VARCHAR END), (ts, pos)) AS f FROM log GROUP BY 1, 2),
+    new AS (SELECT book_id, arg_max(f[1], day) AS new_title, arg_max(f[2], day) FILTER (WHERE f[2] IS NOT NULL) AS new_date FROM runs GROUP BY book_id)
+    SELECT book_id, coalesce(new_title, title) AS title, coalesce(new_date, CASE WHEN page_count > 0 THEN publisher END) AS date_read FROM books FULL JOIN new USING (book_id)""",
+)
+def _(books, log):
+    # a day of the log is a run; a third of its rows have no date
+    rows = log.select((c("item_id") * 3).alias("book_id"), "day", "ts", "pos", F.concat_ws(" ", "operation", c("pos").cast("string")).alias("title"), F.when(c("pos") % 3 > 0, c("pos").cast("string")).alias("date_read"))
+    return load.books_over_runs(books.select("book_id", "title", F.when(c("page_count") > 0, c("publisher")).alias("date_read")), rows, "day", ["ts", "pos"])
+
+
 @query("DML-04", "book_authors", sql="SELECT book_id, author_id FROM book_authors WHERE book_id % 2 = 0 UNION SELECT book_id, author_id FROM book_authors WHERE book_id % 3 = 0")
 def _(links):
     have = links.where("book_id % 2 = 0")
@@ -186,10 +207,18 @@ def _(books):
     return books.groupBy(T.hashed_id("subject", "kind").alias("id")).agg(F.min_by("kind", "book_id").alias("name"))
 
 
-@query("DML-11", "authors", sql="SELECT author_id, CASE WHEN author_id % 3 = 0 THEN 'Q' || author_id ELSE lower(replace(replace(name, '#', ''), ' ', '-')) END AS id FROM authors")
+@query(
+    "DML-11",
+    "authors",
+    sql="""WITH old AS (SELECT CASE WHEN author_id % 5 = 0 THEN 'other-' || author_id ELSE lower(replace(replace(name, '#', ''), ' ', '-')) END AS author_id, name, CASE WHEN author_id % 3 = 0 THEN 'Q' || author_id END AS external_id FROM authors WHERE author_id % 4 > 0),
+    new AS (SELECT lower(replace(replace(name, '#', ''), ' ', '-')) AS author_id, min(('Q' || author_id, name)) AS n FROM authors WHERE author_id % 2 = 0 AND 'Q' || author_id NOT IN (SELECT external_id FROM old WHERE external_id IS NOT NULL) GROUP BY 1)
+    SELECT author_id, coalesce(name, n[2]) AS name, coalesce(n[1], external_id) AS external_id FROM old FULL JOIN new USING (author_id)""",
+)
 def _(authors):
-    known = authors.where("author_id % 3 = 0").select("author_id", F.concat(F.lit("Q"), "author_id").alias("external"))
-    return authors.join(known, "author_id", "left").select("author_id", F.coalesce("external", T.slug("name")).alias("id"))
+    # a quarter of the authors is new, a fifth has an id that is no slug, a third has its external id already
+    ids = authors.withColumn("q", F.concat(F.lit("Q"), "author_id"))
+    old = ids.where("author_id % 4 > 0").select(F.when(c("author_id") % 5 == 0, F.concat(F.lit("other-"), "author_id")).otherwise(T.slug("name")).alias("author_id"), "name", F.when(c("author_id") % 3 == 0, c("q")).alias("external_id"))
+    return load.authors_found(old, ids.where("author_id % 2 = 0").select(c("q").alias("external_id"), "name"))
 
 
 @query("DML-12", "influences", sql="SELECT DISTINCT src, dst FROM influences WHERE src = 5 OR dst = 5")
@@ -470,9 +499,9 @@ def _(log):
     return log.agg(F.count("*").alias("n"))
 
 
-@query("AGG-02", "log", sql="SELECT coalesce(max(pos), 0) AS top FROM log WHERE pos < 0")
+@query("AGG-02", "log", sql="SELECT max(pos) AS top, coalesce(max(pos) FILTER (WHERE pos < 0), 0) AS of_none FROM log")
 def _(log):
-    return log.where("pos < 0").agg(F.coalesce(F.max("pos"), F.lit(0)).alias("top"))
+    return log.agg(F.max("pos").alias("top"), F.coalesce(F.max(F.when(c("pos") < 0, c("pos"))), F.lit(0)).alias("of_none"))
 
 
 @query("AGG-03", "book_subjects", sql="SELECT count(DISTINCT book_id) AS books, count(DISTINCT subject_id) AS subjects FROM book_subjects")
@@ -506,11 +535,15 @@ def _(s):
     return s.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("subject_id")), ";").alias("subjects"))
 
 
-@query("AGG-08", "books", sql="WITH k AS (SELECT lower(publisher) AS key, publisher AS v, count(*) AS n, min(book_id) AS seen FROM books GROUP BY 1, 2) SELECT key, arg_max(v, (n, -seen)) AS value, sum(n)::BIGINT AS frequency, sum(n)::DOUBLE / sum(sum(n)) OVER () AS share FROM k GROUP BY key")
+@query("AGG-08", "books", sql="WITH k AS (SELECT lower(title) AS key, CASE WHEN book_id % 3 = 0 THEN upper(title) ELSE title END AS v, count(*) AS n, min(book_id) AS seen FROM books GROUP BY 1, 2) SELECT key, arg_max(v, (n, -seen)) AS value, sum(n)::BIGINT AS frequency, sum(n)::DOUBLE / sum(sum(n)) OVER () AS share, array_to_string(list(v ORDER BY seen)[1:5], '|') AS examples FROM k GROUP BY key")
 def _(books):
-    k = books.groupBy(F.lower("publisher").alias("key"), c("publisher").alias("v")).agg(F.count("*").alias("n"), F.min("book_id").alias("seen"))
-    out = k.groupBy("key").agg(F.max_by("v", F.struct("n", -c("seen"))).alias("value"), F.sum("n").alias("frequency"))
-    return out.withColumn("share", c("frequency") / F.sum("frequency").over(Window.partitionBy()))
+    v = F.when(c("book_id") % 3 == 0, F.upper("title")).otherwise(c("title"))
+    k = books.groupBy(F.lower("title").alias("key"), v.alias("v")).agg(F.count("*").alias("n"), F.min("book_id").alias("seen"))
+    # spellings of one name
+    shown = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("seen", "v"))), 1, 5), lambda x: x["v"])
+    out = k.groupBy("key").agg(F.max_by("v", F.struct("n", -c("seen"))).alias("value"), F.sum("n").alias("frequency"), F.array_join(shown, "|").alias("examples"))
+    total = out.agg(F.sum("frequency").alias("all"))  # one row
+    return out.join(F.broadcast(total), how="cross").withColumn("share", c("frequency") / c("all")).drop("all")
 
 
 @query("AGG-09", "log", sql="SELECT count(*) FILTER (WHERE operation = 'add') AS adds, count(*) FILTER (WHERE operation = 'update') AS updates, count(*) FILTER (WHERE operation = 'delete') AS deletes FROM log")
@@ -1219,3 +1252,87 @@ def _(books, s):
 @query("GRA-05", "influences", sql="WITH RECURSIVE r AS (SELECT 5::BIGINT AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN influences ON src = node WHERE hop < 3) SELECT node, min(hop) AS hop FROM r GROUP BY node")
 def _(e):
     return graph.reach(e, 5, 3)
+
+
+@query("GRA-01-NODES", "authors", "books", "book_authors", "influences", sql="SELECT 'author:' || author_id AS id, name AS label, 'author' AS kind FROM authors WHERE author_id = 5 OR author_id IN (SELECT src FROM influences WHERE dst = 5 UNION SELECT dst FROM influences WHERE src = 5) UNION ALL SELECT 'book:' || book_id, title, 'book' FROM books WHERE book_id IN (SELECT book_id FROM book_authors WHERE author_id = 5)")
+def _(authors, books, links, e):
+    return graph.author_graph(5, authors, books, links, e)[0]
+
+
+@query("GRA-03-AUTHOR", "authors", "author_ids", "book_authors", sql="SELECT a.author_id, name, birth_year, external_id, (SELECT count(*) FROM book_authors b WHERE b.author_id = 9) AS books FROM authors a JOIN author_ids i ON a.author_id = i.author_id WHERE a.author_id = 9")
+def _(authors, ids, links):
+    own = links.where("author_id = 9").groupBy("author_id").agg(F.count("*").alias("n"))
+    found = authors.where("author_id = 9").join(ids, "author_id").join(own, "author_id", "left")
+    return found.select("author_id", "name", "birth_year", "external_id", F.coalesce("n", F.lit(0)).alias("books"))
+
+
+# --- stored tables, streams and documents: written below the shared folder, then read back -----------------------------
+
+
+def stored(name: str, *views: str, sql: str | None = None):
+    """Register a function of (spark, folder, *views); folder is new and shared by the driver and all executors."""
+
+    def put(f):
+        QUERIES[name] = lambda spark, sf_dir: f(spark, shared.folder(spark, name), *[view(spark, sf_dir, v) for v in views])
+        if sql:
+            ORACLES[name] = duck(sql)
+        return f
+
+    return put
+
+
+def _log_items(log: DataFrame) -> DataFrame:
+    """The change log in the columns of the streamed log."""
+    name = F.date_format("ts", "yyyyMMddHHmmssSSSSSS")
+    return log.select(name.alias("name"), c("pos"), c("item_id").cast("string").alias("item_id"), "operation", *[(c("value").cast("string") if v == "content" else F.lit(None).cast("string")).alias(v) for v in apply.VALUES])
+
+
+@stored("STR-02", "log", sql=_REPLAY + "SELECT item_id::VARCHAR AS item_id, arg_max(value, (ts, pos)) AS value FROM alive GROUP BY item_id")
+def _(spark, at, log):
+    # files by hash, so that each holds places from the whole time and most come late
+    items = _log_items(log)
+    items.repartition(4, F.xxhash64("pos")).write.parquet(f"{at}/log")
+    to = apply.table(spark, f"{at}/table", 16)
+    apply.drain(apply.changes(spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/log")), to, f"{at}/checkpoint")
+    return to.read().select("item_id", c("content").cast("double").alias("value"))
+
+
+@stored("DML-16", "books", sql="SELECT book_id, CASE WHEN book_id % 11 = 3 THEN upper(title) ELSE title END AS title, page_count FROM books WHERE book_id % 11 <> 4")
+def _(spark, at, books):
+    held = Buckets(spark, f"{at}/books", "book_id", 32)
+    held.commit(books.where("book_id % 11 <> 5").select("book_id", "title", "page_count"))
+    # one commit of updates, deletes and additions, run twice under one number
+    ops = books.where("book_id % 11 in (3, 4, 5)").select("book_id", F.when(c("book_id") % 11 == 3, F.upper("title")).otherwise(c("title")).alias("title"), "page_count", F.when(c("book_id") % 11 == 4, "delete").otherwise("upsert").alias("operation"))
+    for _ in range(2):
+        held.merge(ops, ["title", "page_count"], batch=1)
+    held.expire(1)
+    return held.read()
+
+
+@stored(
+    "VEC-07",
+    "texts",
+    sql=r"WITH own AS (SELECT doc_id::VARCHAR AS item_id, doc_id, 'note ' || text AS text FROM texts) SELECT item_id, text, doc_id % 5 = 0 OR doc_id % 7 = 0 AS deleted FROM own UNION ALL SELECT item_id, 'new ' || text, FALSE FROM own WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0",
+)
+def _(spark, at, texts):
+    same = [F.lit(None).cast("string").alias(n) for n in ("book_title", "author_first_name", "author_last_name", "section", "source_file", "date_read")]
+    first = texts.select(F.lit("f1").alias("name"), F.lit("c1").alias("commit"), c("doc_id").alias("pos"), c("doc_id").cast("string").alias("item_id"), F.lit("add").alias("operation"), F.concat(F.lit("note "), "text").alias("content"), *same)
+    later = first.where("pos % 5 = 0 or pos % 7 = 0").withColumns({"name": F.lit("f2"), "commit": F.lit("c2"), "operation": F.when(c("pos") % 7 == 0, "delete").otherwise("update"), "content": F.concat(F.lit("new "), "content")})
+    table, model = vector_store.store(spark, f"{at}/vectors", 16), vector_store.HashEmbedder(384)
+    vector_store.build(table, first, model)
+    vector_store.update(table, first.unionByName(later), model)
+    return table.read().select("item_id", "text", "deleted")
+
+
+@stored("SNK-01", "texts", sql="SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id::VARCHAR AS item_id, lang AS section, text AS content, 'abc' AS commit FROM texts")
+def _(spark, at, texts):
+    none = [F.lit(None).cast("string").alias(n) for n in ("book_title", "author_first_name", "author_last_name", "source_file", "date_read")]
+    items = texts.select(c("doc_id").alias("seq"), c("doc_id").cast("string").alias("item_id"), F.lit("add").alias("operation"), c("lang").alias("section"), c("text").alias("content"), *none)
+    files.write_log(items, {"git_commit_hash": "abc"}, f"{at}/extraction_20240101_000000_abc.json")
+    return files.log(spark, at).select(c("pos").cast("long").alias("pos"), "item_id", "section", "content", "commit")
+
+
+@query("VEC-01", "texts")
+def _(texts):
+    """No SQL: the hash of words is held against the embedder itself in the tests."""
+    return texts.select("doc_id", vector_store.embedded(c("text"), lambda: vector_store.HashEmbedder(64)).alias("vector"))

@@ -18,8 +18,9 @@ def norm(a: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     """Null for a zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(c(a), lambda x: (x / n).cast("float")))
+    # the norm is bound by a transform of its own, so that it is not taken anew for every component
+    each = lambda n: F.when(n > 0, F.transform(c(a), lambda x: (x / n).cast("float")))
+    return F.get(F.transform(F.array(norm(a)), each), F.lit(0))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def author_graph(author: int, authors: DataFrame, books: DataFrame, book_authors: DataFrame, influences: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of an author's books and, from depth 1 on, one hop of influence; empty without the author."""
@@ -23,10 +25,17 @@ def author_graph(author: int, authors: DataFrame, books: DataFrame, book_authors
 
 
 def reach(influences: DataFrame, start: int, hops: int) -> DataFrame:
-    """(node, hop): who is reached from start, at which least number of hops. Each hop adds one join and one aggregate to the plan."""
-    edges = influences.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
-    found = influences.sparkSession.createDataFrame([(start, 0)], "node long, hop int")
-    for _ in range(hops):
-        both = F.array(F.struct("node", "hop"), F.struct(F.col("dst").alias("node"), (F.col("hop") + 1).alias("hop")))
-        found = found.join(edges, F.col("node") == F.col("src"), "left").select(F.inline(both)).where("node is not null").groupBy("node").agg(F.min("hop").alias("hop"))
+    """(node, hop): who is reached from start, at which least number of hops, start included at 0.
+
+    A hop joins its frontier alone, drops who was reached before, and is written, so neither plans nor frontiers grow with the hops
+    that came before; cycles end where nobody is new. Null ends are no edges.
+    """
+    edges = influences.select(F.col("src").cast("long").alias("node"), F.col("dst").cast("long").alias("next")).where("node is not null and next is not null")
+    found = front = influences.sparkSession.createDataFrame([(start, 0)], "node long, hop int")
+    for hop in range(1, hops + 1):
+        new = front.join(edges, "node").select(F.col("next").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+        front = cut(new.withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
     return found

@@ -112,3 +112,32 @@ def swept(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     if "subjects" in out and "book_subjects" in out:
         out["subjects"] = keep("subjects", "book_subjects", "subject_id")
     return out
+
+
+def upserted(old: DataFrame, rows: DataFrame, key: str, values: list[str], order: list[str]) -> DataFrame:
+    """old (key, values) with every key of rows set to its last row's values by order."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("l")).select(key, "l.*")
+    return old.select(key, *values).join(last.select(key), key, "left_anti").unionByName(last)
+
+
+def books_over_runs(old: DataFrame, rows: DataFrame, run: str, order: list[str]) -> DataFrame:
+    """Books (book_id, title, date_read) after several runs: in a run a book's first row counts, over runs the last title and the last
+    date that is one; a date that a run does not have leaves the old one."""
+    first = rows.groupBy("book_id", run).agg(F.min_by(F.struct("title", "date_read"), F.struct(*order)).alias("f"))
+    dated = F.when(F.col("f.date_read").isNotNull(), F.col(run))
+    new = first.groupBy("book_id").agg(F.max_by("f.title", run).alias("new_title"), F.max_by("f.date_read", dated).alias("new_date"))
+    both = old.join(new, "book_id", "full_outer")
+    return both.select("book_id", F.coalesce("new_title", "title").alias("title"), F.coalesce("new_date", "date_read").alias("date_read"))
+
+
+def authors_found(old: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Authors (author_id, name, external_id) with all of wanted (external_id, name) in them.
+
+    An external id that is known is that author, whatever the name. Any other goes by the slug of its name: an author with that id
+    gets the external id, in place of one it may have; without such an author one is made. Of names that share a slug the least
+    external id counts.
+    """
+    new = wanted.join(old.where("external_id is not null").select("external_id"), "external_id", "left_anti")
+    new = new.groupBy(T.slug("name").alias("author_id")).agg(F.min(F.struct("external_id", "name")).alias("n"))
+    both = old.join(new, "author_id", "full_outer")
+    return both.select("author_id", F.coalesce("name", "n.name").alias("name"), F.coalesce("n.external_id", "external_id").alias("external_id"))

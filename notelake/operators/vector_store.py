@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
-import pyarrow as pa
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import text as T
 from ..functions import vectors as V
@@ -44,15 +46,22 @@ class HashEmbedder:
         return out
 
 
-def embedded(text: Column, model: Embedder) -> Column:
-    """The vectors of a text column, in batches."""
+def embedded(text: Column, model: Embedder | Callable[[], Embedder], batch: int = 256) -> Column:
+    """The vectors of a text column; null counts as the empty text. A function that makes the model is called once in each Python
+    worker, and asked for at most `batch` texts at a time; a model that answers with another number or length of vectors fails."""
 
-    @F.arrow_udf("array<float>")
-    def encode(texts: pa.Array) -> pa.Array:
-        made = model.encode(texts.to_pylist())
-        return pa.array(list(made), pa.list_(pa.float32()))
+    def load():
+        own = model() if not hasattr(model, "encode") else model
 
-    return encode(text)
+        def predict(texts: np.ndarray) -> np.ndarray:
+            made = np.asarray(own.encode([str(t) for t in texts]), np.float32)
+            if made.shape != (len(texts), own.dimension):
+                raise ValueError(f"{own.name} made {made.shape} of {len(texts)} texts")
+            return made
+
+        return predict
+
+    return predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch)(F.coalesce(text, F.lit("")))
 
 
 def _notes(items: DataFrame, model: Embedder) -> DataFrame:

@@ -89,10 +89,12 @@ class Buckets(Snapshots):
             return held["version"]
         schema = df.schema.json()
         rows = df.withColumn(BUCKET, self.bucket(held["buckets"]))
+        if not held["version"]:
+            return self._write(held, rows, [], batch, info, schema)
         sums = {k: [n, str(total)] for k, n, total in self._sums(rows).collect()}  # a row a bucket
         same = [k for k, (_, n, total) in held["parts"].items() if sums.get(k) == [n, total]] if _kinds(schema) == _kinds(held["schema"]) else []
         gone = [k for k in held["parts"] if k not in sums]
-        if held["version"] and not gone and len(same) == len(sums) and info is None and batch < 0:
+        if not gone and len(same) == len(sums) and info is None and batch < 0:
             return held["version"]
         return self._write(held, rows.where(~F.col(BUCKET).isin(same)) if same else rows, gone, batch, info, schema)
 

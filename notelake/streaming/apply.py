@@ -68,8 +68,8 @@ def table(spark: SparkSession, root: str, buckets: int = 64) -> Buckets:
     return Buckets(spark, root, "item_id", buckets)
 
 
-def run(spark: SparkSession, directory: str, to: Buckets, checkpoint: str, files: int = 1, keep: int = 2) -> None:
-    """Apply all new files; each consumer has its own table and checkpoint.
+def drain(changed: DataFrame, to: Buckets, checkpoint: str, keep: int = 2) -> None:
+    """Merge all that a stream of changes has now.
 
     A batch writes the buckets of the items that it changes. A batch that was committed and is run again after a crash writes
     nothing; one that was not is merged again from the same state.
@@ -83,7 +83,12 @@ def run(spark: SparkSession, directory: str, to: Buckets, checkpoint: str, files
             batch.unpersist()
         to.expire(keep)
 
-    changes(streamed(spark, directory, files)).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    changed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run(spark: SparkSession, directory: str, to: Buckets, checkpoint: str, files: int = 1, keep: int = 2) -> None:
+    """Apply all new files of the log; each consumer has its own table and checkpoint."""
+    drain(changes(streamed(spark, directory, files)), to, checkpoint, keep)
 
 
 def windowed_counts(events: DataFrame, ts: str, late: str, width: str, key: str) -> DataFrame:

@@ -448,3 +448,38 @@ def test_stream_is_the_replay(spark, tmp_path):
 def test_reach(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "src long, dst long")
     assert sorted(tuple(r) for r in graph.reach(edges, 1, 3).collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+
+
+def test_embeddings_do_not_depend_on_batches(spark):
+    texts = [("a b", 0), (None, 1), ("", 2), *((f"word{i} and {i % 7}", i) for i in range(3, 40))]
+    rows = spark.createDataFrame(texts, "text string, id int")
+    model = vector_store.HashEmbedder(16)
+    want = {i: model.encode([t or ""])[0].tolist() for t, i in texts}
+    for parts, batch in ((1, 256), (7, 3), (3, 1)):
+        got = rows.repartition(parts).select("id", vector_store.embedded(F.col("text"), lambda: vector_store.HashEmbedder(16), batch).alias("v"))
+        assert {r["id"]: r["v"] for r in got.collect()} == want
+
+    class Short(vector_store.HashEmbedder):
+        def encode(self, texts):
+            return super().encode(texts)[:, :-1]
+
+    with pytest.raises(Exception, match="made"):
+        rows.select(vector_store.embedded(F.col("text"), Short(16))).collect()
+
+
+def test_hops_end_in_cycles_and_plans_stay_small(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(6, 0), (2, 2), (None, 3), (3, None)], "src long, dst long")
+    got = graph.reach(edges, 0, 50)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i) for i in range(7)]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_upserts_keep_their_order(spark):
+    old = spark.createDataFrame([("a", "A", "2020"), ("b", "B", None)], "book_id string, title string, date_read string")
+    rows = spark.createDataFrame([("a", "run1-first", None, 1, 0), ("a", "run1-later", "1999", 1, 1), ("b", "x", "2021", 1, 2), ("b", "y", None, 2, 0), ("b", "z", "2022", 2, 1), ("c", "new", None, 2, 2)], "book_id string, title string, date_read string, run int, n int")
+    assert sorted(tuple(r) for r in load.books_over_runs(old, rows, "run", ["n"]).collect()) == [("a", "run1-first", "2020"), ("b", "y", "2021"), ("c", "new", None)]
+    names = spark.createDataFrame([("n", "1", 1), ("n", "3", 3), ("n", "2", 2)], "name string, v string, at int")
+    assert [tuple(r) for r in load.upserted(names.limit(0).select("name", "v"), names, "name", ["v"], ["at"]).collect()] == [("n", "3")]
+    known = spark.createDataFrame([("jane-doe", "Jane Doe", None), ("x", "Old Name", "Q1"), ("poe", "Poe", "Q9")], "author_id string, name string, external_id string")
+    wanted = spark.createDataFrame([("Q1", "Another Name"), ("Q2", "Jane Doe"), ("Q3", "Poe"), ("Q4", "Fresh One")], "external_id string, name string")
+    assert sorted(tuple(r) for r in load.authors_found(known, wanted).collect()) == [("fresh-one", "Fresh One", "Q4"), ("jane-doe", "Jane Doe", "Q2"), ("poe", "Poe", "Q3"), ("x", "Old Name", "Q1")]
