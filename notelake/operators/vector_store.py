@@ -61,7 +61,8 @@ def embedded(text: Column, model: Embedder | Callable[[], Embedder], batch: int
 
         return predict
 
-    return predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch)(F.coalesce(text, F.lit("")))
+    # not deterministic as far as plans know: a filter on the vectors must not make them a second time
+    return predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch).asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def _notes(items: DataFrame, model: Embedder) -> DataFrame:
