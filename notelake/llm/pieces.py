@@ -27,6 +27,7 @@ from .common import bounded, columns, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+ALONE = "\ud800"
 SLICE = 400_000  # units that are sampled together
 KNOWN = 200_000  # units whose lattices a process keeps
 SLOTS = 1 << 19
@@ -175,8 +176,8 @@ class Pieces:
         return ends, end, np.where(last, 2.0, inner), piece, size
 
     def split(self, text: str) -> list[str]:
-        """Units of a text; marks of the text itself become a private sign that has no piece."""
-        return re.findall(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+", MARK + text.replace(MARK, "\U0010fffe").replace(" ", MARK))
+        """Units of a text; marks of the text itself become a lone surrogate, which no text holds and no piece has."""
+        return re.findall(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+", MARK + text.replace(MARK, ALONE).replace(" ", MARK))
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
         """Piece numbers of each text. keys: uint64 per text."""
@@ -223,7 +224,7 @@ class Pieces:
         out, last = [], 0
         for i in at.tolist():
             ch = chr(int(ids[i]) - self.size)
-            ch = MARK if ch == "\U0010fffe" else ch
+            ch = MARK if ch == ALONE else ch
             out += [ids[last:i], self.bytes_at[list(ch.encode())]]
             last = i + 1
         return np.concatenate([*out, ids[last:]])

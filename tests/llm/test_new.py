@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from notelake.llm import collocations, pii, queries, resampling
+from notelake.llm import collocations, pieces, pii, queries, resampling
 
 from .test_llm import SF, awkward
 
@@ -188,3 +188,11 @@ def test_runs_of_several_words():
     assert resampling.features(words, 1, 3, 1000).tolist() == [zlib.crc32(w) % 1000 for w in whole]
     assert resampling.features(words, 2, 2, 1000).tolist() == [zlib.crc32(w) % 1000 for w in whole[3:5]]
     assert not len(resampling.features([], 1, 2, 1000))
+
+
+def test_marks_and_private_signs_come_back(spark):
+    texts = ["▁", "\U0010fffe", "a▁b \U0010fffe▁\U0010ffff c", "\ue000 ▁▁ \ufffe", "\U0010fffe" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    coded = pieces.encode(docs, seed=1)
+    assert {r["doc_id"]: r["text"] for r in pieces.decode(coded).collect()} == dict(enumerate(texts))
+    assert all(r["lossless"] for r in pieces.encode(docs, seed=1, digest=True).collect())
