@@ -11,6 +11,7 @@ from .operators import cdc, enrich, enrich_flow, graph, load, markdown, quality_
 from .plans.views import duck, view
 from .sources import files, shared
 from .sources.buckets import Buckets
+from .sources.tables import Database
 from .streaming import apply
 
 QUERIES: dict = {}
@@ -1332,6 +1333,30 @@ def _(spark, at, texts):
     return files.log(spark, at).select(c("pos").cast("long").alias("pos"), "item_id", "section", "content", "commit")
 
 
+_TYPES = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS type"
+
+
+@stored("SRC-06", "books", "authors", "book_authors", sql=" UNION ALL ".join(f"SELECT '{t}' AS \"table\", column_name AS \"column\", {_TYPES} FROM (DESCRIBE SELECT * FROM {t} )" for t in ("books", "authors", "book_authors")))
+def _(spark, at, *tables):
+    base = Database(spark, at.rpartition("/")[2].replace("-", "_"), at)
+    for name, df in zip(("books", "authors", "book_authors"), tables, strict=True):
+        base.create(name, df.limit(0))
+    found = base.columns().select("table", "column", "type")
+    base.clear()
+    return found
+
+
+@stored("DML-14", "books", sql="SELECT book_id, title FROM books WHERE book_id % 2 = 0 UNION ALL SELECT book_id, title FROM books WHERE book_id % 3 = 0")
+def _(spark, at, books):
+    # made once (the second create does nothing), added to, its columns found by name
+    base = Database(spark, at.rpartition("/")[2].replace("-", "_"), at)
+    own = books.select("book_id", "title")
+    base.create("books", own.where("book_id % 2 = 0"))
+    base.create("books", own.where("book_id % 5 = 0"))
+    base.append("books", own.where("book_id % 3 = 0").select("title", "book_id"))
+    return base.read("books")
+
+
 @query("VEC-01", "texts")
 def _(texts):
     """No SQL: the hash of words is held against the embedder itself in the tests."""

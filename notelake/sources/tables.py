@@ -69,6 +69,53 @@ def catalog(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "table string, column string, type string, nullable boolean")
 
 
+class Database:
+    """Tables in Spark's own catalog: create, append, delete, drop, list and describe them by name."""
+
+    def __init__(self, spark: SparkSession, name: str, location: str | None = None):
+        self.spark, self.name = spark, name
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`" + (f" LOCATION '{location}'" if location else ""))
+
+    def _of(self, table: str) -> str:
+        return f"`{self.name}`.`{table}`"
+
+    def create(self, table: str, df: DataFrame, replace: bool = False) -> bool:
+        """Whether the table was made: one that exists stays as it is, unless it is to be replaced."""
+        if self.exists(table) and not replace:
+            return False
+        df.write.mode("overwrite").saveAsTable(self._of(table))
+        return True
+
+    def append(self, table: str, df: DataFrame) -> None:
+        """Columns go by name; a table without one of them, or of another type, refuses the rows."""
+        self.spark.table(self._of(table))  # an unknown table fails here, it is not made
+        df.write.mode("append").saveAsTable(self._of(table))
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.table(self._of(table))
+
+    def exists(self, table: str) -> bool:
+        return self.spark.catalog.tableExists(self._of(table))
+
+    def drop(self, table: str) -> bool:
+        """Whether there was one."""
+        there = self.exists(table)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._of(table)}")
+        return there
+
+    def tables(self) -> list[str]:
+        return sorted(t.name for t in self.spark.catalog.listTables(f"`{self.name}`") if not t.isTemporary)
+
+    def columns(self) -> DataFrame:
+        """(table, position from 1, column, type, nullable) of all tables: what the catalog holds, no data is read."""
+        rows = [(t, i, c.name, c.dataType, c.nullable) for t in self.tables() for i, c in enumerate(self.spark.catalog.listColumns(self._of(t)), 1)]
+        return self.spark.createDataFrame(rows, "table string, position int, column string, type string, nullable boolean")
+
+    def clear(self) -> None:
+        """Drops the database and all its tables."""
+        self.spark.sql(f"DROP DATABASE IF EXISTS `{self.name}` CASCADE")
+
+
 def migration_name(stem: str) -> tuple[int, str] | None:
     """(version, name) of ``001_some_name``; None for any other."""
     number, _, name = stem.partition("_")

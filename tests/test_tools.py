@@ -14,7 +14,7 @@ from notelake import cli
 from notelake.operators import cdc, enrich, enrich_flow, extract, graph, load, markdown, quality_rules, search, vector_store
 from notelake.sources import files, git
 from notelake.sources.buckets import Buckets
-from notelake.sources.tables import Snapshots, catalog, migration_name, migration_stem
+from notelake.sources.tables import Database, Snapshots, catalog, migration_name, migration_stem
 from notelake.streaming import apply
 
 ITEM = "item_id string, operation string, book_title string, author_first_name string, author_last_name string, section string, content string, source_file string, date_read string"
@@ -483,3 +483,19 @@ def test_upserts_keep_their_order(spark):
     known = spark.createDataFrame([("jane-doe", "Jane Doe", None), ("x", "Old Name", "Q1"), ("poe", "Poe", "Q9")], "author_id string, name string, external_id string")
     wanted = spark.createDataFrame([("Q1", "Another Name"), ("Q2", "Jane Doe"), ("Q3", "Poe"), ("Q4", "Fresh One")], "external_id string, name string")
     assert sorted(tuple(r) for r in load.authors_found(known, wanted).collect()) == [("fresh-one", "Fresh One", "Q4"), ("jane-doe", "Jane Doe", "Q2"), ("poe", "Poe", "Q3"), ("x", "Old Name", "Q1")]
+
+
+def test_database(spark, tmp_path):
+    base = Database(spark, "some_notes", f"file://{tmp_path}/db")
+    rows = spark.createDataFrame([(1, "a")], "n long, t string")
+    assert base.create("one", rows) and not base.create("one", rows.limit(0)) and base.read("one").count() == 1 and base.tables() == ["one"]
+    base.append("one", rows.select("t", "n"))
+    assert [tuple(r) for r in base.read("one").collect()] == [(1, "a")] * 2 and (tmp_path / "db" / "one").exists()
+    with pytest.raises(Exception):
+        base.append("one", rows.withColumn("x", F.lit(1)))
+    with pytest.raises(Exception):
+        base.append("two", rows)
+    assert base.create("one", rows.select("t"), replace=True) and [tuple(r) for r in base.columns().collect()] == [("one", 1, "t", "string", True)]
+    assert base.drop("one") and not base.drop("one") and not base.exists("one") and base.columns().count() == 0
+    base.clear()
+    assert not spark.catalog.databaseExists("some_notes")
