@@ -42,7 +42,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         names = cut(bucket.withColumn("nth", nth).join(F.broadcast(starts), "bucket").select("id", "th", (F.col("start") + F.col("nth")).alias("doc_id")))  # a row a bucket
         named = texts.join(names, ["id", "th"]).select("doc_id", "text")
     groups = ngram_join.jaccard_groups(named, n=5, percent=80)
-    heads = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").join(names, "doc_id").select("id", "th")
+    # the least id of a group, whatever number its text goes by: both ways of naming keep the same rows
+    heads = groups.select("doc_id", "component_id").join(names, "doc_id").groupBy("component_id").agg(F.min(F.struct("id", "th")).alias("head")).select("head.id", "head.th")
     once = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64("rest")))
     first = rows.where("not alone").join(heads, ["id", "th"]).withColumn("nth", once).where("nth = 1")
     return restored(rows.where("alone").select("rest").unionByName(first.select("rest")), docs)
