@@ -196,3 +196,14 @@ def test_marks_and_private_signs_come_back(spark):
     coded = pieces.encode(docs, seed=1)
     assert {r["doc_id"]: r["text"] for r in pieces.decode(coded).collect()} == dict(enumerate(texts))
     assert all(r["lossless"] for r in pieces.encode(docs, seed=1, digest=True).collect())
+
+
+def test_the_smallest_id_stays_whatever_else_repeats(spark):
+    cp = pytest.importorskip("corpus_pipeline")
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base, f"tail{i}"])) for i in range(1, 9)] + [(i, " ".join([*(f"v{j}" for j in range(200)), f"end{i}"])) for i in range(40, 60)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = lambda more: sorted(r["doc_id"] for r in cp.drop_near_copies(spark, spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows + more], shape), SF).collect())
+    assert kept([]) == [1, 40]
+    # two unrelated texts share an id: what stays of the others is the same
+    assert kept([(500, " ".join(f"x{j}" for j in range(50))), (500, " ".join(f"y{j}" for j in range(50)))]) == [1, 40, 500, 500]
