@@ -17,8 +17,8 @@ prefix (what is beyond goes to step 3 at once), and settles its other copies its
 documents is a few rows a task.
 
 Defined results: null or blank text - no words, nothing removed; null doc_id - before every other id; rows that repeat
-both id and text are one document (they lose the same words); equal ids with other texts are ordered by a text hash; texts of
-any length are read whole; extra columns do not matter; empty table - empty result.
+both id and text are one document (they lose the same words); equal ids with other texts are told apart, and ordered, by all
+64 bits of a text hash; texts of any length are read whole; extra columns do not matter; empty table - empty result.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def covered(n: int, starts: np.ndarray, span: int) -> np.ndarray:
 def repeated_starts(docs: DataFrame, span: int, seed: int, carry: bool) -> DataFrame:
     """docs as (k, text, starts, repeats, -, rest): windows that also begin earlier begin at starts and in the runs of repeats."""
     own = columns(bounded(docs), "doc_id", "text", carry=carry)
-    texts = own.select(id_key().alias("k"), F.coalesce(F.shiftright(F.xxhash64("text"), 33).cast("int"), F.lit(0)).alias("th"), "text", F.col("rest") if carry else F.lit(None).cast("boolean").alias("rest"))
+    texts = own.select(id_key().alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text", F.col("rest") if carry else F.lit(None).cast("boolean").alias("rest"))
 
     def suffixes(batches):
         def forward(held):
@@ -116,14 +116,14 @@ def repeated_starts(docs: DataFrame, span: int, seed: int, carry: bool) -> DataF
                     continue
                 h = word_hashes(words)
                 key, start, count = elect(h, span, seed)
-                held.append((key, stretch_hashes(h, start, count + span - 1), np.full(len(key), k, np.int64), np.full(len(key), th, np.int32), start, count))
+                held.append((key, stretch_hashes(h, start, count + span - 1), np.full(len(key), k, np.int64), np.full(len(key), th, np.int64), start, count))
                 size += len(key)
                 if size > BUFFER:
                     yield from forward(held)
                     held, size = [], 0
         yield from forward(held)
 
-    found = texts.select("k", "th", "text").mapInArrow(suffixes, "key long, reach long, kind tinyint, k long, th int, start int, n int")
+    found = texts.select("k", "th", "text").mapInArrow(suffixes, "key long, reach long, kind tinyint, k long, th long, start int, n int")
     group, place = Window.partitionBy("key"), F.struct("k", "th", "start")
     settled = F.col("kind").isin(REPEAT, CHECK)
     branches = (F.min("reach").over(group) != F.max("reach").over(group)) | (F.max(F.col("kind") == CROWDED).over(group))
@@ -157,14 +157,14 @@ def repeated_starts(docs: DataFrame, span: int, seed: int, carry: bool) -> DataF
                 if not len(at):
                     continue
                 one, two = window_hashes(word_hashes(text.split()), at, span)
-                held.append((one, two, np.full(len(at), k, np.int64), np.full(len(at), th, np.int32), at.astype(np.int32)))
+                held.append((one, two, np.full(len(at), k, np.int64), np.full(len(at), th, np.int64), at.astype(np.int32)))
                 size += len(at)
                 if size > BUFFER // 2:
                     yield from forward(held)
                     held, size = [], 0
         yield from forward(held)
 
-    inner = texts.join(alive, ["k", "th"]).select("k", "th", "text", "runs", "repeats", "rest").mapInArrow(windows, "one long, two int, k long, th int, start int")
+    inner = texts.join(alive, ["k", "th"]).select("k", "th", "text", "runs", "repeats", "rest").mapInArrow(windows, "one long, two int, k long, th long, start int")
     first = F.min(F.struct("k", "th", "start")).over(Window.partitionBy("one", "two"))
     again = inner.withColumn("first", first).where((F.col("two") < 0) | (F.struct("k", "th", "start") != F.col("first")))
     # all columns go on, so that the dealt texts and runs are read twice and not made twice
