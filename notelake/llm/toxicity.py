@@ -2,8 +2,9 @@
 
 Two bigram models, toxic and ordinary, are estimated from labelled texts. Pairs back off to continuation counts of words,
 words to those of their stems (the first STEM bytes), and stems to one shared distribution: document counts over all
-documents. An expression that both classes together show fewer than RARE times has no class count of its own: both models
-read it from what it backs off to, in the end from the shared counts, where it speaks for neither. The difference of the log-likelihoods, length-normalised, of the
+documents. An expression that both classes together show too rarely, which follows the size of the sample up to RARE
+times, has no class count of its own: both models read it from what it backs off to, in the end from the shared counts,
+where it speaks for neither. The difference of the log-likelihoods, length-normalised, of the
 whole text and of its worst window, and its strongly toxic part (words beyond one nat), go through a logistic curve,
 which is fitted on a fifth of the sample that the counts do not see.
 
@@ -27,8 +28,9 @@ from .samples import fold, labelled
 
 BITS = 20
 DISCOUNT = 0.75
-RARE = 32  # of a word or pair; this and RARE_STEM by cross-validation inside the rows that may be learned from
+RARE = 32  # of a word or pair, at most; this, RARE_STEM and TEXTS by cross-validation inside the rows that may be learned from
 RARE_STEM = 48
+TEXTS = 64  # counted texts for each time: a sample of n shows an expression n / TEXTS times before it speaks for itself, twice at least
 STEM = 5  # bytes
 WINDOW = 6
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -94,12 +96,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
+def thresholds(texts: int) -> tuple[int, int]:
+    """Occurrences from which words and pairs, and stems, are read from the classes' counts."""
+    rare = max(2, texts // TEXTS)
+    return min(RARE, rare), min(RARE_STEM, rare * 3 // 2)
+
+
 def train(docs: DataFrame, sample: DataFrame) -> Model:
     """sample: (text, y), bounded. All that comes to the driver is bounded by the sample or by 2**BITS."""
     sample = cut(sample)
     # the curve is fitted on texts that the counts have not seen
     apart = sample.where(F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
     sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(5)) > 0)
+    rare, rare_stem = thresholds(sample.count())
     seen = bucket_counts(columns(docs, "text"), known, BITS + 1) + 1
     of_word, of_stem = seen[: 2**BITS].astype(float), seen[2**BITS :].astype(float)
 
@@ -124,13 +133,13 @@ def train(docs: DataFrame, sample: DataFrame) -> Model:
     of = [np.bincount(s, x, 2**BITS) for x in c]
     share = of_stem / of_stem.sum()
     stem = [discounted(x, share) for x in of]
-    stems = np.where(of[0] + of[1] >= RARE_STEM, np.log(stem[1] / stem[0]), 0).astype(np.float32)
+    stems = np.where(of[0] + of[1] >= rare_stem, np.log(stem[1] / stem[0]), 0).astype(np.float32)
     word = [discounted(x, p[s] * np.minimum(of_word[w] / of_stem[s], 1)) for x, p in zip(c, stem, strict=True)]
     table = np.full(2**BITS, np.nan, np.float32)
-    often = c[0] + c[1] >= RARE
+    often = c[0] + c[1] >= rare
     table[w[often]] = np.log(word[1] / word[0])[often]
     context = counts.groupBy("v").agg(*types, F.sum("n0").alias("s0"), F.sum("n1").alias("s1"))
-    both = counts.where(f"n0 + n1 >= {RARE} and key >= {2**BITS}").select("v", "w", "key", "n0", "n1").join(context, "v").toPandas().sort_values("key")
+    both = counts.where(f"n0 + n1 >= {rare} and key >= {2**BITS}").select("v", "w", "key", "n0", "n1").join(context, "v").toPandas().sort_values("key")
     back, q = np.zeros(2**BITS), []
     for k in (0, 1):
         back[w] = word[k]
