@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import bounded, columns, cut, gram_hashes, mix, raw, word_hashes
 from .components import components
-from .counting import bucket_counts
+from .counting import Tally, total
 
 BITS = 20
 BLOCK = 512  # documents of a family that meet in one task, and half of the largest task
 BUCKETS = 256  # of a histogram
 PACK = 2_048  # rows of small groups that are compared in one task: as many as a pair of blocks has
+SMALL = 32  # documents of a group whose pairs are compared with those of other groups, an array at a time
+PAIRS = 4_096  # pairs of an array: 2 MB of histograms a side
 RECENT = 200_000  # sets that a task remembers, so as not to deal their copies again
 ORDERS = (np.uint64(0x1B873593A5A5A5A5), np.uint64(0x85EBCA6B9E3779B1), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -64,6 +66,22 @@ def near(counts: np.ndarray, sizes: np.ndarray, percent: int):
         yield i, i + 1 + np.flatnonzero((100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[i + 1 :]))
 
 
+def near_small(counts: np.ndarray, sizes: np.ndarray, by: np.ndarray, edges: np.ndarray, percent: int):
+    """near() for all groups by[edges[k] : edges[k + 1]] of at most SMALL rows together: arrays (i, j) of rows, PAIRS pairs at a time."""
+    length = np.diff(edges)
+    left = np.repeat(np.where(length <= SMALL, edges[1:], 0), length) - np.arange(len(by))  # rows of the group from here on
+    for apart in range(1, int(left.max(initial=0))):
+        first = np.flatnonzero(left > apart)
+        i, j = by[first], by[first + apart]
+        most = (100 - percent) * (sizes[i] + sizes[j])
+        fit = (100 + percent) * np.abs(sizes[i] - sizes[j]) <= most
+        i, j, most = i[fit], j[fit], most[fit]
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            linked = (100 + percent) * np.abs(counts[a] - counts[b]).sum(axis=1, dtype=np.int64) <= most[at : at + PAIRS]
+            yield a[linked], b[linked]
+
+
 def prefix(tokens: np.ndarray, rarity: np.ndarray, order: np.uint64, percent: int) -> np.ndarray:
     """The tokens that come first in a global order, as many as the threshold asks for."""
     n = len(tokens)
@@ -164,18 +182,26 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, class_id (smallest id with the same set), n_links (other documents linked), text_hash."""
     spark = docs.sparkSession
     texts = columns(bounded(docs), "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    seen = bucket_counts(texts.select("text"), lambda t: shingles(t, n), BITS)
-    rare = spark.sparkContext.broadcast(np.floor(np.log2(np.maximum(seen, 1))).astype(np.uint8))  # 1 MB
 
     def sketch(batches):
+        tally = Tally(BITS)
         for batch in batches:
             found = [shingles(t, n) for t in raw(batch.column(1))]
+            tally.add(found)
             h1 = [fingerprint(s) for s in found]
             h2 = [int(mix(s ^ ORDERS[2]).sum().astype(np.int64)) if len(s) else 0 for s in found]
             sizes, counts = pa.array([len(s) for s in found], pa.int64()), pa.array([histogram(s) for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), counts], names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "counts"])
-
-    sets = cut(texts.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, counts binary"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), counts, pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.int32())], names=names)
+        # the task's counts of buckets follow its sketches, so that texts are not read a second time for them
+        chunk, part, counts = tally.rows()
+        none = pa.nulls(len(chunk), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, counts, chunk, part], names=names)
+
+    names = ["doc_id", "text_hash", "n_shingles", "h1", "h2", "counts", "chunk", "part"]
+    made = cut(texts.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, counts binary, chunk int, part int"))
+    seen = total(made.where("chunk is not null").select("chunk", "part", "counts"), BITS)
+    rare = spark.sparkContext.broadcast(np.floor(np.log2(np.maximum(seen, 1))).astype(np.uint8))  # 1 MB
+    sets = made.where("chunk is null").drop("chunk", "part")
     classes = cut(sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.countDistinct("doc_id").alias("class_n"), F.min("counts").alias("counts")))
     linked = _links(texts, classes, rare, n, percent)
     groups = components(linked.where("b is not null"))
@@ -239,7 +265,11 @@ def _links(texts: DataFrame, classes: DataFrame, rare, n: int, percent: int) ->
         names, place = np.unique(ids, return_inverse=True)
 
         def pairs():
+            for i, j in near_small(counts, sizes, by, edges, percent):
+                yield from zip(place[i].tolist(), place[j].tolist(), strict=True)
             for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if end - start <= SMALL:
+                    continue
                 own = by[start:end]
                 for i, js in near(counts[own], sizes[own], percent):
                     at = int(place[own[i]])

@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 ALONE = "\ud800"
 SLICE = 400_000  # units that are sampled together
-KNOWN = 200_000  # units whose lattices a process keeps
+KNOWN = 200_000  # units whose lattices a task keeps
 SLOTS = 1 << 19
 WIDE = 1 << 21  # more than any code point
 
@@ -72,7 +72,7 @@ class Pieces:
         self.piece_of[list(ends)] = list(ends.values())
         self.weight, self.worst = weight, -np.log(len(self.text) + 2.0) * sharpness
         self.size = len(self.text)
-        self._forget()
+        self.forget()
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ class Pieces:
             off = off[(now != keys[off]) & (now >= 0)]
         return held == keys, self.next[slot]
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Start over with no unit known."""
         self.known: dict[str, int] = {}
         self.starts, self.ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -100,7 +100,7 @@ class Pieces:
         """Add the lattices of units that are not known yet."""
         new = sorted(units - self.known.keys())
         if len(self.known) + len(new) > KNOWN:
-            self._forget()
+            self.forget()
             new = sorted(units)
         if not new:
             return
@@ -252,22 +252,29 @@ def encode(docs: DataFrame, seed: int = 1, sharpness: float = 1.0, model: str =
 
     def run(batches):
         p = load(model, sharpness)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keys = mix(np.array([k or 0 for k in batch.column(0).to_pylist()], np.int64).astype(np.uint64))
-            weight = np.cumsum([len(t or "") // 4 + 1 for t in texts]) // SLICE
-            found: list[np.ndarray] = []
-            for a, b in zip(*(lambda c: (c, [*c[1:], len(texts)]))([0, *(np.flatnonzero(np.diff(weight)) + 1).tolist()]), strict=True):
-                part = p.sample(texts[a:b], keys[a:b], seed)
+        try:
+            for batch in batches:
+                # rows of one key and text, such as copies that a mix makes, have one segmentation: it is drawn once a batch
+                nth: dict[tuple[int, str | None], int] = {}
+                row = [nth.setdefault((k or 0, t), len(nth)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                texts = [t for _, t in nth]
+                keys = mix(np.array([k for k, _ in nth], np.int64).astype(np.uint64))
+                weight = np.cumsum([len(t or "") // 4 + 1 for t in texts]) // SLICE
+                found: list[np.ndarray] = []
+                for a, b in zip(*(lambda c: (c, [*c[1:], len(texts)]))([0, *(np.flatnonzero(np.diff(weight)) + 1).tolist()]), strict=True):
+                    part = p.sample(texts[a:b], keys[a:b], seed)
+                    if digest:
+                        part = [(len(x), zlib.crc32(x.astype("<i4").tobytes()), p.decode(x.tolist()) == (t or "").encode()) for x, t in zip(part, texts[a:b], strict=True)]
+                    found += part
+                none = [t is None for t in texts]
                 if digest:
-                    part = [(len(x), zlib.crc32(x.astype("<i4").tobytes()), p.decode(x.tolist()) == (t or "").encode()) for x, t in zip(part, texts[a:b], strict=True)]
-                found += part
-            none = [t is None for t in texts]
-            if digest:
-                made = [pa.array([None if z else f[i] for f, z in zip(found, none, strict=True)], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
-            else:
-                made = [pa.array([None if z else f.astype(np.int32) for f, z in zip(found, none, strict=True)], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], names=["doc_id", *(("n_pieces", "pieces_crc32", "lossless") if digest else ("pieces",)), *batch.schema.names[2:]])
+                    made = [pa.array([None if z else f[i] for f, z in zip(found, none, strict=True)], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+                else:
+                    made = [pa.array([None if z else f.astype(np.int32) for f, z in zip(found, none, strict=True)], pa.list_(pa.int32()))]
+                made = [m.take(pa.array(row, pa.int64())) for m in made] if len(nth) < len(row) else made
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], names=["doc_id", *(("n_pieces", "pieces_crc32", "lossless") if digest else ("pieces",)), *batch.schema.names[2:]])
+        finally:  # workers are used again, by stages that need their memory
+            p.forget()
 
     texts = columns(bounded(docs), "doc_id", "text", *rest).withColumn("doc_id", F.col("doc_id").cast("long"))
     kind = "n_pieces long, pieces_crc32 long, lossless boolean" if digest else "pieces array<int>"

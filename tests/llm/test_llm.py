@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -545,3 +546,50 @@ def test_links_at_eighty_percent_with_shared_passages_and_empty_parts(spark):
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(docs, n=5, percent=80).collect()}
     assert got == dict(enumerate(up))
     assert len(set(up)) < len(texts)
+
+
+def test_small_groups_are_compared_together():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 4, (5, ngram_join.BUCKETS))
+    counts = (base[rng.integers(0, 5, 400)] + (rng.random((400, ngram_join.BUCKETS)) < 0.03)).astype(np.int16)
+    sizes, key = counts.sum(axis=1).astype(np.int64), rng.integers(0, 90, 400)
+    key[:45] = 7  # a group that is too large
+    by = np.lexsort((np.arange(400), key))
+    edges = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1], [True])))
+    got = sorted((int(a), int(b)) for i, j in ngram_join.near_small(counts, sizes, by, edges, 80) for a, b in zip(i, j, strict=True))
+    want = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a <= ngram_join.SMALL:
+            own = by[a:b]
+            want += [(int(own[i]), int(own[j])) for i, js in ngram_join.near(counts[own], sizes[own], 80) for j in js]
+    assert got == sorted(want) and len(got) > 20 and int(np.diff(edges).max()) > ngram_join.SMALL
+
+
+def test_texts_are_read_twice_for_sketches_and_parts(spark, monkeypatch):
+    """The counts of shingles come with the sketches, not from a reading of their own."""
+    from notelake.llm import counting
+
+    monkeypatch.setattr(counting, "bucket_counts", None)
+    assert not hasattr(ngram_join, "bucket_counts")
+    docs = spark.createDataFrame([(i, f"alpha beta gamma delta {i % 3} epsilon zeta eta theta") for i in range(30)], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.jaccard_groups(docs).collect()} == {0, 1, 2}
+
+
+def test_copies_are_segmented_once(spark, monkeypatch):
+    class Counted(pieces.Pieces):
+        def sample(self, texts, keys, seed):
+            assert len(set(zip(texts, keys.tolist(), strict=True))) == len(texts)
+            return super().sample(texts, keys, seed)
+
+    texts = [(1, "one two three"), (1, "one two three"), (2, "one two three"), (1, "other words"), (None, None), (None, None), (3, "")]
+    docs = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(texts * 3)], "doc_id long, text string, i int").coalesce(1)
+    with_copies = {r["i"]: r["pieces"] for r in pieces.encode(docs, rest=("i",)).collect()}
+    assert with_copies == {r["i"]: r["pieces"] for i in range(len(texts)) for r in pieces.encode(docs.where(F.col("i") % len(texts) == i).repartition(3), rest=("i",)).collect()}
+    held, kept = pieces.load(), {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: kept.setdefault("kernel", f) and self)
+    pieces.encode(docs.select("doc_id", "text"), digest=True)
+    monkeypatch.setitem(pieces._loaded, (pieces.MODEL, 1.0), Counted(pieces.MODEL, 1.0))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in texts * 3], "text": [t for _, t in texts * 3]})
+    made = list(kept["kernel"](iter([batch, batch])))
+    assert [b.num_rows for b in made] == [len(texts) * 3] * 2 and held is not pieces.load()
+    assert len(pieces.load().known) == 0 and len(pieces.load().cumulative) == 0  # a worker that is used again holds no lattices
