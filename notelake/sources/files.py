@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ITEM = "struct<item_id:string,operation:string,book_title:string,author_first_name:string,author_last_name:string,section:string,content:string,source_file:string,date_read:string>"
@@ -23,13 +23,67 @@ def log_name(name: Column) -> tuple[Column, Column]:
     return at, F.when(at.isNotNull(), F.get(parts, F.lit(3)))
 
 
-def log(spark: SparkSession, directory: str) -> DataFrame:
-    """(name, commit, pos, item columns) of all extraction logs; a malformed file fails the read."""
-    raw = spark.read.schema(LOG).options(multiLine=True, mode="FAILFAST", pathGlobFilter="extraction_*.json").json(directory)
+HEAD, OPEN, CLOSE = '{"extraction_metadata": ', ', "items": [', "]}"
+LARGE = 2**25
+
+
+def log(spark: SparkSession, directory: str, large: int = LARGE) -> DataFrame:
+    """(name, commit, pos, item columns) of all extraction logs; a malformed file fails the read.
+
+    A file of `large` bytes or more with an item a line, as write_log makes them, is read in splits by many tasks; a file of any other
+    layout is parsed whole by one task, which holds it.
+    """
+    lined, rest = _layouts(spark, directory, large)
+    if not lined:
+        return _whole(spark, [directory])
+    rows = _by_line(spark, lined)
+    return rows.unionByName(_whole(spark, rest)) if rest else rows
+
+
+def _layouts(spark: SparkSession, directory: str, large: int) -> tuple[list[str], list[str]]:
+    """Paths of the large logs that begin with a line of metadata and have an item, or the end, in the next; and of all others."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(directory, "extraction_*.json")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    lined, rest = [], []
+    for s in fs.globStatus(at) or []:
+        first = second = None
+        if s.getLen() >= large and not s.getPath().getName().endswith((".gz", ".bz2")):
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(s.getPath()), "UTF-8"))
+            first, second = lines.readLine(), lines.readLine()  # metadata and an item
+            lines.close()
+        own = first is not None and second is not None and first.startswith(HEAD) and first.endswith(OPEN) and (second == "" or second.startswith("{") and second.rstrip(",").endswith("}"))
+        (lined if own else rest).append(s.getPath().toString())
+    return lined, rest
+
+
+def _whole(spark: SparkSession, paths: list[str]) -> DataFrame:
+    raw = spark.read.schema(LOG).options(multiLine=True, mode="FAILFAST", pathGlobFilter="extraction_*.json").json(paths)
     rows = raw.select(F.col("_metadata.file_name").alias("name"), F.col("extraction_metadata.git_commit_hash").alias("commit"), F.posexplode("items").alias("pos", "item"))
     return rows.select("name", "commit", "pos", "item.*")
 
 
+def _by_line(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Items by line: a line's number is its place in its split and the lines of the splits before; each file's first, last and other lines are checked."""
+    text = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = text.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max(F.when(F.col("value").startswith(HEAD), F.col("value"))).alias("head"))
+    own = Window.partitionBy("path")  # a row a split
+    before = F.coalesce(F.sum("n").over(own.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("path", "block", "least", before.alias("before"), F.sum("n").over(own).alias("lines"), F.first("head").over(own.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("head"))
+    meta = F.from_json(F.concat("head", F.lit(CLOSE)), LOG, {"mode": "FAILFAST"})
+    splits = splits.withColumn("commit", meta["extraction_metadata"]["git_commit_hash"]).drop("head")
+    rows = text.join(F.broadcast(splits), ["path", "block"])  # a row a split
+    rows = rows.withColumn("nth", F.col("before") + F.col("id") - F.col("least"))
+    last, value = F.col("lines") - 1, F.col("value")
+    none = (value == "") & (F.col("nth") == 1) & (last == 2)
+    comma = value.endswith(",") == (F.col("nth") < last - 1)
+    fits = F.when(F.col("nth") == 0, value.startswith(HEAD) & value.endswith(OPEN)).when(F.col("nth") == last, value == CLOSE).otherwise(none | value.startswith("{") & comma)
+    broken = F.raise_error(F.concat(F.lit("malformed extraction log "), F.col("path"), F.lit(", line "), (F.col("nth") + 1).cast("string"))).cast("boolean")
+    rows = rows.where(F.when(fits, (F.col("nth") > 0) & (F.col("nth") < last) & ~none).otherwise(broken))
+    item = F.from_json(F.regexp_replace("value", ",$", ""), ITEM, {"mode": "FAILFAST"})
+    return rows.select("name", "commit", (F.col("nth") - 1).cast("int").alias("pos"), item.alias("item")).select("name", "commit", "pos", "item.*")
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """Rows of the last file by name."""
     return rows.join(F.broadcast(rows.agg(F.max("name").alias("name"))), "name", "left_semi")  # one row

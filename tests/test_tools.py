@@ -258,6 +258,31 @@ def test_embedding_holds_small_batches(spark):
         spark.conf.set(key, was)
 
 
+def test_large_logs_are_read_by_many_tasks(spark, tmp_path):
+    odd = ["a\nb", "x,", ",", "", None, "\u2028 }", '"]}', "\r\n", "{", "}"]
+    rows = spark.createDataFrame([(i, str(i), "add", "T", "", "P", "notes", f"{odd[i % len(odd)]} {i}" if odd[i % len(odd)] is not None else None, "f.md", None) for i in range(4000)], "seq long, " + ITEM)
+    files.write_log(rows.repartition(3), {"git_commit_hash": "abc"}, f"file://{tmp_path}/extraction_20240101_000000_abc.json")
+    files.write_log(rows.where("seq < 5"), {"git_commit_hash": None}, f"file://{tmp_path}/extraction_20240102_000000_def.json")
+    files.write_log(rows.limit(0), {"git_commit_hash": "x"}, f"file://{tmp_path}/extraction_20240103_000000_x.json")
+    (tmp_path / "extraction_20240104_000000_p.json").write_text(json.dumps({"extraction_metadata": {"git_commit_hash": "p"}, "items": [{"item_id": "1"}, {"item_id": "2"}]}, indent=2))
+    read = lambda **x: sorted(map(str, files.log(spark, f"file://{tmp_path}", **x).collect()))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        assert read(large=1) == read() and len(read()) == 4007
+        big = files.log(spark, f"file://{tmp_path}", large=10_000)
+        assert big.where("commit = 'abc'").select(F.spark_partition_id()).distinct().count() > 4
+        path = tmp_path / "extraction_20240101_000000_abc.json"
+        whole = path.read_text()
+        (tmp_path / f".{path.name}.crc").unlink()
+        for cut in (whole[: len(whole) // 2], whole[:-3], whole.replace("},\n", "}\n", 1), whole.replace('"item_id":"7"', '"item_id":7"', 1)):
+            path.write_text(cut)
+            with pytest.raises(Exception, match=r"(?i)malformed"):
+                read(large=1)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_git_log_and_commands(spark, tmp_path):
     repo = tmp_path / "repo"
     (repo / "notes").mkdir(parents=True)
