@@ -8,6 +8,7 @@ import subprocess
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notelake import cli
@@ -283,6 +284,25 @@ def test_large_logs_are_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
 
 
+def test_nearest_many_as_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 6)).astype(np.float32)
+    v[::7] = v[3]  # copies: ties by id, over slices
+    v[5] = 0
+    rows = [(i, v[i].tolist() if i not in (11, 12) else None if i == 11 else [1.0, None, 2.0, 0.0, 0.0, 1.0], [0, 0, 1, None][i % 4] if i < 290 else 9) for i in range(292)]
+    notes = spark.createDataFrame(rows, "item_id long, embedding array<float>, label int")
+    asked = notes.where("item_id % 3 = 0 or item_id in (5, 11, 290)").select(F.col("item_id").alias("query_id"), "label", F.col("embedding").alias("query_vector"))
+    cos = search.cosine("embedding", "query_vector")
+    ranked = notes.join(asked, "label").withColumn("c", cos).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "item_id"))).where("rank <= 4")
+    want = sorted(tuple(r) for r in ranked.select("query_id", "rank", "item_id", F.col("c").cast("string")).fillna("").collect())
+    get = lambda: search.nearest_many(notes, asked, 4, "label")
+    for slice_, block in ((8192, 4096), (40, 20)):
+        monkeypatch.setattr(search, "SLICE", slice_)
+        monkeypatch.setattr(search, "BLOCK", block)
+        assert sorted(tuple(r) for r in get().select("query_id", "rank", "item_id", F.col("cosine").cast("string")).fillna("").collect()) == want
+    assert "HigherOrder" not in (plan := get()._jdf.queryExecution().toString()) and "zip_with" not in plan  # pairs do not become rows
+
+
 def test_git_log_and_commands(spark, tmp_path):
     repo = tmp_path / "repo"
     (repo / "notes").mkdir(parents=True)
